@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_QUERIES = ("op1_fingerprints", "op2_simhash", "op3_mixing", "op5_secrets", "op6_html", "op7_token_output", "op8_packing", "op9_toxicity", "op10_exact_dedup")
+_QUERIES = ("op1_fingerprints", "op2_simhash", "op3_mixing", "op4_repeats", "op5_secrets", "op6_html", "op7_token_output", "op8_packing", "op9_toxicity", "op10_exact_dedup")
 
 
 def _module(name: str):
