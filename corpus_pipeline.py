@@ -1,6 +1,62 @@
-STAGES = []
+"""The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, mixing, packing.
+
+Each stage is a function of (spark, docs, sf_dir) to a DataFrame. run() writes a stage's rows as
+Parquet into the shared folder and gives the next stage what it reads back, so a lost executor
+costs the stage in hand at most. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.llm import exact_dedup, mixing, packing, simhash, toxicity
+from lumenframe.llm.common import materialize, table
+
+#: Nine tenths of the tokens stay; no document is repeated.
+MIX = {"share": (9, 10), "max_epochs": 1}
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below 0.5."""
+    scorer = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, scorer).where("__score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
+    return exact_dedup.deduplicate(docs, keep="max")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at a similarity of 0.8 on five-word shingles, the row with the smallest doc_id.
+
+    The ids that go are a written table, so Spark broadcasts it only while it is small. Rows
+    without an id stay.
+    """
+    groups = simhash.similar_documents(docs, words=5, similarity=0.8)
+    going = materialize(groups.where("doc_id <> component_id").select("doc_id"), "near-copies")
+    return docs.join(going, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the target weights take."""
+    return mixing.mixed_rows(docs, **MIX)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", not_toxic), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing", mixed), ("packing", packed)]
+
+#: The label model, the fingerprints and the tokens are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,9 +6,14 @@ partitions of correlated bits, each partition gets a threshold of its own (-1: n
 dynamic programming on estimated candidate counts, and the thresholds sum to radius - parts + 1,
 so that a pair within the radius must meet in one partition at least. Every fingerprint is stored
 under its partition value and probed under all values within the threshold; whatever meets is
-verified on all 64 bits. Bit counts and co-occurrences are taken over all fingerprints; they
+verified on all bits. Bit counts and co-occurrences are taken over all fingerprints; they
 choose the plan only, every plan finds the same links.
 
+similar_documents() is for links of a given shingle similarity: such texts differ in more bits than
+a sure plan can afford, so it takes wide fingerprints (256 bits) and verifies on all of them what
+meets in one of many exact partitions of about 13 bits; pairs that differ in fewer bits than there
+are partitions are sure to meet, those at similarity 0.8 do so 19 times in 20.
+
 Scale: equal fingerprints collapse first (map-side combine), so copies cost one row. A bucket of
 more than `block` rows is cut into blocks by hash and handled in pairs of blocks, one task cell
 each: no task holds an unbounded bucket and no pair is emitted - a cell returns a spanning
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -35,62 +40,76 @@ from lumenframe.llm.common import materialize, ship_package, text_or_empty
 from lumenframe.llm.components import connected
 
 SEED = 42
-BITS = 64
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """64 bits of the UTF-8 text: A-Z lowered, split at ASCII white space."""
+def _hashes(pieces: list[bytes], bits: int) -> np.ndarray:
+    """pieces by bits / 64, unsigned. 64 bits: XXH64; more: XXH3 of 128 bits for each further seed."""
+    if bits == 64:
+        digest = xxhash.xxh64_intdigest
+        return np.fromiter((digest(p, SEED) for p in pieces), np.uint64, len(pieces)).reshape(-1, 1)
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join(digest(p, SEED + i) for p in pieces for i in range(bits // 128)), "<u8").reshape(-1, bits // 64)
+
+
+def fingerprint(text: bytes, words: int = 4, bits: int = 64) -> np.ndarray:
+    """bits / 64 unsigned longs of the UTF-8 text: A-Z lowered, split at ASCII white space, each bit by majority."""
     found = text.lower().split()
     if not found:
-        return 0
+        return np.zeros(bits // 64, np.uint64)
+    joined = b" ".join(found)
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(found), SEED)
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(found) - words + 1].tolist()
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
-    counts = np.zeros(BITS, np.int64)
-    h = np.array(hashes, "<u8")
+        pieces = [joined]
+    else:
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ends = np.cumsum(lengths + 1) - 1
+        starts = (ends - lengths)[: len(found) - words + 1].tolist()
+        pieces = [joined[a:b] for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
+    h, counts = _hashes(pieces, bits), np.zeros(bits, np.int64)
     for i in range(0, len(h), 4096):
-        counts += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+        counts += np.unpackbits(h[i : i + 4096].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long), one row per row of docs."""
+def names(bits: int) -> list[str]:
+    return [f"f{i}" for i in range(bits // 64)]
+
+
+def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and f0, f1, ... (64 bits each, as signed longs), one row per row of docs."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"))
     kind = rows.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), words, bits) for t in batch.column(1)], np.uint64).reshape(-1, bits // 64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, i].copy()) for i in range(bits // 64))], ["doc_id", *names(bits)])
 
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, " + ", ".join(f"{f} bigint" for f in names(bits)))
 
 
-def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """Rows, and how often bits i and j are both set: sums over all fingerprints, 64 rows to the driver."""
+def bit_counts(fps: DataFrame, bits: int = 64) -> tuple[int, np.ndarray]:
+    """Rows, and how often bits i and j are both set: sums over all fingerprints, one row a bit to the driver."""
     ship_package(fps.sparkSession)
 
     def run(batches):
-        n, both = 0, np.zeros((BITS, BITS))
+        n, both = 0, np.zeros((bits, bits))
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+            h = np.stack([c.to_numpy(zero_copy_only=False).astype("<i8") for c in batch.columns], axis=1)
             for i in range(0, len(h), 8192):
-                b = np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
+                b = np.unpackbits(np.ascontiguousarray(h[i : i + 8192]).view(np.uint8), axis=1, bitorder="little").astype(np.float64)
                 both += b.T @ b
             n += len(h)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(range(BITS)), pa.array([n] * BITS), pa.array(both.astype(np.int64).tolist())], ["i", "n", "row"])
-
-    parts = fps.select("fp").mapInArrow(run, "i bigint, n bigint, row array<bigint>")
-    sums = parts.groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(F.col("row")[j]).alias(f"c{j}") for j in range(BITS)]).collect()
-    both, n = np.zeros((BITS, BITS)), 0
-    for r in sums:
-        both[r["i"]], n = [r[f"c{j}"] for j in range(BITS)], r["n"]
+            yield pa.RecordBatch.from_arrays([pa.array(range(bits)), pa.array([n] * bits), pa.array(both.astype(np.int64).tolist())], ["i", "n", "row"])
+
+    parts = fps.select(*names(bits)).mapInArrow(run, "i bigint, n bigint, row array<bigint>")
+    summed = parts.select("i", "n", F.posexplode("row").alias("j", "c")).groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    both, n = np.zeros((bits, bits)), 0
+    for r in summed.groupBy("i").agg(F.max("n").alias("n"), F.collect_list(F.struct("j", "c")).alias("row")).collect():
+        n = r["n"]
+        for j, c in r["row"]:
+            both[r["i"], j] = c
     return n, both
 
 
@@ -99,7 +118,7 @@ def correlated_parts(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     p = np.diag(both) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread))
-    left, parts = list(range(BITS)), []
+    left, parts = list(range(len(both))), []
     for k in range(m):
         size = (len(left) + (m - k) - 1) // (m - k)
         first = max(left, key=lambda i: (corr[i, left].sum() - corr[i, i], -i))
@@ -134,18 +153,23 @@ def thresholds(n: int, both: np.ndarray, parts: list[list[int]], radius: int) ->
     return best.get(radius - len(parts) + 1, (float("inf"), []))
 
 
-def probe_plan(n: int, both: np.ndarray, radius: int) -> list[tuple[int, list[int]]]:
-    """(mask, flips) for each probed partition of the cheapest plan; flips[0] is 0, where the fingerprint is stored."""
+def probe_plan(n: int, both: np.ndarray, radius: int) -> list[tuple[list[int], list[list[int]]]]:
+    """(bits, flips) for each probed partition of the cheapest plan; flips[0] is empty, where the fingerprint is stored."""
     plans = []
     for m in range(2, 9):
         parts = correlated_parts(n, both, m)
         plans.append((*thresholds(n, both, parts, radius), parts))
     _, chosen, parts = min(plans, key=lambda x: x[0])
-    return [
-        (sum(1 << i for i in part), [sum(1 << i for i in flip) for k in range(t + 1) for flip in combinations(part, k)])
-        for part, t in zip(parts, chosen, strict=True)
-        if t >= 0
-    ]
+    return [(part, [list(flip) for k in range(t + 1) for flip in combinations(part, k)]) for part, t in zip(parts, chosen, strict=True) if t >= 0]
+
+
+def exact_parts(n: int, both: np.ndarray, width: int) -> list[tuple[list[int], list[list[int]]]]:
+    """Partitions of about `width` bits, each with threshold 0: sure for fewer differing bits than partitions, likely for more."""
+    return [(part, [[]]) for part in correlated_parts(n, both, max(1, len(both) // width))]
+
+
+def _mask(bits: list[int], word: int) -> int:
+    return _signed(sum(1 << (i % 64) for i in bits if i // 64 == word))
 
 
 def _signed(x: int) -> int:
@@ -153,7 +177,7 @@ def _signed(x: int) -> int:
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= radius
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16) <= radius
 
 
 def _root(labels: np.ndarray) -> np.ndarray:
@@ -175,7 +199,7 @@ def _forest(group: np.ndarray, fp: np.ndarray, stored: np.ndarray, radius: int,
     us, vs = [], []
     for d in range(1, min(small, sizes.max())):
         i = np.flatnonzero((size_of <= small) & (at + d < size_of) & stored)
-        i = i[_near(fp[i], fp[i + d], radius) & (fp[i] != fp[i + d])]
+        i = i[_near(fp[i], fp[i + d], radius)]
         us.append(i)
         vs.append(i + d)
     if us:
@@ -208,9 +232,8 @@ def _cells(radius: int):
         def edges(rows: np.ndarray) -> pa.RecordBatch:
             change = np.any(rows[1:, :3] != rows[:-1, :3], axis=1)
             group = np.r_[0, np.cumsum(change)]
-            fp = rows[:, 4].view(np.uint64)
-            moved, to = _forest(group, fp, rows[:, 3] == 0, radius)
-            keep = fp[moved] != fp[to]
+            moved, to = _forest(group, np.ascontiguousarray(rows[:, 5:]).view(np.uint64), rows[:, 3] == 0, radius)
+            keep = rows[moved, 4] != rows[to, 4]
             return pa.RecordBatch.from_arrays([pa.array(rows[moved[keep], 4]), pa.array(rows[to[keep], 4])], ["u", "v"])
 
         for batch in batches:
@@ -231,39 +254,58 @@ def _cells(radius: int):
     return run
 
 
-def link(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
-    """fps: distinct fp (long). u, v: edges that join exactly the fingerprints reachable by links of <= radius bits."""
-    ship_package(fps.sparkSession)
-    n, both = bit_counts(fps)
-    plan = probe_plan(n, both, radius)
-    probes = F.array(*[
-        F.struct(F.lit(g).alias("g"), F.lit(_signed(mask)).cast("bigint").alias("mask"), F.lit(_signed(flip)).cast("bigint").alias("flip"))
-        for g, (mask, flips) in enumerate(plan)
-        for flip in flips
-    ])
-    rows = fps.select("fp", F.explode(probes).alias("p")).select(
-        F.col("p.g").alias("g"), F.col("fp").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("key"), (F.col("p.flip") != 0).cast("int").alias("probe"), "fp"
-    )
+def link(nodes: DataFrame, plan: list[tuple[list[int], list[list[int]]]], radius: int, bits: int = 64, block: int = 4096) -> DataFrame:
+    """nodes: node (long) and its fingerprint. u, v: edges that join exactly the nodes reachable by links of <= radius bits that a probe brings together."""
+    ship_package(nodes.sparkSession)
+    fs = names(bits)
+
+    def key(part: list[int], flip: list[int]):
+        words = sorted({i // 64 for i in part})
+        at = [F.col(fs[w]).bitwiseAND(F.lit(_mask(part, w)).cast("bigint")).bitwiseXOR(F.lit(_mask(flip, w)).cast("bigint")) for w in words]
+        return at[0] if len(at) == 1 else F.xxhash64(*at)
+
+    probes = F.array(*[F.struct(F.lit(g).alias("g"), key(part, flip).alias("key"), F.lit(int(bool(flip))).alias("probe")) for g, (part, flips) in enumerate(plan) for flip in flips])
+    rows = nodes.select("node", *fs, F.explode(probes).alias("p")).select("p.g", "p.key", "p.probe", "node", *fs)
     sizes = rows.groupBy("g", "key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("least")).where("n > 1 and least = 0")
     cut = rows.join(sizes, ["g", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
         F.filter(
             F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.when(b != F.col("own"), F.least(b, F.col("own")) * F.col("blocks") + F.greatest(b, F.col("own")))),
             lambda c: c.isNotNull(),
         )
     )
-    dealt = cut.withColumn("own", own).select("g", "key", F.explode(cells).alias("cell"), "probe", "fp")
-    placed = dealt.repartition("g", "key", "cell").sortWithinPartitions("g", "key", "cell", "probe", "fp")
+    dealt = cut.withColumn("own", own).select("g", "key", F.explode(cells).alias("cell"), "probe", "node", *fs)
+    placed = dealt.repartition("g", "key", "cell").sortWithinPartitions("g", "key", "cell", "probe", "node")
     return placed.mapInArrow(_cells(radius), "u bigint, v bigint")
 
 
+def _components(seen: DataFrame, plan, radius: int, bits: int) -> DataFrame:
+    """seen: doc_id and fingerprints. Each distinct fingerprint with the smallest doc_id of its component."""
+    fs = names(bits)
+    node = F.col(fs[0]) if len(fs) == 1 else F.xxhash64(*fs)
+    nodes = materialize(seen.groupBy(*fs).agg(F.min("doc_id").alias("least")).withColumn("node", node), "nodes")
+    n, both = bit_counts(nodes, bits)
+    roots = connected(link(nodes.select("node", *fs), plan(n, both), radius, bits))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(whole, "root").select(*fs, "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) for every row of docs."""
-    seen = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = materialize(seen.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connected(link(nodes.select("fp"), radius))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(whole, "root").select("fp", "component_id")
-    return seen.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    seen = materialize(fingerprints(docs, words, 64, id_col, text_col), "fingerprints")
+    named = _components(seen, lambda n, both: probe_plan(n, both, radius), radius, 64)
+    return seen.join(named, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def radius_for(similarity: float, bits: int) -> int:
+    """The bits in which two texts of that shingle similarity (Jaccard) are expected to differ."""
+    return int(acos(2 * similarity / (1 + similarity)) / pi * bits)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 256, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id by links of at least `similarity`, as the wide fingerprints estimate it."""
+    seen = materialize(fingerprints(docs, words, bits, id_col, text_col), "fingerprints")
+    named = _components(seen, lambda n, both: exact_parts(n, both, width), radius_for(similarity, bits), bits)
+    return seen.join(named, names(bits)).select("doc_id", "component_id")
