@@ -1,13 +1,555 @@
-"""Registry of the engine's own queries and of the SQL they are checked against."""
+"""Registry of the engine's own queries and of the SQL they are checked against.
+
+The sensor image is the embeddings table read as a 12-bit Bayer mosaic. Integer results are BIGINT.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = "pixel_scan"
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenframe.functions import curves, scalars
+from lumenframe.operators import bayer, entropy, stage, wavelet
+from lumenframe.plans import oracle as O
+from lumenframe.sources.pixels import sensor
+
+FLAGSHIP = "rgb_preview_16"
+_FOUND: dict[str, tuple[Callable, str | None]] = {}
+
+
+def query(name: str, sql: str | None):
+    def keep(f: Callable) -> Callable:
+        _FOUND[name] = (f, sql)
+        return f
 
+    return keep
 
-def queries() -> dict:
-    return {}
+
+def _wide(df: DataFrame) -> DataFrame:
+    whole = ("int", "smallint", "tinyint", "bigint")
+    return df.select(*[F.col(f"`{c}`").cast("bigint").alias(c) if t in whole else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, f=f: _wide(f(spark, sf_dir))) for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _planes(spark, sf_dir, cell="rggb"):
+    return bayer.unpack(sensor(spark, sf_dir), cell)
+
+
+PLANE = "image_id channel row col v"
+BAND = "image_id channel band row col v"
+PIXEL = "image_id row col v"
+
+# --- sources and projections -------------------------------------------------------------------
+
+
+@query("pixel_scan", O.plain(O.PX, "px", PIXEL))
+def _(spark, d):
+    return sensor(spark, d)
+
+
+@query("log_curve_encode", O.out(f"{O.PX}, {O.LUT}", "px JOIN enc ON px.v = enc.i", image_id="image_id", row='"row"', col="col", v="e"))
+def _(spark, d):
+    table = curves.curve_table(spark, curves.log_encode, "e")
+    return sensor(spark, d).withColumnRenamed("v", "i").join(F.broadcast(table), "i").select("image_id", "row", "col", F.col("e").alias("v"))
+
+
+@query("log_curve_decode", O.out(f"{O.PX}, {O.LUT}", "px JOIN dec ON px.v = dec.i", image_id="image_id", row='"row"', col="col", v="d"))
+def _(spark, d):
+    return sensor(spark, d).withColumn("v", curves.log_decode(F.col("v")))
+
+
+for _cell in ("rggb", "gbrg"):
+
+    @query(f"bayer_unpack_{_cell}", O.plain(O.planes(_cell), "planes", PLANE))
+    def _(spark, d, cell=_cell):
+        return _planes(spark, d, cell)
+
+
+_PACKED = """cell4 AS (SELECT image_id, "row", col, max(CASE WHEN channel = 0 THEN v END) AS gs, max(CASE WHEN channel = 1 THEN v END) - 2048 AS rg,
+  max(CASE WHEN channel = 2 THEN v END) - 2048 AS bg, max(CASE WHEN channel = 3 THEN v END) - 2048 AS gd FROM planes GROUP BY ALL),
+taps AS (SELECT image_id, 2 * "row" AS "row", 2 * col AS col, 2 * rg + gs AS x FROM cell4 UNION ALL SELECT image_id, 2 * "row", 2 * col + 1, gs + gd FROM cell4
+  UNION ALL SELECT image_id, 2 * "row" + 1, 2 * col, gs - gd FROM cell4 UNION ALL SELECT image_id, 2 * "row" + 1, 2 * col + 1, 2 * bg + gs FROM cell4),
+packed AS (SELECT image_id, "row", col, d AS v FROM taps JOIN dec ON least(4095, greatest(0, x)) = dec.i)"""
+
+
+@query("bayer_pack", O.plain(f"{O.planes()}, {_PACKED}", "packed", PIXEL))
+def _(spark, d):
+    return bayer.pack(_planes(spark, d))
+
+
+@query(
+    "roundtrip_error",
+    O.out(
+        f"{O.planes()}, {_PACKED}, diff AS (SELECT p.image_id, abs((p.v >> 4) - px.v) AS e FROM packed p JOIN px USING (image_id, \"row\", col))",
+        "(SELECT image_id, max(e) AS m, sum(e) AS s, count(*) AS n FROM diff GROUP BY image_id)",
+        image_id="image_id", greatest="m", total="s", samples="n",
+    ),
+)
+def _(spark, d):
+    px = sensor(spark, d)
+    back = bayer.pack(bayer.unpack(px), bits=12).withColumnRenamed("v", "w")
+    e = F.abs(F.col("w") - F.col("v"))
+    return back.join(px, ["image_id", "row", "col"]).groupBy("image_id").agg(F.max(e).alias("greatest"), F.sum(e).alias("total"), F.count(F.lit(1)).alias("samples"))
+
+
+@query(
+    "unpack_12p",
+    """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (b0 + ((b1 & 15) * 256))::BIGINT AS "left", (b2 * 16 + (b1 >> 4))::BIGINT AS "right"
+    FROM (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT % 256 AS b0, l_partkey % 256 AS b1, l_suppkey % 256 AS b2 FROM lineitem)""",
+)
+def _(spark, d):
+    b = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("bigint") % 256).alias("b0"), (F.col("l_partkey") % 256).alias("b1"), (F.col("l_suppkey") % 256).alias("b2"))
+    return b.select("l_orderkey", "l_linenumber", (F.col("b0") + F.shiftleft(F.col("b1").bitwiseAND(F.lit(15)), 8)).alias("left"), (F.shiftleft("b2", 4) + F.shiftright("b1", 4)).alias("right"))
+
+
+@query(
+    "uncompand_values",
+    f"""WITH {O.PX}, c AS (SELECT image_id, "row", col, v - 2048 AS x, least(1023, abs(v - 2048)) AS m FROM px)
+    SELECT image_id::BIGINT AS image_id, "row"::BIGINT AS "row", col::BIGINT AS col, (sign(x) * (m + trunc(m::DOUBLE * m * m * 768.0::DOUBLE / 16581375.0::DOUBLE)))::BIGINT AS cubic,
+      (sign(x) * CASE WHEN once < 54 THEN once ELSE 54 + ((once - 52) >> 2) END)::BIGINT AS legacy
+    FROM (SELECT *, CASE WHEN m < 40 THEN m ELSE 40 + ((m - 38) >> 2) END AS once FROM c)""",
+)
+def _(spark, d):
+    x = F.col("v") - 2048
+    v = F.signum(x).cast("int") * F.least(F.lit(1023), F.abs(x))
+    return sensor(spark, d).select("image_id", "row", "col", curves.uncompand(v).alias("cubic"), curves.legacy_compand(v).alias("legacy"))
+
+
+@query(
+    "inverse_companding_table",
+    """WITH m AS (SELECT i AS m, least(1023, (i + trunc(i::DOUBLE * i * i * 768.0::DOUBLE / 16581375.0::DOUBLE))::BIGINT) AS slot FROM range(256) t(i))
+    SELECT s.i::BIGINT AS i, (SELECT max(m) FROM m WHERE slot <= s.i)::BIGINT AS m FROM range(1024) s(i)""",
+)
+def _(spark, d):
+    return curves.inverse_companding(spark)
+
+
+# --- wavelets ----------------------------------------------------------------------------------
+
+
+@query("wavelet_h_l1", O.plain(f"{O.planes()}, {O.forward_line('h', 'planes', 'image_id, channel, \"row\"', 'col', 0)}", "h", "image_id channel row col low high"))
+def _(spark, d):
+    return wavelet.forward_line(_planes(spark, d), ["image_id", "channel", "row"], "col", "v", 0, "low", "high")
+
+
+@query("wavelet_v_l1", O.plain(f"{O.planes()}, {O.forward_line('h', 'planes', 'image_id, channel, col', 'row', 0)}", "h", "image_id channel row col low high"))
+def _(spark, d):
+    return wavelet.forward_line(_planes(spark, d), ["image_id", "channel", "col"], "row", "v", 0, "low", "high")
+
+
+for _level in (1, 2, 3):
+
+    @query(f"wavelet_2d_l{_level}", O.plain(O.pyramid(_level), f"(SELECT * FROM pyr WHERE level = {_level - 1})", BAND))
+    def _(spark, d, level=_level):
+        return wavelet.pyramid(_planes(spark, d), level).where(F.col("level") == level - 1).drop("level")
+
+
+@query("quantize_fs1", O.plain(f"{O.pyramid()}, {O.QUANTIZED}", "qz", "image_id channel subband level band row col v"))
+def _(spark, d):
+    return wavelet.quantized(wavelet.pyramid(_planes(spark, d)))
+
+
+@query("dequantize_fs1", O.plain(f"{O.pyramid()}, {O.QUANTIZED}, {O.DEQUANTIZED}", "dq", "image_id channel subband level band row col v"))
+def _(spark, d):
+    return wavelet.dequantized(wavelet.quantized(wavelet.pyramid(_planes(spark, d))))
+
+
+@query("inverse_l1", O.plain(f"{O.pyramid(1)}, {O.inverse('i', 'l0bands', 0)}", "iout", PLANE))
+def _(spark, d):
+    return wavelet.inverse(wavelet.forward(_planes(spark, d), 0), 0)
+
+
+@query("inverse_l2", O.plain(f"{O.pyramid(2)}, {O.inverse('i', 'l1bands', 2)}", "iout", PLANE))
+def _(spark, d):
+    low = wavelet.forward(_planes(spark, d), 0).where("band = 0").drop("band")
+    return wavelet.inverse(wavelet.forward(low, 2), 2)
+
+
+@query("lossless_l1", O.out(f"{O.planes()}", "(SELECT image_id, channel, count(*) AS n FROM planes GROUP BY ALL)", image_id="image_id", channel="channel", samples="n", differing="0"))
+def _(spark, d):
+    planes = _planes(spark, d)
+    back = wavelet.inverse(wavelet.forward(planes, 0), 0).withColumnRenamed("v", "w")
+    both = planes.join(back, ["image_id", "channel", "row", "col"], "left")
+    return both.groupBy("image_id", "channel").agg(F.count(F.lit(1)).alias("samples"), F.sum(F.when(F.col("v").eqNullSafe(F.col("w")), 0).otherwise(1)).alias("differing"))
+
+
+for _name, _n in {"sixteenth": 1, "eighth": 4, "quarter": 7}.items():
+
+    @query(
+        f"subband_limit_{_name}",
+        O.out(f"{O.pyramid()}, {O.QUANTIZED}", f"(SELECT image_id, channel, subband, count(*) AS n, sum(abs(v)) AS s FROM qz WHERE subband < {_n} GROUP BY ALL)", image_id="image_id", channel="channel", subband="subband", coefficients="n", magnitude="s"),
+    )
+    def _(spark, d, n=_n):
+        bands = wavelet.quantized(wavelet.pyramid(_planes(spark, d))).where(F.col("subband") < n)
+        return bands.groupBy("image_id", "channel", "subband").agg(F.count(F.lit(1)).alias("coefficients"), F.sum(F.abs("v")).alias("magnitude"))
+
+
+def _preview_sql(levels: int, width: int) -> str:
+    source = f"l{levels - 1}ll" if levels else "planes"
+    shift = 2 if levels else 0
+    at = lambda c: f"max(CASE WHEN channel = {c} THEN v >> {shift} END)"
+    ctes = (O.pyramid(levels) if levels else O.planes()) + f""", lv AS (SELECT image_id, "row", {width - 1} - col AS col, {at(0)} AS g, {at(1)} - 2048 AS rg, {at(2)} - 2048 AS bg FROM {source} WHERE channel < 3 GROUP BY ALL),
+    px3 AS (SELECT image_id, "row", col, least(4095, greatest(0, 2 * rg + g)) AS r, least(4095, greatest(0, g)) AS g, least(4095, greatest(0, 2 * bg + g)) AS b FROM lv)"""
+    s = lambda t: f"least(255, trunc(sqrt({t}.d::DOUBLE)))"
+    return O.out(ctes, "px3 JOIN dec a ON px3.r = a.i JOIN dec c ON px3.g = c.i JOIN dec e ON px3.b = e.i", image_id="image_id", row='"row"', col="col", r=s("a"), g=s("c"), b=s("e"))
+
+
+for _name, _levels in {"rgb_preview_2": 0, "rgb_preview_4": 1, "rgb_preview_8": 2, "rgb_preview_16": 3}.items():
+
+    @query(_name, _preview_sql(_levels, 32 >> _levels))
+    def _(spark, d, levels=_levels):
+        planes = _planes(spark, d).where("channel < 3")
+        for level in range(levels):  # lower bands are never computed: only LL feeds the next level
+            planes = wavelet.forward(planes, wavelet.PRESCALE[level]).where("band = 0").drop("band")
+        return bayer.preview(planes, 14 if levels else 12, 32 >> levels)
+
+
+# --- entropy -----------------------------------------------------------------------------------
+
+_RUNS = """zr AS (SELECT image_id, channel, subband, seq, sum(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS zeros, sum(v) AS value FROM (
+  SELECT *, coalesce(sum(CASE WHEN v <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, channel, subband ORDER BY "row", col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seq
+  FROM qz WHERE subband > 0) GROUP BY ALL)"""
+_RUN_KEYS = ["image_id", "channel", "subband"]
+#: Code sizes of the demonstration code: a run codeword per length, and 2 * ceil(log2(m + 1)) + 1 bits for magnitude m.
+_RUN_BITS = {320: 11, 180: 10, 100: 9, 60: 8, 32: 7, 20: 6, 12: 5}
+
+
+def _runs(spark, d):
+    return entropy.zero_runs(wavelet.quantized(wavelet.pyramid(_planes(spark, d))).where("subband > 0"), _RUN_KEYS, ["row", "col"])
+
+
+@query("zero_runs", O.plain(f"{O.pyramid()}, {O.QUANTIZED}, {_RUNS}", "zr", "image_id channel subband seq zeros value"))
+def _(spark, d):
+    return _runs(spark, d)
+
+
+@query("run_expand", O.plain(f"{O.pyramid()}, {O.QUANTIZED}", "(SELECT * FROM qz WHERE subband IN (7, 8, 9))", "image_id channel subband row col v"))
+def _(spark, d):
+    return entropy.expand_runs(_runs(spark, d).where("subband in (7, 8, 9)"), _RUN_KEYS, 16)
+
+
+def _bits_sql() -> str:
+    left, bits = "zeros::BIGINT", "0"
+    for n in entropy.RUN_LENGTHS:
+        bits += f" + ({left} // {n}) * {_RUN_BITS[n]}"
+        left = f"({left} % {n})"
+    return f"{bits} + {left} + CASE WHEN value <> 0 THEN 2 * ceil(log2(least(1023, abs(value)) + 1)) + 2 ELSE 0 END"
+
+
+def _coded(spark, d):
+    return entropy.code_bits(_runs(spark, d), lambda m: (2 * F.ceil(F.log2(F.least(F.lit(1023), m) + 1)) + 1).cast("bigint"), _RUN_BITS)
+
+
+@query("code_lengths", O.out(f"{O.pyramid()}, {O.QUANTIZED}, {_RUNS}", f"(SELECT image_id, channel, subband, sum({_bits_sql()}) AS bits, count(*) AS n FROM zr GROUP BY ALL)", image_id="image_id", channel="channel", subband="subband", bits="bits", runs="n"))
+def _(spark, d):
+    return _coded(spark, d).groupBy(*_RUN_KEYS).agg(F.sum("bits").alias("bits"), F.count(F.lit(1)).alias("runs"))
+
+
+@query(
+    "compression_ratio",
+    f"""WITH {O.pyramid()}, {O.QUANTIZED}, {_RUNS}, n AS (SELECT image_id, channel, subband, count(*) AS c FROM qz WHERE subband > 0 GROUP BY ALL),
+    b AS (SELECT image_id, channel, subband, sum({_bits_sql()}) AS bits FROM zr GROUP BY ALL)
+    SELECT image_id::BIGINT AS image_id, channel::BIGINT AS channel, subband::BIGINT AS subband, sum(c)::BIGINT AS coefficients, sum(bits)::BIGINT AS bits, (sum(c)::BIGINT * 12000 // sum(bits)::BIGINT)::BIGINT AS permille
+    FROM n JOIN b USING (image_id, channel, subband) GROUP BY ROLLUP (image_id, channel, subband)""",
+)
+def _(spark, d):
+    coded = _coded(spark, d).withColumn("c", F.col("zeros") + F.when(F.col("value") != 0, 1).otherwise(0))
+    by = coded.groupBy(*_RUN_KEYS).agg(F.sum("c").alias("c"), F.sum("bits").alias("bits"))
+    return by.rollup(*_RUN_KEYS).agg(F.sum("c").alias("coefficients"), F.sum("bits").alias("bits")).withColumn("permille", F.expr("coefficients * 12000 div bits"))
+
+
+@query(
+    "packbits_runs",
+    """WITH m AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND rn > 1 THEN 0 ELSE 1 END AS change FROM (
+        SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    r AS (SELECT *, sum(change) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m)
+    SELECT user_id, min(event_id) AS start, count(*) AS length, max(event_type) AS value FROM r GROUP BY user_id, run""",
+)
+def _(spark, d):
+    return entropy.equal_runs(_table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type")
+
+
+@query(
+    "carry_forward_state",
+    """SELECT event_id, user_id,
+      coalesce(last_value(CASE WHEN event_type = 'click' THEN floor(value)::BIGINT END IGNORE NULLS) OVER w, 0) AS last_click,
+      coalesce(last_value(CASE WHEN event_type = 'purchase' THEN floor(value)::BIGINT END IGNORE NULLS) OVER w, 16) AS last_purchase
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+)
+def _(spark, d):
+    whole = F.floor("value")
+    states = {"last_click": (F.col("event_type") == "click", whole, 0), "last_purchase": (F.col("event_type") == "purchase", whole, 16)}
+    return entropy.carried_forward(_table(spark, d, "events"), ["user_id"], "event_id", states).select("event_id", "user_id", *states)
+
+
+@query(
+    "chunk_sizes",
+    f"""WITH {O.pyramid()}, b AS (SELECT image_id, channel, level, band, ceil(count(*) * 16 / 32) + 2 AS s FROM pyr GROUP BY ALL)
+    SELECT image_id::BIGINT AS image_id, channel::BIGINT AS channel, level::BIGINT AS level, band::BIGINT AS band, (sum(s) + 2 * count(*))::BIGINT AS segments, grouping(image_id, channel, level, band)::BIGINT AS depth
+    FROM b GROUP BY ROLLUP (image_id, channel, level, band)""",
+)
+def _(spark, d):
+    return entropy.chunk_sizes(wavelet.pyramid(_planes(spark, d)))
+
+
+@query("predictor_apply", O.out(O.PX, '(SELECT *, v - coalesce(lag(v) OVER (PARTITION BY image_id, "row" ORDER BY col), 0) AS dv FROM px)', image_id="image_id", row='"row"', col="col", v="dv"))
+def _(spark, d):
+    line = Window.partitionBy("image_id", "row").orderBy("col")
+    return sensor(spark, d).withColumn("v", F.col("v") - F.coalesce(F.lag("v").over(line), F.lit(0)))
+
+
+@query("predictor_undo", O.out(O.PX, '(SELECT *, sum(v) OVER (PARTITION BY image_id, "row" ORDER BY col) % 65536 AS s FROM px)', image_id="image_id", row='"row"', col="col", v="s"))
+def _(spark, d):
+    line = Window.partitionBy("image_id", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    return sensor(spark, d).withColumn("v", F.sum("v").over(line) % 65536)
+
+
+# --- image stage -------------------------------------------------------------------------------
+
+_BLACK = [(0, 0, 60), (0, 1, 64), (1, 0, 66), (1, 1, 62)]
+
+
+@query(
+    "linearize",
+    O.out(
+        f"{O.PX}, blk AS (SELECT * FROM (VALUES {', '.join(map(str, _BLACK))}) t(pr, pc, black))",
+        'px JOIN blk ON "row" % 2 = pr AND col % 2 = pc',
+        image_id="image_id", row='"row"', col="col", v="least(65535, (greatest(0, v - black)::BIGINT * 65535 + (4095 - black) // 2) // (4095 - black))",
+    ),
+)
+def _(spark, d):
+    return stage.linearize(sensor(spark, d), spark.createDataFrame(_BLACK, "pr int, pc int, black int"), 4095, (2, 2))
+
+
+@query("black_pattern", O.out(O.PX, '(SELECT image_id, "row" % 2 AS pr, col % 2 AS pc, min(v) AS low, (sum(v) * 2 + count(v)) // (count(v) * 2) AS mean, max(v) AS high FROM px GROUP BY ALL)', image_id="image_id", pr="pr", pc="pc", low="low", mean="mean", high="high"))
+def _(spark, d):
+    return stage.black_pattern(sensor(spark, d), (2, 2))
+
+
+@query(
+    "demosaic_fast",
+    O.out(O.PX, '(SELECT image_id, "row" // 4 AS "row", col // 4 AS col, "row" % 2 * 2 + col % 2 AS color, (sum(v) + (count(*) >> 1)) // count(*) AS v FROM px GROUP BY ALL)', image_id="image_id", row='"row"', col="col", color="color", v="v"),
+)
+def _(spark, d):
+    return stage.downsample_colors(sensor(spark, d), 4)
+
+
+_BILINEAR = f"""WITH {O.PX}, t AS (SELECT dr, dc FROM (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc)),
+m AS (SELECT p.image_id, p."row", p.col, q.v, abs(dr) + abs(dc) AS near, CASE WHEN q."row" % 2 = 0 AND q.col % 2 = 0 THEN 'r' WHEN q."row" % 2 = 1 AND q.col % 2 = 1 THEN 'b' ELSE 'g' END AS plane
+  FROM px p, t JOIN px q ON q.image_id = p.image_id AND q."row" = p."row" + dr AND q.col = p.col + dc),
+s AS (SELECT image_id, "row", col, plane, near, (sum(v) * 2 + count(*)) // (count(*) * 2) AS mean FROM m GROUP BY ALL),
+k AS (SELECT image_id, "row", col, plane, min_by(mean, near) AS v FROM s GROUP BY ALL)
+SELECT image_id::BIGINT AS image_id, "row"::BIGINT AS "row", col::BIGINT AS col, max(CASE WHEN plane = 'r' THEN v END)::BIGINT AS r, max(CASE WHEN plane = 'g' THEN v END)::BIGINT AS g, max(CASE WHEN plane = 'b' THEN v END)::BIGINT AS b
+FROM k GROUP BY ALL"""
+
+
+@query("demosaic_bilinear", _BILINEAR)
+def _(spark, d):
+    return stage.demosaic_bilinear(sensor(spark, d))
+
+
+_BAD = 2100
+
+
+def _bad_sql() -> str:
+    lag = lambda n, p, o: f'lag(v, {n}) OVER (PARTITION BY image_id, "{p}" ORDER BY "{o}")'
+    lead = lambda n, p, o: f'lead(v, {n}) OVER (PARTITION BY image_id, "{p}" ORDER BY "{o}")'
+    n = [lag(2, "col", "row"), lead(2, "col", "row"), lag(2, "row", "col"), lead(2, "row", "col")]
+    total = " + ".join(f"CASE WHEN n{i} <> {_BAD} THEN n{i} ELSE 0 END" for i in range(4))
+    count = " + ".join(f"CASE WHEN n{i} <> {_BAD} THEN 1 ELSE 0 END" for i in range(4))
+    return O.out(
+        O.PX, f"(SELECT *, {total} AS s, {count} AS c FROM (SELECT *, {', '.join(f'{x} AS n{i}' for i, x in enumerate(n))} FROM px))",
+        image_id="image_id", row='"row"', col="col", v=f"CASE WHEN v = {_BAD} AND c > 0 THEN (s * 2 + c) // (c * 2) ELSE v END",
+    )
+
+
+@query("bad_pixel_constant", _bad_sql())
+def _(spark, d):
+    return stage.fix_bad_constant(sensor(spark, d), _BAD)
+
+
+@query("bad_pixel_semi", O.plain(f"{O.PX}, bad AS (SELECT o_orderkey % 500 AS br, o_custkey % 64 AS bc FROM orders)", '(SELECT * FROM px WHERE EXISTS (SELECT 1 FROM bad WHERE br = px."row" AND bc = px.col))', PIXEL))
+def _(spark, d):
+    bad = _table(spark, d, "orders").select((F.col("o_orderkey") % 500).cast("int").alias("row"), (F.col("o_custkey") % 64).cast("int").alias("col"))
+    return sensor(spark, d).join(bad, ["row", "col"], "left_semi").select("image_id", "row", "col", "v")
+
+
+@query("good_pixel_anti", O.plain(f"{O.PX}, bad AS (SELECT o_orderkey % 500 AS br, o_custkey % 64 AS bc FROM orders)", '(SELECT * FROM px WHERE NOT EXISTS (SELECT 1 FROM bad WHERE br = px."row" AND bc = px.col))', PIXEL))
+def _(spark, d):
+    bad = _table(spark, d, "orders").select((F.col("o_orderkey") % 500).cast("int").alias("row"), (F.col("o_custkey") % 64).cast("int").alias("col"))
+    return sensor(spark, d).join(bad, ["row", "col"], "left_anti").select("image_id", "row", "col", "v")
+
+
+_RECTS = "SELECT p_partkey AS rect_id, p_partkey % 480 AS t, p_size % 60 AS l, p_partkey % 480 + p_size % 7 AS b, p_size % 60 + 3 AS r FROM part WHERE p_partkey % 40 = 0"
+
+
+@query("bad_rect_range", O.out(f"{O.PX}, rects AS ({_RECTS})", '(SELECT rect_id, count(*) AS n, sum(v) AS s FROM px JOIN rects ON "row" BETWEEN t AND b AND col BETWEEN l AND r GROUP BY rect_id)', rect_id="rect_id", samples="n", total="s"))
+def _(spark, d):
+    p = _table(spark, d, "part").where("p_partkey % 40 = 0")
+    rects = p.select(F.col("p_partkey").alias("rect_id"), (F.col("p_partkey") % 480).cast("int").alias("t"), (F.col("p_size") % 60).alias("l"), (F.col("p_partkey") % 480 + F.col("p_size") % 7).cast("int").alias("b"), (F.col("p_size") % 60 + 3).alias("r"))
+    lines = rects.withColumn("row", F.explode(F.sequence("t", "b")))  # the range join as an equality on the row
+    return sensor(spark, d).join(lines, "row").where("col between l and r").groupBy("rect_id").agg(F.count(F.lit(1)).alias("samples"), F.sum("v").alias("total"))
+
+
+_AREA, _PITCH = (10, 4, 200, 60), (2, 3)
+_IN = f'("row" BETWEEN 10 AND 199 AND col BETWEEN 4 AND 59 AND ("row" - 10) % 2 = 0 AND (col - 4) % 3 = 0)'
+_U = "(v / 65535.0::DOUBLE)"
+
+
+def _pin(x: str) -> str:
+    return f"floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, {x})) * 65535.0::DOUBLE + 0.5::DOUBLE)"
+
+
+@query("trim_bounds", O.plain(O.PX, '(SELECT * FROM px WHERE "row" BETWEEN 10 AND 199 AND col BETWEEN 4 AND 59)', PIXEL))
+def _(spark, d):
+    return stage.trim_bounds(sensor(spark, d), _AREA)
+
+
+@query("map_table", O.out(f"{O.PX}, lut AS (SELECT i, (i * 3) // 2 + 7 AS t FROM range(3000) t(i))", "px JOIN lut ON lut.i = least(2999, v)", image_id="image_id", row='"row"', col="col", v=f"CASE WHEN {_IN} THEN t ELSE v END"))
+def _(spark, d):
+    table = spark.range(3000).select(F.col("id").cast("int").alias("i"), F.expr("cast(id * 3 div 2 + 7 as int)").alias("to"))
+    return stage.map_table(sensor(spark, d), table, _AREA, _PITCH)
+
+
+@query("map_polynomial", O.out(O.PX, "px", image_id="image_id", row='"row"', col="col", v=f"CASE WHEN {_IN} THEN {_pin(f'((2.5::DOUBLE * {_U} + -1.25::DOUBLE) * {_U} + 0.75::DOUBLE) * {_U} + 0.01::DOUBLE')} ELSE v END"))
+def _(spark, d):
+    return stage.map_polynomial(sensor(spark, d), _AREA, _PITCH, [0.01, 0.75, -1.25, 2.5])
+
+
+@query("delta_row", O.out(f"{O.PX}, dl AS (SELECT i, (i % 7 - 3) / 1024.0::DOUBLE AS d FROM range(0, 400) t(i))", 'px LEFT JOIN dl ON dl.i = "row"', image_id="image_id", row='"row"', col="col", v=f"CASE WHEN d IS NULL THEN v ELSE {_pin(f'{_U} + d')} END"))
+def _(spark, d):
+    return stage.per_line(sensor(spark, d), spark.range(400).select(F.col("id").cast("int").alias("row"), ((F.col("id") % 7 - 3) / 1024.0).alias("d")), "row", False)
+
+
+@query("scale_col", O.out(f"{O.PX}, dl AS (SELECT i, 1.0::DOUBLE + (i % 5) / 64.0::DOUBLE AS d FROM range(0, 50) t(i))", "px LEFT JOIN dl ON dl.i = col", image_id="image_id", row='"row"', col="col", v=f"CASE WHEN d IS NULL THEN v ELSE {_pin(f'{_U} * d')} END"))
+def _(spark, d):
+    return stage.per_line(sensor(spark, d), spark.range(50).select(F.col("id").cast("int").alias("col"), (1.0 + (F.col("id") % 5) / 64.0).alias("d")), "col", True)
+
+
+_GAIN = """grid AS (SELECT r AS gr, c AS gc, 1.0::DOUBLE + (r * 5 + c * 3) % 8 / 16.0::DOUBLE AS gain FROM range(0, 64) a(r), range(0, 5) b(c)),
+g AS (SELECT image_id, "row", col, v, "row" / 32.0::DOUBLE AS fr, col / 16.0::DOUBLE AS fc, least(63, "row" // 32) AS r0, least(4, col // 16) AS c0 FROM px),
+g4 AS (SELECT g.*, fr - r0 AS tr, fc - c0 AS tc, a.gain AS ga, b.gain AS gb, c.gain AS gc_, e.gain AS gd FROM g
+  JOIN grid a ON a.gr = r0 AND a.gc = c0 JOIN grid b ON b.gr = r0 AND b.gc = least(4, c0 + 1) JOIN grid c ON c.gr = least(63, r0 + 1) AND c.gc = c0 JOIN grid e ON e.gr = least(63, r0 + 1) AND e.gc = least(4, c0 + 1))"""
+
+
+@query("gain_map", O.out(f"{O.PX}, {_GAIN}", "g4", image_id="image_id", row='"row"', col="col", v=_pin(f"{_U} * ((ga * (1.0 - tc) + gb * tc) * (1.0 - tr) + (gc_ * (1.0 - tc) + gd * tc) * tr)")))
+def _(spark, d):
+    grid = spark.range(64 * 5).select(F.expr("id div 5").alias("gr"), (F.col("id") % 5).alias("gc")).withColumn("gain", 1.0 + (F.col("gr") * 5 + F.col("gc") * 3) % 8 / 16.0)
+    return stage.gain_map(sensor(spark, d), grid, (32, 16), (63, 4))
+
+
+_R2 = '((("row" - 250.0::DOUBLE) * ("row" - 250.0::DOUBLE) + (col - 32.0::DOUBLE) * (col - 32.0::DOUBLE)) / 65536.0::DOUBLE)'
+
+
+@query("vignette", O.out(O.PX, "px", image_id="image_id", row='"row"', col="col", v=_pin(f"{_U} * (1.0::DOUBLE + {_R2} * (-0.125::DOUBLE * {_R2} + 0.5::DOUBLE))")))
+def _(spark, d):
+    return stage.vignette(sensor(spark, d), (250.0, 32.0), 256.0, [0.5, -0.125])
+
+
+def _resample_sql() -> str:
+    def one(name: str, source: str, line: str, size_in: int, size_out: int) -> str:
+        other = "col" if line == "row" else "row"
+        d = "abs(a - i)"
+        w = f"floor(CASE WHEN {d} < 1 THEN ((1.25::DOUBLE * {d} - 2.25::DOUBLE) * {d}) * {d} + 1.0::DOUBLE WHEN {d} < 2 THEN ((-0.75::DOUBLE * {d} + 3.75::DOUBLE) * {d} - 6.0::DOUBLE) * {d} + 3.0::DOUBLE ELSE 0 END * 1024 + 0.5::DOUBLE)::BIGINT"
+        return f"""{name}w AS (SELECT o, i, {w} AS w FROM (SELECT o, a, floor(a)::BIGINT - 1 + k AS i FROM (SELECT o, (o + 0.5::DOUBLE) * {size_in / size_out}::DOUBLE - 0.5::DOUBLE AS a FROM range({size_out}) t(o)), range(4) u(k)) WHERE i BETWEEN 0 AND {size_in - 1}),
+{name} AS (SELECT image_id, o AS "{line}", "{other}", least(4095, greatest(0, (sum(v * w)::BIGINT * 2 + sum(w)::BIGINT) // (sum(w)::BIGINT * 2))) AS v FROM {source} JOIN {name}w ON i = "{line}" GROUP BY ALL)"""
+
+    return O.plain(f"{O.PX}, src AS (SELECT * FROM px WHERE \"row\" < 500), {one('a', 'src', 'row', 500, 125)}, {one('b', 'a', 'col', 64, 24)}", "b", PIXEL)
+
+
+@query("resample_bicubic", _resample_sql())
+def _(spark, d):
+    return stage.resample(stage.resample(sensor(spark, d).where("row < 500"), "row", 500, 125), "col", 64, 24)
+
+
+@query("histogram", O.out(O.PX, '(SELECT image_id, v, count(*) AS n FROM px WHERE "row" BETWEEN 10 AND 199 GROUP BY ALL)', image_id="image_id", v="v", n="n"))
+def _(spark, d):
+    return sensor(spark, d).where("row between 10 and 199").groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "image_diff",
+    O.out(f"{O.PX}, b AS (SELECT image_id, \"row\" + 1 AS \"row\", col, v AS w FROM px)", '(SELECT image_id, count(*) AS n, sum(CASE WHEN v IS NOT DISTINCT FROM w THEN 0 ELSE 1 END) AS k, max(abs(v - w)) AS m FROM px FULL JOIN b USING (image_id, "row", col) GROUP BY image_id)', image_id="image_id", samples="n", differing="k", greatest="m"),
+)
+def _(spark, d):
+    px = sensor(spark, d)
+    return stage.differences(px, px.withColumn("row", F.col("row") + 1))
+
+
+@query(
+    "tile_digest",
+    f"""WITH {O.PX}, t AS (SELECT image_id, "row" // 16 AS tr, col // 16 AS tc, md5(string_agg(v::VARCHAR, ',' ORDER BY "row", col)) AS d FROM px GROUP BY ALL)
+    SELECT image_id::BIGINT AS image_id, count(*)::BIGINT AS tiles, md5(string_agg(d, '' ORDER BY tr, tc)) AS digest FROM t GROUP BY image_id""",
+)
+def _(spark, d):
+    return stage.tile_digest(sensor(spark, d), 16)
+
+
+for _flip, (_r, _c) in {"horizontal": ('"row"', "63 - col"), "vertical": ('-"row"', "col"), "both": ('-"row"', "63 - col")}.items():
+
+    @query(f"flip_{_flip}", O.out(O.PX, "px", image_id="image_id", row=_r, col=_c, v="v >> 2"))
+    def _(spark, d, flip=_flip):
+        row = F.col("row") if flip == "horizontal" else -F.col("row")
+        col = F.col("col") if flip == "vertical" else F.lit(63) - F.col("col")
+        return sensor(spark, d).select("image_id", row.alias("row"), col.alias("col"), F.shiftright("v", 2).alias("v"))
+
+
+@query("channel_geometry", O.out(O.planes(), '(SELECT image_id, channel, max(col) + 1 AS w, max("row") + 1 AS h FROM planes GROUP BY ALL)', image_id="image_id", channel="channel", width="w", height="h"))
+def _(spark, d):
+    return _planes(spark, d).groupBy("image_id", "channel").agg((F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height"))
+
+
+# --- scalars -----------------------------------------------------------------------------------
+
+
+@query("string_ops", scalars.STRING_SQL)
+def _(spark, d):
+    return scalars.string_ops(_table(spark, d, "customer"))
+
+
+@query("iso_dates", scalars.DATES_SQL)
+def _(spark, d):
+    return scalars.iso_dates(_table(spark, d, "orders"))
+
+
+@query("exif_dates", scalars.EXIF_SQL)
+def _(spark, d):
+    return scalars.exif_dates(_table(spark, d, "orders"))
+
+
+@query("json_props", scalars.JSON_SQL)
+def _(spark, d):
+    return scalars.json_props(_table(spark, d, "events"))
+
+
+@query("map_merge", scalars.MERGE_SQL)
+def _(spark, d):
+    return scalars.map_merge(_table(spark, d, "customer"), _table(spark, d, "nation"))
+
+
+@query("dyadic_rational", scalars.DYADIC_SQL)
+def _(spark, d):
+    return scalars.dyadic(_table(spark, d, "lineitem"))
+
+
+@query("color_matrix", scalars.MATRIX_SQL)
+def _(spark, d):
+    return scalars.color_matrix(_table(spark, d, "supplier"))
+
+
+@query("pixel_format", scalars.FORMAT_SQL)
+def _(spark, d):
+    return scalars.pixel_format(_table(spark, d, "lineitem"))
