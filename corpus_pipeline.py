@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import exact_dedup, mixing, packing, simhash, toxicity
-from lumenframe.llm.common import materialize, table
+from lumenframe.llm.common import materialize, table, unused
 
 #: Nine tenths of the tokens stay; no document is repeated.
 MIX = {"share": (9, 10), "max_epochs": 1}
@@ -20,7 +20,8 @@ MIX = {"share": (9, 10), "max_epochs": 1}
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5."""
     scorer = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, scorer).where("__score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = unused(docs, "__score")
+    return toxicity.score(docs, scorer, out=score).where(F.col(score) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

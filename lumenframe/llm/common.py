@@ -50,3 +50,11 @@ def ship_package(spark: SparkSession) -> None:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -222,17 +222,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 16000, terms: int =
     return Scorer({t: float(w[i]) for t, i in place.items() if w[i]}, bias)
 
 
-def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
-    """docs with __score appended; one pass, no shuffle."""
+def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out: str = "__score") -> DataFrame:
+    """docs with the score appended; one pass, no shuffle."""
     ship_package(docs.sparkSession)
     width = len(docs.columns)
     at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
 
     def run(batches):
         for batch in batches:
             values = [scorer(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), pa.array(values, pa.float64())], [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), pa.array(values, pa.float64())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)
 
