@@ -23,6 +23,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import materialize
+
 
 @dataclass(frozen=True)
 class Targets:
@@ -113,7 +115,7 @@ def mix(
     tokens=None,
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """docs with __domain, __tokens, __budget and __copies (how often the mix holds the row; rows with 0 are left out).
+    """row (all columns of docs), domain, tokens, budget (of the leaf) and copies (how often the mix holds the row; rows with 0 are left out).
 
     share: the total budget as a fraction of all tokens. max_epochs: how often a document may be repeated.
     """
@@ -146,30 +148,32 @@ def mix(
     plan = (
         budgets.join(ends.select(*LEAF, "cut_bucket"), LEAF, "left")
         .join(cuts, LEAF, "left")
-        .select(*[F.col(c).alias(f"__p_{c}") for c in LEAF], F.col("budget").alias("__budget"), "whole", "rest", F.coalesce("cut_key", "cut_bucket").alias("cut"))
+        .select(*LEAF, "budget", "whole", "rest", F.coalesce("cut_key", "cut_bucket").alias("cut"))
+    )
+    # One row a leaf, as a written table: Spark knows its size, broadcasts it while that is small and else joins by sorting.
+    plan = materialize(plan, "leaf-plan")
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
+        domain(F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("domain"),
+        (F.col(tokens) if tokens else token_estimate(F.col("text"))).cast("bigint").alias("n"),
     )
-    marked = docs.withColumns({
-        "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-        "__source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "__tokens": (F.col(tokens) if tokens else token_estimate(F.col("text"))).cast("bigint"),
-    }).withColumn("__domain", domain(F.col("__source")))
-    on = [marked["__domain"] == plan["__p_domain"], marked["__lang"] == plan["__p_lang"], marked["__source"] == plan["__p_source"]]
-    taken = (F.col("rest") > 0) & (order_key(F.col("whole"), F.col(id_col)) <= F.col("cut"))
+    taken = (F.col("rest") > 0) & (order_key(F.col("whole"), F.col(f"row.{id_col}")) <= F.col("cut"))
     return (
-        marked.join(plan, on)
-        .withColumn("__copies", F.col("whole") + F.when(taken, 1).otherwise(0))
-        .where("__copies > 0")
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "__domain", "__tokens", "__budget", "__copies")
+        marked.join(plan, LEAF)
+        .withColumn("copies", F.col("whole") + F.when(taken, 1).otherwise(0))
+        .where("copies > 0")
+        .select(F.col("row"), F.col("domain"), F.col("n").alias("tokens"), "budget", "copies")
     )
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of docs as often as it was taken, columns as they were."""
     mixed = mix(docs, **how)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    if how.get("max_epochs", 4) == 1:
-        return mixed.select(*names)
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    if how.get("max_epochs", 4) > 1:
+        mixed = mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return mixed.select("row.*")
 
 
 def _case(column: str, weights: dict[str, int], other: int) -> str:

@@ -11,11 +11,11 @@ ORACLE_SQL = mixing.oracle_sql()
 def query(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(
-        "doc_id",
-        F.col("__domain").alias("domain"),
-        F.coalesce("lang", F.lit("")).alias("lang"),
-        F.coalesce("source", F.lit("")).alias("source"),
-        F.col("__tokens").alias("n_tokens"),
-        F.col("__budget").alias("leaf_budget"),
-        F.col("__copies").cast("bigint").alias("copies"),
+        "row.doc_id",
+        "domain",
+        F.coalesce("row.lang", F.lit("")).alias("lang"),
+        F.coalesce("row.source", F.lit("")).alias("source"),
+        F.col("tokens").alias("n_tokens"),
+        F.col("budget").alias("leaf_budget"),
+        F.col("copies").cast("bigint").alias("copies"),
     )
