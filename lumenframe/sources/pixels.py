@@ -39,7 +39,7 @@ def raw_frames(files: DataFrame, width: int, skip_rows: int = 0) -> DataFrame:
     return line.select("path", "row", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), sample)).alias("col", "v"))
 
 
-def file_kind(path):
-    """RAW, GPR, DNG, PPM, JPG or VC5 by suffix, any case; null for others."""
+def file_kind(path, kinds: tuple[str, ...] = ("raw", "dng", "ppm", "jpg", "vc5")):
+    """The suffix in capitals if it is one of `kinds`, any case; null for others."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^.]+)$", 1))
-    return F.when(suffix.isin("raw", "gpr", "dng", "ppm", "jpg", "vc5"), F.upper(suffix))
+    return F.when(suffix.isin(*kinds), F.upper(suffix))

@@ -41,7 +41,7 @@ def test_patches(spark):
 
 
 def test_metadata_packets(spark):
-    xml = """<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:e="urn:e" e:Make="M">
+    xml = """<x:xmpmeta xmlns:x="urn:meta"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:e="urn:e" e:Make="M">
     <e:Subject><rdf:Bag><rdf:li>one</rdf:li><rdf:li>two</rdf:li></rdf:Bag></e:Subject><e:Place><e:City>C</e:City></e:Place></rdf:Description></rdf:RDF></x:xmpmeta>"""
     found = trees.properties(spark.createDataFrame([(1, xml), (2, "no xml"), (3, None)], "k int, x string"), "k", "x").collect()
     assert {(r.path, r.value) for r in found} == {("Make", "M"), ("Subject[1]", "one"), ("Subject[2]", "two"), ("Place/City", "C")}
