@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lumenframe.llm.common import ship_package, text_or_empty
 from lumenframe.llm.parsing import mix64
@@ -335,7 +336,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return rows.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("ord"), "doc_id", "t")
     rows = rows.withColumn("s", F.sha2("t", 256))
     named = rows.select("doc_id", "s").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "s")
-    schema = named.schema.add("ord", "bigint", False)
+    schema = StructType([*named.schema.fields, StructField("ord", LongType())])
     order = docs.sparkSession.createDataFrame(named.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
     order = order.select(F.col("doc_id").alias("d"), F.col("s").alias("z"), "ord")
     return rows.join(order, rows["doc_id"].eqNullSafe(order["d"]) & (rows["s"] == order["z"])).select("ord", "doc_id", "t")
@@ -387,15 +388,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, shard_bytes: int = 1 << 2
     settled = (
         found.repartition("key").sortWithinPartitions("kind", "key", "stretch", "ord", "span")
         .mapInArrow(_settle, "kind tinyint, key bigint, ord bigint, span bigint")
-        .repartition("ord")
     )
     needs = settled.where("kind = 0")
     hot_keys = needs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {hot}").select("key", F.lit(True).alias("hot"))
     needs = needs.join(hot_keys, "key", "left").groupBy("ord").agg(F.collect_list(F.struct("key", "span", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("needs"))
     by_doc = rows.repartition("ord")
-    pieces = by_doc.select("ord", "t").join(needs, "ord").select("ord", "t", "needs").mapInArrow(_cut(length), "key bigint, ord bigint, begin bigint, t binary")
+    # doc_id goes along, so that both joins want the same columns and share the exchange of the texts
+    pieces = by_doc.join(needs, "ord").select("ord", "t", "needs", "doc_id").mapInArrow(_cut(length), "key bigint, ord bigint, begin bigint, t binary")
     partial = pieces.repartition("key").sortWithinPartitions("key", "ord", "begin").mapInArrow(_shards(length, shard_bytes), "ord bigint, span bigint")
-    spans = settled.where("kind = 1").select("ord", "span").unionByName(partial).distinct().groupBy("ord").agg(F.collect_list("span").alias("spans"))
+    spans = settled.where("kind = 1").select("ord", "span").unionByName(partial).groupBy("ord").agg(F.collect_set("span").alias("spans"))
     last = by_doc.join(spans, "ord", "left").select("doc_id", "t", "spans")
     kind = last.schema["doc_id"].dataType.simpleString()
 
