@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import curves, scalars
-from lumenframe.operators import bayer, entropy, stage, wavelet
+from lumenframe.operators import bayer, entropy, render, stage, wavelet
 from lumenframe.plans import oracle as O
 from lumenframe.sources.pixels import sensor
 
@@ -553,3 +553,76 @@ def _(spark, d):
 @query("pixel_format", scalars.FORMAT_SQL)
 def _(spark, d):
     return scalars.pixel_format(_table(spark, d, "lineitem"))
+
+
+# --- rendering ---------------------------------------------------------------------------------
+
+_X = "(v / 4095.0::DOUBLE)"
+
+
+def _milli(x: str) -> str:
+    return f"floor(({x}) * 1000.0::DOUBLE + 0.5::DOUBLE)"
+
+
+@query(
+    "tone_curves",
+    O.out(
+        O.PX, "px", image_id="image_id", row='"row"', col="col",
+        srgb=_milli(f"CASE WHEN {_X} <= 0.0031308::DOUBLE THEN {_X} * 12.92::DOUBLE ELSE 1.055::DOUBLE * power({_X}, 1.0::DOUBLE / 2.4::DOUBLE) - 0.055::DOUBLE END"),
+        linear=_milli(f"CASE WHEN {_X} <= 0.04045::DOUBLE THEN {_X} / 12.92::DOUBLE ELSE power(({_X} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END"),
+        gamma=_milli(f"power({_X}, 1.0::DOUBLE / 1.8::DOUBLE)"),
+        ramp=_milli(f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN {_X} <= 0.375::DOUBLE THEN 0.0 WHEN {_X} >= 0.625::DOUBLE THEN ({_X} - 0.5::DOUBLE) * 4.0::DOUBLE ELSE 8.0::DOUBLE * ({_X} - 0.375::DOUBLE) * ({_X} - 0.375::DOUBLE) END))"),
+        sigma=_milli(f"sqrt({_X} * 0.25::DOUBLE + 0.0625::DOUBLE)"),
+    ),
+)
+def _(spark, d):
+    x = F.col("v") / F.lit(4095.0)
+    milli = lambda e: F.floor(e * 1000.0 + 0.5)
+    return sensor(spark, d).select(
+        "image_id", "row", "col", milli(render.srgb_encode(x)).alias("srgb"), milli(render.srgb_decode(x)).alias("linear"), milli(render.gamma_encode(x, 1.8)).alias("gamma"),
+        milli(render.exposure_ramp(x, 0.5, 0.75, 0.125)).alias("ramp"), milli(render.noise_sigma(x, 0.25, 0.0625)).alias("sigma"),
+    )
+
+
+_GAINS, _M = (1.875, 1.0, 1.75), [1.5, -0.25, -0.25, -0.375, 1.625, -0.25, 0.125, -0.5, 1.375]
+
+
+def _balanced_sql() -> str:
+    c = [f"least(1.0::DOUBLE, {x} / 4095.0::DOUBLE * {k}::DOUBLE)" for x, k in zip("rgb", _GAINS, strict=True)]
+    ctes = f"""{O.PX}, cell AS (SELECT image_id, "row" // 2 AS "row", col // 2 AS col, max(CASE WHEN "row" % 2 = 0 AND col % 2 = 0 THEN v END) AS r, max(CASE WHEN "row" % 2 = 0 AND col % 2 = 1 THEN v END) AS g, max(CASE WHEN "row" % 2 = 1 AND col % 2 = 1 THEN v END) AS b FROM px GROUP BY ALL),
+    s AS (SELECT image_id, "row", col, {c[0]} AS x, {c[1]} AS y, {c[2]} AS z FROM cell),
+    m AS (SELECT image_id, "row", col, {', '.join(f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, x * {_M[3 * i]}::DOUBLE + y * {_M[3 * i + 1]}::DOUBLE + z * {_M[3 * i + 2]}::DOUBLE)) AS {n}" for i, n in enumerate("rgb"))} FROM s),
+    h AS (SELECT *, greatest(r, g, b) AS top, greatest(r, g, b) - least(r, g, b) AS gap FROM m)"""
+    hue = "CASE WHEN gap = 0 THEN 0.0::DOUBLE WHEN r = top THEN (g - b) / gap + CASE WHEN g < b THEN 6.0::DOUBLE ELSE 0.0::DOUBLE END WHEN g = top THEN 2.0::DOUBLE + (b - r) / gap ELSE 4.0::DOUBLE + (r - g) / gap END"
+    return O.out(ctes, "h", image_id="image_id", row='"row"', col="col", r=_milli("r"), g=_milli("g"), b=_milli("b"), hue=_milli(hue), saturation=_milli("CASE WHEN top > 0 THEN gap / top ELSE 0.0::DOUBLE END"))
+
+
+@query("white_balance_hsv", _balanced_sql())
+def _(spark, d):
+    place = lambda r, c: F.max(F.when((F.col("row") % 2 == r) & (F.col("col") % 2 == c), F.col("v"))) / F.lit(4095.0)
+    cells = sensor(spark, d).groupBy("image_id", F.shiftright("row", 1).alias("r0"), F.shiftright("col", 1).alias("c0")).agg(place(0, 0).alias("r"), place(0, 1).alias("g"), place(1, 1).alias("b"))
+    done = cells.select("image_id", F.col("r0").alias("row"), F.col("c0").alias("col"), *[x.alias(n) for x, n in zip(render.balanced(F.col("r"), F.col("g"), F.col("b"), _GAINS, _M), "rgb", strict=True)])
+    h, s, _v = render.hsv(F.col("r"), F.col("g"), F.col("b"))
+    milli = lambda e: F.floor(e * 1000.0 + 0.5)
+    return done.select("image_id", "row", "col", *[milli(F.col(n)).alias(n) for n in "rgb"], milli(h).alias("hue"), milli(s).alias("saturation"))
+
+
+@query(
+    "warp_radial",
+    O.out(
+        f"""{O.PX}, t AS (SELECT image_id, "row", col, ("row" - 250.0::DOUBLE) / 256.0::DOUBLE AS dr, (col - 32.0::DOUBLE) / 256.0::DOUBLE AS dc FROM px WHERE "row" < 500),
+        q AS (SELECT *, 0.0625::DOUBLE * (dr * dr + dc * dc) + 0.9375::DOUBLE AS k FROM t),
+        s AS (SELECT *, floor(250.0::DOUBLE + dr * k * 256.0::DOUBLE + 0.5::DOUBLE)::INT AS sr, floor(32.0::DOUBLE + dc * k * 256.0::DOUBLE + 0.5::DOUBLE)::INT AS sc FROM q)""",
+        's JOIN px p ON p.image_id = s.image_id AND p."row" = sr AND p.col = sc AND sr < 500', image_id="s.image_id", row='s."row"', col="s.col", v="p.v",
+    ),
+)
+def _(spark, d):
+    return render.warp_nearest(sensor(spark, d).where("row < 500"), (250.0, 32.0), 256.0, [0.9375, 0.0625], 500, 64)
+
+
+@query(
+    "edge_replicate",
+    O.out(f"{O.PX}, g AS (SELECT r, c FROM range(-2, 502) a(r), range(-2, 66) b(c))", 'g JOIN px ON px."row" = least(499, greatest(0, r)) AND px.col = least(63, greatest(0, c)) AND px."row" < 500', image_id="image_id", row="r", col="c", v="v"),
+)
+def _(spark, d):
+    return render.replicated_edges(sensor(spark, d).where("row < 500"), 500, 64, 2)
