@@ -15,7 +15,7 @@ likeness of two fingerprints is the share of equal bins among those filled in ei
 
 All of it is numpy over many texts at once; a text boundary is a landmark. op1 needs each text's
 successor in falling doc_id: rows are dealt into ranges whose bounds are ids that occur, the first
-row of a range is also sent to the range before, and a window inside the range looks ahead. The
+row of a range is also sent to the range before, and the sorted rows are read in one pass. The
 texts are shuffled once, no range grows with skew, and there is no global sort in one task.
 
 Defined cases: a null text counts as empty; the empty text's fingerprint is the hash of nothing in
@@ -26,11 +26,12 @@ successor. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import ship_package
@@ -183,50 +184,57 @@ def fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint
     return docs.mapInArrow(run, f"{inner}, `{out}` string")
 
 
-def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """docs: doc_id (long), text, fingerprint. Adds next_text and next_print: those of the next row in falling doc_id, the first after the last."""
+def in_falling_order(docs: DataFrame, ranges: int) -> DataFrame:
+    """docs: doc_id (long), text. Rows (r, ahead, doc_id, text), sorted inside partitions: those of a range in falling
+    doc_id, then (ahead = 1) the first row of the range that follows; the first range follows the last."""
     least = -(1 << 63)
-    rows = docs.withColumn("at", F.coalesce("doc_id", F.lit(least)))
     steps = [i / ranges for i in range(1, ranges)] + [1.0]
     bounds = docs.agg(F.percentile_approx("doc_id", steps, 10 * ranges), F.max("doc_id")).head()
-    if bounds[1] is None:
-        bounds = [[], least]
-    heads = sorted({*(bounds[0] or []), bounds[1]}, reverse=True)  # range k holds heads[k] >= at > heads[k + 1]
-    heads_lit = F.array(*[F.lit(h) for h in reversed(heads)])
-    k = F.size(F.filter(heads_lit, lambda h: h >= F.col("at"))) - 1
-    is_head = F.array_contains(heads_lit, F.col("at"))
-    before = F.when(F.col("k") > 0, F.col("k") - 1).otherwise(F.lit(len(heads) - 1))
-    placed = rows.withColumn("k", k).withColumn(
-        "place",
-        F.explode(
-            F.when(is_head, F.array(F.struct(F.col("k").alias("r"), F.lit(0).alias("ahead")), F.struct(before.alias("r"), F.lit(1).alias("ahead"))))
-            .otherwise(F.array(F.struct(F.col("k").alias("r"), F.lit(0).alias("ahead"))))
-        ),
-    )
-    order = Window.partitionBy("place.r").orderBy(F.col("place.ahead"), F.col("at").desc(), F.col("text_hash"))
-    placed = placed.withColumn("text_hash", F.xxhash64("text"))
-    ahead = F.lead(F.struct("text", "fingerprint")).over(order)
-    return placed.withColumn("next", ahead).where("place.ahead = 0").select("doc_id", "text", "fingerprint", F.col("next.text").alias("next_text"), F.col("next.fingerprint").alias("next_print"))
+    heads = sorted({*(bounds[0] or []), least if bounds[1] is None else bounds[1]})  # a range: from one head down to the next
+    falling = F.array(*[F.lit(h) for h in heads])
+    rows = docs.withColumn("at", F.coalesce("doc_id", F.lit(least)))
+    k = F.size(F.filter(falling, lambda h: h >= F.col("at"))) - 1
+    before = F.when(k > 0, k - 1).otherwise(F.lit(len(heads) - 1))
+    place = lambda r, ahead: F.struct(r.alias("r"), F.lit(ahead).alias("ahead"))
+    places = F.when(F.array_contains(falling, F.col("at")), F.array(place(k, 0), place(before, 1))).otherwise(F.array(place(k, 0)))
+    placed = rows.withColumn("place", F.explode(places)).select("place.r", "place.ahead", "at", "doc_id", "text")
+    return placed.repartition("r").sortWithinPartitions("r", "ahead", F.col("at").desc(), F.xxhash64("text")).select("r", "ahead", "doc_id", "text")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Each row's fingerprint and that of its edited text (last third replaced by the start of the next document)."""
     spark = docs.sparkSession
+    ship_package(spark)
     ranges = ranges or min(4096, max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ahead = with_next(fingerprint(base), ranges)
-    n = F.length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = ahead.withColumn("n_chars", n.cast("bigint")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third)))
-    told = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "next_print", "edited")
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the last row of the batch before, whose next row is still to come
         for batch in batches:
-            own, following = (from_text(batch.column(i).to_pylist()) for i in (3, 4))
-            changed = in_blocks(batch.column(5).to_pylist())
+            rows = held + list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+            prints = in_blocks([r[3] for r in rows[len(held) :]])
+            prints = np.concatenate([last, prints]) if held else prints
+            own = [i for i in range(len(rows) - 1) if not rows[i][1]]  # a row that is ahead has no row of its own after it
+            edited = []
+            for i in own:
+                text = rows[i][3]
+                third = len(text) // 3
+                edited.append(text[: len(text) - third] + rows[i + 1][3][:third])
+            changed, mine = in_blocks(edited), prints[own]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(4)), pa.array(to_text(changed), pa.string()), pa.array(likeness(own, changed)), pa.array(likeness(own, following))],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                [
+                    pa.array([rows[i][2] for i in own], pa.int64()),
+                    pa.array([len(rows[i][3]) for i in own], pa.int64()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+                    pa.array(to_text(mine), pa.string()),
+                    pa.array(to_text(changed), pa.string()),
+                    pa.array(likeness(mine, changed)),
+                    pa.array(likeness(mine, prints[[i + 1 for i in own]])),
+                ],
+                names,
             )
+            held, last = rows[-1:], prints[-1:]
 
-    return told.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    types = ("bigint", "bigint", "string", "string", "string", "double", "double")
+    return in_falling_order(base, ranges).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
