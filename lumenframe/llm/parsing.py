@@ -50,13 +50,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _toss(labels: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One round: 2 * (lowest differing bit) + that bit, against the left neighbour; text starts toss against 0's complement."""
+    """One round: 2 * (lowest differing bit) + that bit, against the left neighbour, as bytes; a text's start tosses against its complement."""
+    one = labels.dtype.type(1)
     left = np.empty_like(labels)
     left[1:] = labels[:-1]
     left[first] = ~labels[first]
     differ = labels ^ left
-    low = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.uint64)
-    return (low << np.uint64(1)) | ((labels >> low) & np.uint64(1))
+    low = np.bitwise_count((differ & (~differ + one)) - one)
+    return (low << np.uint8(1)) | ((labels >> low.astype(labels.dtype)) & one).astype(np.uint8)
 
 
 def _three(labels: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -82,7 +83,7 @@ def _landmarks(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     labels = symbols
     for _ in range(5):
         labels = _toss(labels, first)
-    c = _three(np.minimum(labels, np.uint64(5)), first, last)
+    c = _three(np.minimum(labels, np.uint8(5)), first, last)
     left, right = np.r_[np.int8(-1), c[:-1]], np.r_[c[1:], np.int8(-1)]
     left[first], right[last] = -1, -1
     top = (c > left) & (c > right) & ~first & ~last
