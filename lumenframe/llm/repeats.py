@@ -177,29 +177,31 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.zeros(n, np.uint64)
     for i in range(8):
         first = (first << np.uint64(8)) | wide[i : i + n]
-    short = np.minimum(n - np.arange(n), 8)  # a suffix that ends comes before one that goes on with zeros
-    order = np.lexsort((short, first))
-    new = np.r_[True, (first[order[1:]] != first[order[:-1]]) | (short[order[1:]] != short[order[:-1]])] if n else np.zeros(0, bool)
+    if n and data.min() > 0:
+        order = np.argsort(first)
+        new = np.r_[True, first[order[1:]] != first[order[:-1]]]
+    else:
+        short = np.minimum(n - np.arange(n), 8)  # a suffix that ends comes before one that goes on with zeros
+        order = np.lexsort((short, first))
+        new = np.r_[True, (first[order[1:]] != first[order[:-1]]) | (short[order[1:]] != short[order[:-1]])] if n else np.zeros(0, bool)
     starts = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(starts, np.diff(np.r_[starts, n]))
     step = 8
     while True:
-        sizes = np.diff(np.r_[starts, n])
-        open_at = np.repeat(starts[sizes > 1], sizes[sizes > 1]) + (np.arange(sizes[sizes > 1].sum()) - np.repeat(np.cumsum(sizes[sizes > 1]) - sizes[sizes > 1], sizes[sizes > 1]))
+        open_at = np.flatnonzero(~(new & np.r_[new[1:], True]))  # places in groups of more than one
         if not len(open_at):
             return order, rank
         s = order[open_at]
-        group = rank[s]
         after = s + step
-        beyond = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        by = np.lexsort((beyond, group))
-        s, group, beyond = s[by], group[by], beyond[by]
+        key = rank[s] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        s, key = s[by], key[by]
         order[open_at] = s
-        new = np.r_[True, (group[1:] != group[:-1]) | (beyond[1:] != beyond[:-1])]
-        heads = open_at[new]
-        rank[s] = np.repeat(heads, np.diff(np.r_[np.flatnonzero(new), len(s)]))
-        starts = np.union1d(starts, heads)
+        first_of = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        heads = open_at[first_of]
+        rank[s] = np.repeat(heads, np.diff(np.r_[first_of, len(s)]))
+        new[heads] = True
         step *= 2
 
 
