@@ -9,10 +9,8 @@ under its partition value and probed under all values within the threshold; what
 verified on all bits. Bit counts and co-occurrences are taken over all fingerprints; they
 choose the plan only, every plan finds the same links.
 
-similar_documents() is for links of a given shingle similarity: such texts differ in more bits than
-a sure plan can afford, so it takes wide fingerprints (256 bits) and verifies on all of them what
-meets in one of many exact partitions of about 11 bits; pairs that differ in fewer bits than there
-are partitions are sure to meet, those at similarity 0.8 do so 49 times in 50.
+similar_documents() (similar.py) is for links of a given shingle similarity: such texts differ in more
+bits than a sure plan can afford, so it joins the shingles themselves.
 
 Scale: equal fingerprints collapse first (map-side combine), so copies cost one row. A bucket of
 more than `block` rows is cut into blocks by hash and handled in pairs of blocks, one task cell
@@ -38,6 +36,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import materialize, ship_package, text_or_empty
 from lumenframe.llm.components import connected
+from lumenframe.llm.similar import shingles, similar_documents  # noqa: F401
 
 SEED = 42
 
@@ -53,17 +52,9 @@ def _hashes(pieces: list[bytes], bits: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 4, bits: int = 64) -> np.ndarray:
     """bits / 64 unsigned longs of the UTF-8 text: A-Z lowered, split at ASCII white space, each bit by majority."""
-    found = text.lower().split()
-    if not found:
+    pieces = shingles(text, words)
+    if not pieces:
         return np.zeros(bits // 64, np.uint64)
-    joined = b" ".join(found)
-    if len(found) <= words:
-        pieces = [joined]
-    else:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(found) - words + 1].tolist()
-        pieces = [joined[a:b] for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
     h, counts = _hashes(pieces, bits), np.zeros(bits, np.int64)
     for i in range(0, len(h), 4096):
         counts += np.unpackbits(h[i : i + 4096].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
@@ -163,11 +154,6 @@ def probe_plan(n: int, both: np.ndarray, radius: int) -> list[tuple[list[int], l
     return [(part, [list(flip) for k in range(t + 1) for flip in combinations(part, k)]) for part, t in zip(parts, chosen, strict=True) if t >= 0]
 
 
-def exact_parts(n: int, both: np.ndarray, width: int) -> list[tuple[list[int], list[list[int]]]]:
-    """Partitions of about `width` bits, each with threshold 0: sure for fewer differing bits than partitions, likely for more."""
-    return [(part, [[]]) for part in correlated_parts(n, both, max(1, len(both) // width))]
-
-
 def _mask(bits: list[int], word: int) -> int:
     return _signed(sum(1 << (i % 64) for i in bits if i // 64 == word))
 
@@ -303,10 +289,3 @@ def radius_for(similarity: float, bits: int, margin: float = 0.5) -> int:
     """The bits in which two texts of that shingle similarity (Jaccard) differ: expected, and `margin` standard deviations more."""
     p = acos(2 * similarity / (1 + similarity)) / pi
     return int(bits * p + margin * sqrt(bits * p * (1 - p)))
-
-
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 256, width: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id by links of at least `similarity`, as the wide fingerprints estimate it."""
-    seen = materialize(fingerprints(docs, words, bits, id_col, text_col), "fingerprints")
-    named = _components(seen, lambda n, both: exact_parts(n, both, width), radius_for(similarity, bits), bits)
-    return seen.join(named, names(bits)).select("doc_id", "component_id")

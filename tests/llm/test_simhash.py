@@ -86,3 +86,44 @@ def test_no_edges_and_empty_tables(make, spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u bigint, v bigint")
     assert {r.root for r in components.connected(chain).collect()} == {0}
     assert simhash.near_duplicates(make([])).count() == 0 and simhash.similar_documents(make([])).count() == 0
+
+
+def slow_similar(rows, words=5):
+    """Components by links of Jaccard >= 0.8 over word shingles, all pairs compared; the pairs."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    label, pairs = list(range(len(rows))), []
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                pairs.append((i, j))
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    least = {}
+    for (i, _), c in zip(rows, label):
+        least[c] = min(i, least.get(c, i))
+    return {i: least[c] for (i, _), c in zip(rows, label)}, pairs
+
+
+def test_similar_documents_are_those_of_brute_force(make):
+    """Pairs on both sides of 0.8, one common passage, one group larger than a block."""
+    rng = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(40):
+        text = [f"t{x}" for x in rng.integers(0, 9000, 244)] + (passage if k % 2 else [])
+        rows.append((k, " ".join(text)))
+        for copy, edits in enumerate(rng.integers(1, 10, 3)):
+            changed = list(text)
+            for x in range(edits):
+                changed[10 + x * 24] = f"c{k}_{copy}_{x}"
+            rows.append((1000 + k * 10 + copy, " ".join(changed)))
+    group = [f"g{x}" for x in rng.integers(0, 9000, 100)]
+    rows += [(5000 + i, " ".join([*group[:50], f"own{i}", *group[50:]])) for i in range(70)]
+    expected, pairs = slow_similar(rows)
+    assert len(pairs) > 2000
+    for block in (4096, 30):
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(make(rows), block=block).collect()} == expected
