@@ -330,18 +330,18 @@ def _shards(length: int, shard_bytes: int):
     return run
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """ord (long, in the order of documents), doc_id, t (bytes)."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """ord (long, in the order of documents), doc_id, t (bytes); whether several rows may have one ord."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"))
     simple = docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
     if simple and rows.agg((F.count("doc_id") == F.count(F.lit(1))).alias("all")).head()[0] and rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rows.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("ord"), "doc_id", "t")
+        return rows.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("ord"), "doc_id", "t"), False
     rows = rows.withColumn("s", F.sha2("t", 256))
     named = rows.select("doc_id", "s").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "s")
     schema = StructType([*named.schema.fields, StructField("ord", LongType())])
     order = docs.sparkSession.createDataFrame(named.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
     order = order.select(F.col("doc_id").alias("d"), F.col("s").alias("z"), "ord")
-    return rows.join(order, rows["doc_id"].eqNullSafe(order["d"]) & (rows["s"] == order["z"])).select("ord", "doc_id", "t")
+    return rows.join(order, rows["doc_id"].eqNullSafe(order["d"]) & (rows["s"] == order["z"])).select("ord", "doc_id", "t"), True
 
 
 def _cut(length: int):
@@ -384,8 +384,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, shard_bytes: int = 1 << 2
     if not GRAM < length <= 32_000:
         raise ValueError(f"length must be over {GRAM} and at most 32000")
     ship_package(docs.sparkSession)
-    rows = _numbered(docs, id_col, text_col)
+    rows, once = _numbered(docs, id_col, text_col)
     texts = rows.select("ord", "t")
+    if once:
+        texts = texts.dropDuplicates(["ord"])
     found = texts.mapInArrow(_anchor_rows(length), "kind tinyint, key bigint, stretch bigint, ord bigint, span bigint")
     settled = (
         found.repartition("key").sortWithinPartitions("kind", "key", "stretch", "ord", "span")
@@ -396,7 +398,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, shard_bytes: int = 1 << 2
     needs = needs.join(hot_keys, "key", "left").groupBy("ord").agg(F.collect_list(F.struct("key", "span", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("needs"))
     by_doc = rows.repartition("ord")
     # doc_id goes along, so that both joins want the same columns and share the exchange of the texts
-    pieces = by_doc.join(needs, "ord").select("ord", "t", "needs", "doc_id").mapInArrow(_cut(length), "key bigint, ord bigint, begin bigint, t binary")
+    cuts = by_doc.join(needs, "ord").select("ord", "t", "needs", "doc_id")
+    if once:
+        cuts = cuts.dropDuplicates(["ord"])
+    pieces = cuts.mapInArrow(_cut(length), "key bigint, ord bigint, begin bigint, t binary")
     partial = pieces.repartition("key").sortWithinPartitions("key", "ord", "begin").mapInArrow(_shards(length, shard_bytes), "ord bigint, span bigint")
     spans = settled.where("kind = 1").select("ord", "span").unionByName(partial).groupBy("ord").agg(F.collect_set("span").alias("spans"))
     last = by_doc.join(spans, "ord", "left").select("doc_id", "t", "spans")

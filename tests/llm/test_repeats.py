@@ -60,3 +60,17 @@ def test_odd_rows(make):
     same = [(r.doc_id, len(r.spans)) for r in found if r.doc_id == 1]
     assert same == [(1, 0)] * 3
     assert repeats.remove_repeats(make([])).count() == 0
+
+
+@pytest.mark.parametrize("how", [{}, {"shard_bytes": 300, "hot": 1}])
+def test_repeated_rows_are_one_document(make, how):
+    """Rows of one id and text over `length` bytes: none repeats the other, and each is reported alike."""
+    rng = np.random.default_rng(3)
+    own = ["".join(rng.choice(list("abcdé "), 150)) for _ in range(4)]
+    rows = [(1, own[0]), (1, own[0]), (1, own[0]), (2, own[1] + own[0]), (2, own[1] + own[0]), (3, own[2] + own[1] + own[3]), (4, own[3] * 2)]
+    alone = sorted(set(rows))
+    expected = dict(zip(alone, slow([(i, t.encode()) for i, t in alone], 100)))
+    found = repeats.remove_repeats(make(rows), **how).collect()
+    assert expected[rows[0]] == [] and any(expected.values())
+    want = sorted((i, expected[i, t]) for i, t in rows)
+    assert sorted((r.doc_id, [(s.begin, s.end) for s in r.spans]) for r in found) == want
