@@ -304,7 +304,8 @@ def _shards(length: int, shard_bytes: int):
             new = np.r_[True, (ords[1:] != ords[:-1]) | (at[1:] != at[:-1] + 1)] if len(at) else np.zeros(0, bool)
             first = np.flatnonzero(new)
             last = np.r_[first[1:], len(at)][: len(first)] - 1
-            return pa.RecordBatch.from_arrays([pa.array(ords[first]), pa.array((at[first] << 16) | np.minimum(at[last] - at[first] + length, 65535))], ["ord", "span"])
+            ords, spans = packed(ords[first], at[first], at[last] - at[first] + length)
+            return pa.RecordBatch.from_arrays([pa.array(ords), pa.array(spans)], ["ord", "span"])
 
         for batch in batches:
             for key, ident, begin, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -368,6 +369,14 @@ def _cut(length: int):
     return run
 
 
+def packed(ords: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = 65535) -> tuple[np.ndarray, np.ndarray]:
+    """Runs as packed spans (begin << 16 | size); a longer run is several that touch, which merged() unites."""
+    parts = -(-size // most)
+    of = np.repeat(np.arange(len(size)), parts)
+    done = (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * most
+    return ords[of], ((begin[of] + done) << 16) | np.minimum(size[of] - done, most)
+
+
 def merged(spans: list[int], size: int) -> list[tuple[int, int]]:
     """Packed spans (begin << 16 | size) to maximal runs (begin, end)."""
     if not spans:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenframe.llm import repeats
@@ -74,3 +75,11 @@ def test_repeated_rows_are_one_document(make, how):
     assert expected[rows[0]] == [] and any(expected.values())
     want = sorted((i, expected[i, t]) for i, t in rows)
     assert sorted((r.doc_id, [(s.begin, s.end) for s in r.spans]) for r in found) == want
+
+
+def test_a_run_longer_than_a_packed_span():
+    """A shard reports every byte of a repeated run of over 65,535."""
+    text = np.random.default_rng(5).integers(1, 256, 140_000).astype(np.uint8).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 7]), pa.array([1, 2]), pa.array([0, 30]), pa.array([text, text])], ["key", "ord", "begin", "t"])
+    spans = [s for b in repeats._shards(100, 1 << 20)(iter([batch])) for o, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if o == 2]
+    assert repeats.merged(spans, len(text) + 30) == [(30, 140_030)]
