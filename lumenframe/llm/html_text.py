@@ -1,22 +1,29 @@
 """Main text of web pages, without what a site repeats.
 
-A page is parsed into a tree (void and implied-end elements as browsers read them). Elements that
-are boilerplate by kind - scripts, menus, footers, forms and so on, or a class, id or role that
-names one - go, and the article (else main, else the body) is what remains. Then site templates go:
-every block element's subtree in the remaining content is hashed, Spark counts for each host on how many
-*different* contents a subtree occurs, and those on at least `share` of them (and `least` in
-number) are deleted from that host's pages. Copies of one page count once, so a much-copied
-article isn't taken for a template; the content's own root is never deleted.
-
-Scale: the counts combine on the map side by (host, subtree); at most mean-subtrees / share
-subtrees of a host can pass, so a host's list is bounded however many pages it has. The list goes
+1. A page is parsed into a tree (void and implied-end elements as browsers read them), and every
+   block element's subtree is hashed: tag, texts, digests of children.
+2. Spark counts for each host on how many *different* contents a subtree occurs; a content is the
+   page's main text, so copies of an article count once and a much-copied article isn't taken for a
+   template. Outside article and main a subtree is a template from `least` contents and `share` of
+   the host's; inside them, where repeated passages are the author's own, from `least_inside` and
+   `share_inside`.
+3. Templates of the host are deleted from the whole tree: menus, notices, adverts and footers
+   go here, whatever they are called.
+4. What counts can't decide - parts that differ from page to page, hosts of fewer than `least`
+   different contents - is pruned by kind: scripts, menus, footers, forms and so on, or a class, id
+   or role that names one and nothing else (share-buttons, but not share-price-table).
+5. The main text is that of the articles if they hold at least a quarter of what is left, else of
+   main, else of the body. Elements that contain an article or main are never deleted.
+
+Scale: the counts combine on the map side by (host, subtree) and are written once, so a page is
+parsed twice: for the counts and for the text. At most (mean subtrees a page) / share templates of a
+host can pass, so a host's list is bounded however many pages it has. The list goes
 through a table whose size Spark knows: it is broadcast while that is below its threshold and
-joined by sorting otherwise, where a host with most pages can be split. Pages are parsed twice
-instead of being stored as trees.
+joined by sorting otherwise, where a host with most pages can be split.
 
 Defined cases: null or empty html gives empty text; a null or odd url has host ''. Pages without
-any element are text as they stand. Repeated rows give repeated rows, an empty table none; other
-columns are ignored.
+any element are text as they stand. Very long pages are held in one worker as one tree, nothing is
+cut. Repeated rows give repeated rows, an empty table none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,13 +46,20 @@ BLOCKS = frozenset(
 #: A block that begins inside an open p ends it; these bound the search for it, and for open items.
 SCOPES = frozenset("article aside body button caption div footer header html main nav object section table td th".split())
 ENDS = {"li": ("li", frozenset({"ul", "ol", "menu"})), "dt": ("dt dd", frozenset({"dl"})), "dd": ("dt dd", frozenset({"dl"})), "tr": ("tr td th", frozenset({"table"})), "td": ("td th", frozenset({"tr", "table"})), "th": ("td th", frozenset({"tr", "table"})), "option": ("option", frozenset({"select"}))}
-DROPPED = frozenset("script style nav footer aside form noscript template iframe svg canvas button select textarea object head title menu dialog audio video math".split())
+DROPPED = frozenset("script style nav footer aside form noscript template iframe svg canvas button select textarea head title menu dialog audio video".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices popup promo promoted promotion related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+#: Words that may stand beside one of NAMES in a class or id without making it another thing.
+BESIDE = frozenset(
+    "a aa and area article articles bar block blog bottom box btn button buttons card cards center col column container content desktop end entry extra feed fixed for form global group header holder icon icons inner item items js layout left link links list main media mobile module my new nested outer overlay page panel part post posts primary reader row right secondary section single site sm slot small stack start sticky stories story tag tags the thread title top unit user users wide wrap wrapper".split()
+)
+#: Names that make even an article element boilerplate.
+CARDS = frozenset("ad ads advert advertisement comment comments promo promoted related reply replies responses sponsored teaser widget".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 KEPT_ROOTS = frozenset({"html", "body", "article", "main"})
-_WORDS = re.compile(r"[a-z0-9]+")
+_WORDS = re.compile(r"[a-z]+|[0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
@@ -111,22 +125,30 @@ def parse(html: str) -> Node:
     return tree.root
 
 
+def named(attrs: dict, names: frozenset) -> bool:
+    """Whether a class or the id is made of one of the names and words that may stand beside it."""
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w for w in _WORDS.findall(_CAMEL.sub("-", token).lower()) if not w.isdigit()]
+        if any(w in names for w in words) and all(w in NAMES or w in BESIDE for w in words):
+            return True
+    return False
+
+
 def boilerplate(node: Node, in_article: bool) -> bool:
     if node.tag in DROPPED:
         return True
+    a = node.attrs
+    if node.tag == "article":
+        return bool(a) and named(a, CARDS)
     if node.tag == "header":
         return not in_article
-    a = node.attrs
     if not a or node.tag in KEPT_ROOTS:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
     if a.get("role", "").lower() in ROLES:
         return True
-    named = set(_WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}".lower())) & NAMES
-    if in_article:
-        named.discard("header")
-    return bool(named)
+    return named(a, NAMES - {"header"} if in_article else NAMES)
 
 
 def prune(root: Node) -> None:
@@ -139,39 +161,80 @@ def prune(root: Node) -> None:
         stack.extend((c, inside) for c in node.children if not isinstance(c, str))
 
 
+def _is_main(node: Node) -> bool:
+    return node.tag == "main" or node.attrs.get("role") == "main"
+
+
+def _outermost(root: Node, wanted) -> list[Node]:
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if wanted(node):
+            found.append(node)
+        else:
+            stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    return found
+
+
+def _weight(roots: list[Node]) -> int:
+    """Characters of text that isn't white space."""
+    n, stack = 0, list(roots)
+    while stack:
+        node = stack.pop()
+        for c in node.children:
+            if isinstance(c, str):
+                n += sum(map(len, c.split()))
+            else:
+                stack.append(c)
+    return n
+
+
 def content(root: Node) -> list[Node]:
-    """Outermost articles, else main, else everything."""
-    for tag in ("article", "main", "body"):
-        found, stack = [], [root]
-        while stack:
-            node = stack.pop()
-            if node.tag == tag or (tag == "main" and node.attrs.get("role") == "main"):
-                found.append(node)
+    """Main, else the body, or the outermost articles in it where they hold a quarter of its text."""
+    whole = _outermost(root, _is_main)
+    if not _weight(whole):
+        whole = _outermost(root, lambda n: n.tag == "body") or [root]
+    articles = [a for w in whole for a in _outermost(w, lambda n: n.tag == "article")]
+    return articles if articles and 4 * _weight(articles) >= _weight(whole) else whole
+
+
+def hash_subtrees(root: Node) -> list[tuple[Node, bool]]:
+    """Set every element's digest (tag, texts with white space squeezed, digests of children). Block elements with children that hold no article or main, and whether they stand inside one."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        order.append((node, inside))
+        below = inside or node.tag == "article" or _is_main(node)
+        stack.extend((c, below) for c in node.children if not isinstance(c, str))
+    holders = set()  # elements that are or hold an article or main
+    for node, _ in reversed(order):
+        parts, holds = [node.tag], node.tag in KEPT_ROOTS or _is_main(node)
+        for c in node.children:
+            if isinstance(c, str):
+                parts.append(" ".join(c.split()))
             else:
-                stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
-        if found:
-            return found
-    return [root]
+                parts.append(f"\0{c.digest:016x}")
+                holds = holds or id(c) in holders
+        if holds:
+            holders.add(id(node))
+        node.digest = xxhash.xxh64_intdigest("\1".join(p for p in parts if p).encode("utf-8", "surrogatepass"))
+    return [(n, inside) for n, inside in order[1:] if n.children and n.tag in BLOCKS and id(n) not in holders]
 
 
-def hash_subtrees(roots: list[Node]) -> list[Node]:
-    """Set every element's digest (tag, texts with white space squeezed, digests of children); all elements below the roots."""
-    order, stack = [], list(roots)
+def delete(root: Node, outside: frozenset[int], inside: frozenset[int]) -> int:
+    """Delete the host's templates from the whole tree; how many elements went."""
+    gone = {id(n) for n, within in hash_subtrees(root) if n.digest in (inside if within else outside)}
+    stack = [root] if gone else []
     while stack:
         node = stack.pop()
-        order.append(node)
+        node.children = [c for c in node.children if isinstance(c, str) or id(c) not in gone]
         stack.extend(c for c in node.children if not isinstance(c, str))
-    for node in reversed(order):
-        parts = [node.tag, *(" ".join(c.split()) if isinstance(c, str) else f"\0{c.digest:016x}" for c in node.children)]
-        node.digest = xxhash.xxh64_intdigest("\1".join(p for p in parts if p).encode("utf-8", "surrogatepass"))
-    tops = set(map(id, roots))
-    return [n for n in order if id(n) not in tops]
+    return len(gone)
 
 
-def blocks(roots: list[Node], templates: frozenset[int] = frozenset()) -> list[str]:
+def blocks(roots: list[Node]) -> list[str]:
     out, held = [], []
     flush = object()
-    tops = set(map(id, roots))
     stack: list = list(reversed(roots))
     while stack:
         x = stack.pop()
@@ -184,8 +247,6 @@ def blocks(roots: list[Node], templates: frozenset[int] = frozenset()) -> list[s
             held.clear()
             if x is flush:
                 continue
-        if x.digest in templates and x.tag in BLOCKS and x.children and id(x) not in tops:
-            continue
         if x.tag in VOID:
             held.append(" ")
             continue
@@ -197,12 +258,19 @@ def blocks(roots: list[Node], templates: frozenset[int] = frozenset()) -> list[s
     return out
 
 
-def cleaned(html: str | None) -> list[Node]:
-    root = parse(html or "")
+def cleaned(root: Node) -> list[Node]:
     prune(root)
     return content(root)
 
 
+def text_of(html: str | None, outside: frozenset[int] = frozenset(), inside: frozenset[int] = frozenset()) -> str:
+    """The main text of one page, given its host's templates."""
+    root = parse(html or "")
+    if outside or inside:
+        delete(root, outside, inside)
+    return "\n".join(blocks(cleaned(root)))
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
 
@@ -211,45 +279,52 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def site_templates(pages: DataFrame, share: float = 0.5, least: int = 8, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host and templates (array of subtree hashes) of hosts that have any."""
+def site_templates(pages: DataFrame, share: float = 0.01, least: int = 4, share_inside: float = 0.5, least_inside: int = 8, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, outside and inside (arrays of subtree hashes) of hosts that have templates; a written table."""
     ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, contents, trees = [], [], []
+            hosts, contents, trees, within = [], [], [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                roots = cleaned(html.as_py())
-                below = {_signed(n.digest) for n in hash_subtrees(roots) if n.children and n.tag in BLOCKS}
-                whole = _signed(xxhash.xxh64_intdigest(b"".join(r.digest.to_bytes(8, "big") for r in roots)))
+                root = parse(html.as_py() or "")
+                below = {(_signed(n.digest), inside) for n, inside in hash_subtrees(root)}
+                whole = _signed(xxhash.xxh64_intdigest("\n".join(blocks(cleaned(root))).encode("utf-8", "surrogatepass")))
                 hosts.extend([host] * (len(below) + 1))
                 contents.extend([whole] * (len(below) + 1))
-                trees.extend([None, *below])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(trees, pa.int64())], ["host", "content", "tree"])
+                trees.extend([None, *(d for d, _ in below)])
+                within.extend([False, *(i for _, i in below)])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(trees, pa.int64()), pa.array(within, pa.bool_())], ["host", "content", "tree", "inside"])
 
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, content bigint, tree bigint")
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, content bigint, tree bigint, inside boolean")
     once = rows.distinct()  # combined on the map side: copies of a page shrink to one
-    counts = once.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(once.groupBy("host", "tree", "inside").agg(F.count(F.lit(1)).alias("n")).where(f"tree is null or n >= {min(least, least_inside)}"), "counts")
     contents = counts.where("tree is null").select("host", F.col("n").alias("contents"))
-    found = counts.where(f"tree is not null and n >= {least}").join(contents, "host").where(F.col("n") >= F.col("contents") * share)
-    return found.groupBy("host").agg(F.collect_set("tree").alias("templates"))
+    enough = F.when(F.col("inside"), (F.col("n") >= least_inside) & (F.col("n") >= F.col("contents") * share_inside)).otherwise((F.col("n") >= least) & (F.col("n") >= F.col("contents") * share))
+    found = counts.where("tree is not null").join(contents, "host").where(enough)
+    of = lambda inside: F.collect_set(F.when(F.col("inside") == inside, F.col("tree")))
+    return materialize(found.groupBy("host").agg(of(False).alias("outside"), of(True).alias("inside")), "templates")
 
 
-def main_text(pages: DataFrame, share: float = 0.5, least: int = 8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url and text of every row of pages."""
-    templates = materialize(site_templates(pages, share, least, url_col, html_col), "templates")
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **how) -> DataFrame:
+    """page_id, url and text of every row of pages. how: the limits of site_templates()."""
+    templates = site_templates(pages, url_col=url_col, html_col=html_col, **how)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "templates")
+    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "outside", "inside")
     kind = joined.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for html, repeated in zip(batch.column(2), batch.column(3), strict=True):
-                roots, drop = cleaned(html.as_py()), repeated.as_py()
-                if drop:
-                    hash_subtrees(roots)
-                texts.append("\n".join(blocks(roots, frozenset(d % (1 << 64) for d in drop or ()))))
+            texts, seen = [], {}
+            for html, *lists in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
+                sets = []
+                for known in lists:
+                    packed = known.values.to_numpy().view("u8") if known.is_valid else None
+                    key = b"" if packed is None else packed.tobytes()
+                    if key not in seen:
+                        seen[key] = frozenset(packed.tolist()) if key else frozenset()
+                    sets.append(seen[key])
+                texts.append(text_of(html.as_py(), *sets))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string")
