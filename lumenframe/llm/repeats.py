@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lumenframe.llm.common import materialize, ship_package, text_or_empty
+from lumenframe.llm.common import ship_package, text_or_empty
 from lumenframe.llm.parsing import mix64
 
 GRAM = 32
@@ -356,7 +356,7 @@ class Shard:
 
 
 def _shards(length: int, shard_bytes: int, hot_bytes: int):
-    """Batches of (key, ord, begin, bytes) sorted by key to (key, ord, span, t): spans of repeats (t null), and windows that a key leaves to be dealt anew."""
+    """Batches of (key, ord, begin, bytes) sorted by key to (key, ord, span, t): spans of repeats (t null; the key deals them), and windows that a key leaves to be dealt anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(length)
@@ -366,7 +366,7 @@ def _shards(length: int, shard_bytes: int, hot_bytes: int):
 
         def spans(ords: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
             ords, packs = packed(*_united(ords, at, np.full(len(at), length, np.int64)))
-            return pa.RecordBatch.from_arrays([pa.nulls(len(ords), pa.int64()), pa.array(ords), pa.array(packs), pa.nulls(len(ords), pa.binary())], ["key", "ord", "span", "t"])
+            return pa.RecordBatch.from_arrays([pa.array(mix64(ords.astype(np.uint64)).view(np.int64)), pa.array(ords), pa.array(packs), pa.nulls(len(ords), pa.binary())], ["key", "ord", "span", "t"])
 
         def windows(ords: list[int], at: list[int], texts: list[bytes]) -> pa.RecordBatch:
             own = pa.array(np.array([xxhash.xxh64_intdigest(w, 1) for w in texts], np.uint64).view(np.int64))
@@ -413,6 +413,30 @@ def _shards(length: int, shard_bytes: int, hot_bytes: int):
     return run
 
 
+def _rest(length: int, shard_bytes: int, hot_bytes: int):
+    """What _shards gave, sorted by (key, ord, span), to (ord, span): spans pass, windows dealt anew are searched."""
+    search = _shards(length, shard_bytes, hot_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[pa.RecordBatch] = []
+
+        def windows() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                left = batch.column(3).is_valid()
+                done.append(batch.filter(batch.column(3).is_null()).select(["ord", "span"]))
+                rows = batch.filter(left)
+                begin = rows.column(2).to_numpy() >> 16
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(begin), rows.column(3)], ["key", "ord", "begin", "t"])
+
+        for found in search(windows()):
+            yield found.select(["ord", "span"])
+            while done:
+                yield done.pop()
+        yield from done
+
+    return run
+
+
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """ord (long, in the order of documents), doc_id, t (bytes); whether several rows may have one ord."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"))
@@ -511,11 +535,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, shard_bytes: int = 1 << 1
     if once:
         cuts = cuts.dropDuplicates(["ord"])
     pieces = cuts.mapInArrow(_cut(length), "key bigint, ord bigint, begin bigint, t binary")
-    shards, out = _shards(length, shard_bytes, hot_bytes), "key bigint, ord bigint, span bigint, t binary"
-    partial = materialize(pieces.repartition("key").sortWithinPartitions("key", "ord", "begin").mapInArrow(shards, out), "repeats")
-    rest = partial.where("t is not null").select("key", "ord", F.shiftright("span", 16).alias("begin"), "t")
-    last = rest.repartition("key").sortWithinPartitions("key", "ord", "begin").mapInArrow(shards, out)
-    one_key = partial.where("t is null").select("ord", "span").unionByName(last.select("ord", "span"))
+    partial = pieces.repartition("key").sortWithinPartitions("key", "ord", "begin").mapInArrow(_shards(length, shard_bytes, hot_bytes), "key bigint, ord bigint, span bigint, t binary")
+    # spans take the same way as the windows that hot keys leave: each part of the plan is used once
+    one_key = partial.repartition("key").sortWithinPartitions("key", "ord", "span").mapInArrow(_rest(length, shard_bytes, hot_bytes), "ord bigint, span bigint")
     spans = settled.where("kind = 1").select("ord", "span").unionByName(one_key).groupBy("ord").agg(F.collect_set("span").alias("spans"))
     whole = by_doc.join(spans, "ord", "left").select("doc_id", "t", "spans")
     kind = whole.schema["doc_id"].dataType.simpleString()
