@@ -9,8 +9,10 @@ under its partition value and probed under all values within the threshold; what
 verified on all bits. Bit counts and co-occurrences are taken over all fingerprints; they
 choose the plan only, every plan finds the same links.
 
-similar_documents() (similar.py) is for links of a given shingle similarity: such texts differ in more
-bits than a sure plan can afford, so it joins the shingles themselves.
+similar_documents() is for links of a given shingle similarity (0.8 on five words in the pipeline).
+The same probe finds candidates first - most near copies - and each is verified on its shingles.
+Texts of 0.8 may differ in more bits than a sure plan can afford, so what the fingerprints leave in
+different components then goes through a complete join of the shingle sets (similar.py).
 
 Scale: equal fingerprints collapse first (map-side combine), so copies cost one row. A bucket of
 more than `block` rows is cut into blocks by hash and handled in pairs of blocks, one task cell
@@ -25,8 +27,9 @@ component (null if it has none). Repeated rows give repeated rows. Empty tables
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
-from math import acos, comb, pi, sqrt
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import materialize, ship_package, text_or_empty
 from lumenframe.llm.components import connected
-from lumenframe.llm.similar import shingles, similar_documents  # noqa: F401
+from lumenframe.llm.similar import _candidates, _common, _prefixes, _sets, _shared, _verified, shingles
 
 SEED = 42
 
@@ -285,7 +288,40 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     return seen.join(named, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def radius_for(similarity: float, bits: int, margin: float = 0.5) -> int:
-    """The bits in which two texts of that shingle similarity (Jaccard) differ: expected, and `margin` standard deviations more."""
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * p + margin * sqrt(bits * p * (1 - p)))
+def text_key(text_col: str = "text"):
+    """16 bytes that tell the texts of one id apart."""
+    return F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
+
+
+def _probed(sets: DataFrame, radius: int) -> DataFrame:
+    """u, v: candidates by fingerprints. Sets of one fingerprint with the least of them, and those within the radius of each other."""
+    nodes = materialize(sets.select("node", "f0").distinct(), "prints")
+    least = materialize(nodes.groupBy("f0").agg(F.min("node").alias("least")), "print-nodes")
+    equal = nodes.join(least, "f0").where("node <> least").select(F.least("node", "least").alias("u"), F.greatest("node", "least").alias("v"))
+    n, both = bit_counts(least)
+    near = link(least.select(F.col("least").alias("node"), "f0"), probe_plan(n, both, radius), radius)
+    return equal.unionByName(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+    """For every row doc_id, key (text_key), component_id (the smallest doc_id reachable by links of at least `similarity`, Jaccard over word shingles) and kept: the first of its component by id (null last), then key."""
+    spark, t = docs.sparkSession, Fraction(str(similarity))
+    ship_package(spark)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"), text_key(text_col).alias("key"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    sets = materialize(rows.mapInArrow(_sets(words), f"doc_id {kind}, key binary, node bigint, f0 bigint, size int, sketch binary, shingles array<bigint>"), "shingles")
+    links = materialize(_verified(materialize(_probed(sets, radius), "candidates"), sets, t), "links")
+    labels = connected(links)
+    common = spark.sparkContext.broadcast(_common(sets))
+    prefixes = sets.select("node", "shingles").mapInArrow(_prefixes(common, t), "token bigint, node bigint")
+    shared = materialize(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token bigint, node bigint"), "buckets")
+    met = shared.select("node").distinct()
+    nodes = materialize(sets.select("node", "size", "sketch").join(met, "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    for every, mixed in ((False, False), (False, True), (True, False)):
+        pairs = materialize(_candidates(shared, nodes, labels, t, every, block, mixed), "candidates")
+        links = links.unionByName(materialize(_verified(pairs, sets, t), "links"))
+        labels = connected(links)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    seen = sets.select("doc_id", "key", "node").join(labels, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    whole = seen.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("first"))
+    return seen.join(whole, "root").select("doc_id", "key", "component_id", place.eqNullSafe(F.col("first")).alias("kept"))

@@ -1,4 +1,4 @@
-"""Documents linked by a real shingle similarity: a complete set-similarity join.
+"""Pairs of a real shingle similarity: the parts of a complete set-similarity join, put together in simhash.similar_documents().
 
 Every text becomes the set of its word shingles (64-bit XXH3 each). Two sets of Jaccard similarity t
 or more must share one of the first n - ceil(t n) + 1 shingles in any order that all sets agree on
@@ -30,9 +30,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import materialize, ship_package, text_or_empty
-from lumenframe.llm.components import connected
-
 
 def sketch(h: np.ndarray) -> bytes:
     """Bit i: whether an odd number of shingles fall on it. 256 to 8192 bits; a half's width is the exclusive or of both halves."""
@@ -40,6 +37,14 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount(h & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that over half the hashes have, as a signed long."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(h), 4096):
+        counts += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<i8")[0])
+
+
 def shingles(text: bytes, words: int) -> list[bytes]:
     """Runs of `words` words, A-Z lowered, split at ASCII white space; a shorter text is one."""
     found = text.lower().split()
@@ -53,25 +58,26 @@ def shingles(text: bytes, words: int) -> list[bytes]:
 
 
 def _sets(words: int):
-    """(doc_id, bytes) to (doc_id, node, size, sketch, shingles); node: a hash of the set."""
+    """(doc_id, bytes, key) to (doc_id, key, node, f0, size, sketch, shingles); node: a hash of the set; f0: its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets, sketches, nodes = [], [], []
+                sets, sketches, nodes, prints = [], [], [], []
                 for t in part.column(1):
                     h = np.unique(np.array([digest(p) for p in shingles(t.as_py(), words)], np.uint64).view(np.int64))
                     sets.append(h)
                     nodes.append(digest(h.tobytes()))
                     sketches.append(sketch(h))
+                    prints.append(majority(h))
                 sizes = np.array([len(h) for h in sets], np.int32)
                 offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes), pa.array(sketches, pa.binary()), lists],
-                    ["doc_id", "node", "size", "sketch", "shingles"],
+                    [part.column(0), part.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(prints, np.int64)), pa.array(sizes), pa.array(sketches, pa.binary()), lists],
+                    ["doc_id", "key", "node", "f0", "size", "sketch", "shingles"],
                 )
 
     return run
@@ -232,26 +238,3 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFr
     shared = F.size(F.array_intersect("a", "b")).cast("bigint")
     counted = both.select("u", "v", shared.alias("both"), (F.size("a") + F.size("b")).cast("bigint").alias("total"))
     return counted.where(F.col("both") * similarity.denominator >= (F.col("total") - F.col("both")) * similarity.numerator).select("u", "v")
-
-
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id reachable) by links of at least `similarity` (Jaccard over word shingles)."""
-    spark, t = docs.sparkSession, Fraction(str(similarity))
-    ship_package(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    sets = materialize(rows.mapInArrow(_sets(words), f"doc_id {kind}, node bigint, size int, sketch binary, shingles array<bigint>"), "shingles")
-    common = spark.sparkContext.broadcast(_common(sets))
-    prefixes = sets.select("node", "shingles").mapInArrow(_prefixes(common, t), "token bigint, node bigint")
-    shared = materialize(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token bigint, node bigint"), "buckets")
-    met = shared.select("node").distinct()
-    nodes = materialize(sets.select("node", "size", "sketch").join(met, "node", "left_semi").dropDuplicates(["node"]), "sketches")
-    links, labels = None, None
-    for every, mixed in ((False, False), (False, True), (True, False)):
-        pairs = materialize(_candidates(shared, nodes, labels, t, every, block, mixed), "candidates")
-        more = materialize(_verified(pairs, sets, t), "links")
-        links = more if links is None else links.unionByName(more)
-        labels = connected(links)
-    seen = sets.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    whole = seen.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return seen.join(whole, "root").select("doc_id", "component_id")
