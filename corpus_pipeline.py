@@ -18,35 +18,39 @@ MIX = {"share": (9, 10), "max_epochs": 1}
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below 0.5."""
+    """Documents whose score is below 0.5. Null and empty texts have the score of a text without any term; repeated rows stay or go together; an empty table gives none."""
     scorer = toxicity.train(docs, table(spark, sf_dir, "labels"))
     score = unused(docs, "__score")
     return toxicity.score(docs, scorer, out=score).where(F.col(score) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
+    """Of equal texts (null counts as empty), the row with the largest doc_id; of repeated rows one. An empty table gives none."""
     return exact_dedup.deduplicate(docs, keep="max")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at a similarity of 0.8 on five-word shingles, the row with the smallest doc_id.
+    """Of each group linked at a similarity of 0.8 on five-word shingles, the row with the smallest doc_id (of a repeated id: the text of the smallest key).
 
-    The ids that go are a written table, so Spark broadcasts it only while it is small. Rows
-    without an id stay.
+    Rows are told apart by id and text, so an id with several texts loses only the copies among
+    them. Rows without an id go like any other, after those with one. The keys that go are a
+    written table, so Spark broadcasts it only while it is small.
     """
     groups = simhash.similar_documents(docs, words=5, similarity=0.8)
-    going = materialize(groups.where("doc_id <> component_id").select("doc_id"), "near-copies")
-    return docs.join(going, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    going = materialize(groups.where(~F.col("kept")).select(F.col("doc_id").alias("id"), "key"), "near-copies")
+    key = unused(docs, "__key")
+    keyed = docs.withColumn(key, simhash.text_key())
+    left = keyed.join(going, keyed["doc_id"].eqNullSafe(going["id"]) & (keyed[key] == going["key"]), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights take."""
+    """The documents that the target weights take, each once; null languages and sources are leaves of their own. An empty table gives none."""
     return mixing.mixed_rows(docs, **MIX)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence of at most 1024 tokens."""
+    """One row per piece of a document in a sequence of at most 1024 tokens; null and empty texts are their end token. An empty table gives none."""
     return packing.pack(docs)
 
 
