@@ -141,22 +141,40 @@ def _camera() -> list[Column]:
     return [F.lit(1.5) + off(7), off(5), off(3), off(4), F.lit(1.25) + off(9), off(2), off(6), off(8), F.lit(1.75) + k * 0.0]
 
 
+# Linear sRGB to XYZ under D50, row by row.
+SRGB_TO_XYZ = (0.4361, 0.3851, 0.1431, 0.2225, 0.7169, 0.0606, 0.0139, 0.0971, 0.7142)
+
+
+def camera_matrix(camera: list[Column], gains: list[Column], weight: Column) -> list[Column]:
+    """XYZ to camera: the inverse of sRGB_TO_XYZ x (weight x camera + (1 - weight) x identity) x diagonal of the gains. Null where singular."""
+    mixed = [c * weight + (1.0 - weight) if i % 4 == 0 else c * weight for i, c in enumerate(camera)]
+    whole = matrix_product([F.lit(x) for x in SRGB_TO_XYZ], mixed)
+    return adjugate_inverse([x * gains[i % 3] for i, x in enumerate(whole)])
+
+
 def color_matrix(suppliers: DataFrame) -> DataFrame:
-    """The camera matrix times its inverse, in units of 1/1000, and the inverse's diagonal."""
-    m = _camera()
-    inv = adjugate_inverse(m)
-    one = matrix_product(m, inv)
-    return suppliers.select("s_suppkey", *[F.floor(x * 1000.0 + 0.5).alias(f"m{i}") for i, x in enumerate(one)], *[F.floor(inv[i] * 1000.0 + 0.5).alias(f"d{i}") for i in (0, 4, 8)])
+    """camera_matrix of a camera, gains and a weight that depend on the supplier, in units of 1/1000."""
+    k = F.col("s_suppkey")
+    gains = [1.0 + (k % 11).cast("double") / 16.0, F.lit(1.0), 1.0 + (k % 13).cast("double") / 16.0]
+    found = camera_matrix(_camera(), gains, (k % 5).cast("double") / 4.0)
+    return suppliers.select("s_suppkey", *[F.floor(x * 1000.0 + 0.5).alias(f"m{i}") for i, x in enumerate(found)])
 
 
 def _matrix_sql() -> str:
+    """Gauss-Jordan elimination without pivoting, column by column, on the matrix beside the identity."""
     off = lambda n: f"(s_suppkey % {n})::DOUBLE / 64.0::DOUBLE"
-    m = [f"1.5::DOUBLE + {off(7)}", off(5), off(3), off(4), f"1.25::DOUBLE + {off(9)}", off(2), off(6), off(8), "1.75::DOUBLE"]
-    names = "abcdefghi"
-    cof = {0: "e*i-f*h", 4: "a*i-c*g", 8: "a*e-b*d"}
-    ident = ", ".join(f"{1000 if r == c else 0}::BIGINT AS m{3 * r + c}" for r in range(3) for c in range(3))
-    diag = ", ".join(f"floor((({x}) / (a*(e*i-f*h) - b*(d*i-f*g) + c*(d*h-e*g))) * 1000.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS d{n}" for n, x in cof.items())
-    return f"SELECT s_suppkey, {ident}, {diag} FROM (SELECT s_suppkey, {', '.join(f'{x} AS {n}' for x, n in zip(m, names, strict=True))} FROM supplier)"
+    camera = [f"1.5::DOUBLE + {off(7)}", off(5), off(3), off(4), f"1.25::DOUBLE + {off(9)}", off(2), off(6), off(8), "1.75::DOUBLE"]
+    source = f"SELECT s_suppkey, (s_suppkey % 5)::DOUBLE / 4.0::DOUBLE AS w, 1.0::DOUBLE + (s_suppkey % 11)::DOUBLE / 16.0::DOUBLE AS g0, 1.0::DOUBLE AS g1, 1.0::DOUBLE + (s_suppkey % 13)::DOUBLE / 16.0::DOUBLE AS g2, {', '.join(f'{x} AS c{i}' for i, x in enumerate(camera))} FROM supplier"
+    source = f"SELECT s_suppkey, g0, g1, g2, {', '.join(f'c{i} * w' + (' + (1.0::DOUBLE - w)' if i % 4 == 0 else '') + f' AS t{i}' for i in range(9))} FROM ({source})"
+    rows = [[" + ".join(f"{SRGB_TO_XYZ[3 * r + k]}::DOUBLE * t{3 * k + c}" for k in range(3)) for c in range(3)] for r in range(3)]
+    cells = [f"({rows[r][c]}) * g{c} AS a{r}{c}" if c < 3 else f"{float(c - 3 == r)}::DOUBLE AS a{r}{c}" for r in range(3) for c in range(6)]
+    source = f"SELECT s_suppkey, {', '.join(cells)} FROM ({source})"
+    for p in range(3):
+        scaled = [f"a{r}{c} / a{p}{p} AS a{r}{c}" if r == p else f"a{r}{c}" for r in range(3) for c in range(6)]
+        source = f"SELECT s_suppkey, {', '.join(scaled)} FROM ({source})"
+        cleared = [f"a{r}{c}" if r == p else f"a{r}{c} - a{p}{c} * a{r}{p} AS a{r}{c}" for r in range(3) for c in range(6)]
+        source = f"SELECT s_suppkey, {', '.join(cleared)} FROM ({source})"
+    return f"SELECT s_suppkey, {', '.join(f'floor(a{i // 3}{3 + i % 3} * 1000.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS m{i}' for i in range(9))} FROM ({source})"
 
 
 MATRIX_SQL = _matrix_sql()

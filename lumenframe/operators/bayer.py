@@ -40,14 +40,28 @@ def pack(planes: DataFrame, cell: str = "rggb", bits: int = 16, curve: bool = Tr
     )
 
 
-def preview(planes: DataFrame, precision: int, width: int, bits: int = 8) -> DataFrame:
-    """(image_id, row, col, r, g, b) from lowpass planes: mirrored columns, as the format's previews are."""
-    at = lambda c: F.max(F.when(F.col("channel") == c, sar(F.col("v"), precision - 12)))
-    cells = planes.where("channel < 3").groupBy("image_id", "row", "col").agg(at(0).alias("g"), at(1).alias("rg"), at(2).alias("bg"))
-    levels = {"r": 2 * (F.col("rg") - MIDPOINT) + F.col("g"), "g": F.col("g"), "b": 2 * (F.col("bg") - MIDPOINT) + F.col("g")}
+# The gains of red, green and blue, as numerator and power of two under it.
+GAINS = ((30, 4), (1, 0), (7, 2))
 
-    def shown(x):
-        linear = log_decode(clamp12(x))
-        return linear if bits == 16 else F.least(F.lit(255), F.sqrt(linear.cast("double")).cast("int"))
 
-    return cells.select("image_id", "row", (F.lit(width - 1) - F.col("col")).alias("col"), *[shown(x).alias(k) for k, x in levels.items()])
+def wide(planes: DataFrame) -> DataFrame:
+    """(image_id, row, col, gs, rg, bg): the three planes that a preview shows, one row a place."""
+    at = lambda c: F.max(F.when(F.col("channel") == c, F.col("v")))
+    return planes.where("channel < 3").groupBy("image_id", "row", "col").agg(at(0).alias("gs"), at(1).alias("rg"), at(2).alias("bg"))
+
+
+def preview(cells: DataFrame, precision: int, width: int, bits: int = 8, gains: tuple = GAINS) -> DataFrame:
+    """(image_id, row, col, r, g, b) of wide() planes of that precision (12: whole planes, 14: lowpass): mirrored columns, as the format's previews are.
+
+    Colours are added first and shifted to 12 bits after. 8 bits: gain, then square root; 16 bits: without gain, bytes swapped.
+    """
+    middle, g = 1 << (precision - 1), F.col("gs")
+    levels = {"r": 2 * (F.col("rg") - middle) + g, "g": g, "b": 2 * (F.col("bg") - middle) + g}
+
+    def shown(x, gain):
+        linear = log_decode(clamp12(sar(x, precision - 12)))
+        if bits == 16:
+            return F.shiftleft(linear.bitwiseAND(F.lit(255)), 8).bitwiseOR(F.shiftright(linear, 8))
+        return F.least(F.lit(255), F.sqrt(F.shiftright(linear * gain[0], gain[1]).cast("double")).cast("int"))
+
+    return cells.select("image_id", "row", (F.lit(width - 1) - F.col("col")).alias("col"), *[shown(x, k).alias(n) for (n, x), k in zip(levels.items(), gains, strict=True)])

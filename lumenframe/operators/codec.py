@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import arrays
-from lumenframe.operators.bayer import CELLS
+from lumenframe.operators.bayer import CELLS, GAINS
 from lumenframe.operators.entropy import RUN_LENGTHS
 from lumenframe.operators.wavelet import PRESCALE, QUANTIZERS, SUBBANDS
 
@@ -205,15 +205,16 @@ def decode_image(data: bytes, bits: int = 12) -> np.ndarray:
     return samples_of(planes, list(CELLS)[head["pattern"]], bits)
 
 
-def preview_image(data: bytes, resolution: str, bits: int = 8, gain: tuple = ((30, 4), (1, 0), (7, 2))) -> np.ndarray:
+def preview_image(data: bytes, resolution: str, bits: int = 8, gains: tuple = GAINS) -> np.ndarray:
     """(height, width, 3) at a reduced resolution, mirrored like the format's previews."""
     planes, _ = decode_planes(data, resolution)
     _, decode = arrays.log_tables()
-    shift = 0 if resolution == "half" else 2
-    g, rg, bg = (p >> shift for p in planes[:3])
-    rgb = [decode[np.clip(x, 0, 4095)] for x in (2 * (rg - arrays.MIDPOINT) + g, g, 2 * (bg - arrays.MIDPOINT) + g)]
+    precision = 12 if resolution == "half" else 14
+    g, rg, bg = planes[:3]
+    middle = 1 << (precision - 1)
+    rgb = [decode[np.clip(x >> (precision - 12), 0, 4095)] for x in (2 * (rg - middle) + g, g, 2 * (bg - middle) + g)]
     if bits == 8:
-        rgb = [np.minimum(255, np.sqrt(((x * n) >> d).astype(np.float32)).astype(np.int64)) for x, (n, d) in zip(rgb, gain, strict=True)]
+        rgb = [np.minimum(255, np.sqrt(((x * n) >> d).astype(np.float32)).astype(np.int64)) for x, (n, d) in zip(rgb, gains, strict=True)]
     return np.stack(rgb, axis=-1)[:, ::-1]
 
 

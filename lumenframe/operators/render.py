@@ -58,7 +58,7 @@ def lerp_maps(a: Column, b: Column, weight: float) -> Column:
     return F.zip_with(a, b, lambda x, y: x + (y - x) * F.lit(weight))
 
 
-def warp_nearest(pixels: DataFrame, center: tuple[float, float], radius: float, k: list[float], height: int, width: int) -> DataFrame:
+def warp_nearest(pixels: DataFrame, center: tuple[float, float], radius: float, k: list[float]) -> DataFrame:
     """Radial warp: each sample of the result from the nearest source place at r * (k0 + k1 r2 + k2 r2^2 + ...).
 
     The source place is computed from the target's, so the gather is an equi-join on (row, col); places outside are left out.
@@ -69,13 +69,13 @@ def warp_nearest(pixels: DataFrame, center: tuple[float, float], radius: float,
     at = target.select(
         "image_id", "row", "col",
         F.floor(F.lit(center[0]) + dr * ratio * radius + 0.5).cast("int").alias("sr"), F.floor(F.lit(center[1]) + dc * ratio * radius + 0.5).cast("int").alias("sc"),
-    ).where(F.col("sr").between(0, height - 1) & F.col("sc").between(0, width - 1))
+    )
     source = pixels.select("image_id", F.col("row").alias("sr"), F.col("col").alias("sc"), "v")
     return at.join(source, ["image_id", "sr", "sc"]).select("image_id", "row", "col", "v")
 
 
 def replicated_edges(pixels: DataFrame, height: int, width: int, border: int) -> DataFrame:
-    """The image with `border` more samples on every side, each a copy of the nearest inside: only edge samples are multiplied."""
+    """Images of one size: the image with `border` more samples on every side, each a copy of the nearest inside: only edge samples are multiplied."""
     def reach(x: str, n: int) -> Column:
         i = F.col(x)
         return F.when(i == 0, F.sequence(F.lit(-border), F.lit(0))).when(i == n - 1, F.sequence(F.lit(n - 1), F.lit(n - 1 + border))).otherwise(F.array(i))

@@ -55,6 +55,24 @@ def forward(planes: DataFrame, prescale: int) -> DataFrame:
     return done.select("image_id", "channel", "row", "col", F.explode(bands).alias("x")).select("image_id", "channel", "x.band", "row", "col", "x.v")
 
 
+def lowpass(cells: DataFrame, prescale: int, values: list[str]) -> DataFrame:
+    """LL of one level from (image_id, row, col, values): sums of 2x2 cells, without the bands that a preview doesn't show.
+
+    One aggregation, combined on the map side, of a quarter of the rows; an odd side repeats its last sample.
+    """
+    r = (1 << prescale) - 1
+    place = lambda v, i, j: F.max(F.when((F.col("row") % 2 == i) & (F.col("col") % 2 == j), F.col(v)))
+    taps = [place(v, i, j).alias(f"{v}{i}{j}") for v in values for i in (0, 1) for j in (0, 1)]
+    found = cells.groupBy("image_id", sar(F.col("row"), 1).alias("r0"), sar(F.col("col"), 1).alias("c0")).agg(*taps)
+
+    def line(v: str, i: int) -> Column:
+        left = F.col(f"{v}{i}0")
+        return sar(left + F.coalesce(F.col(f"{v}{i}1"), left) + r, prescale)
+
+    low = lambda v: (line(v, 0) + F.coalesce(line(v, 1), line(v, 0))).alias(v)
+    return found.select("image_id", F.col("r0").alias("row"), F.col("c0").alias("col"), *[low(v) for v in values])
+
+
 def pyramid(planes: DataFrame, levels: int = 3) -> DataFrame:
     """(image_id, channel, level, band, row, col, v): all bands of `levels` levels; the lowest level's LL only."""
     out, current = None, planes
@@ -67,9 +85,16 @@ def pyramid(planes: DataFrame, levels: int = 3) -> DataFrame:
     return out
 
 
+def midpoint(q: int, correction: int = 2) -> int:
+    """What is added before quantizing: half of q less one for the correction 2, q / correction for 3 to 8, else nothing."""
+    if correction == 2:
+        return max(0, (q >> 1) - 1)
+    return q // correction if 2 < correction < 9 else 0
+
+
 def quantizer_table(spark: SparkSession, quality: str = "fs1") -> DataFrame:
     """(subband, level, band, q, mid, mult): ten rows."""
-    rows = [(i, *SUBBANDS[i], q, max(0, (q >> 1) - 1), 65536 // q) for i, q in enumerate(QUANTIZERS[quality])]
+    rows = [(i, *SUBBANDS[i], q, midpoint(q), 65536 // q) for i, q in enumerate(QUANTIZERS[quality])]
     return spark.createDataFrame(rows, "subband int, level int, band int, q int, mid int, mult int")
 
 

@@ -197,24 +197,72 @@ for _name, _n in {"sixteenth": 1, "eighth": 4, "quarter": 7}.items():
         return bands.groupBy("image_id", "channel", "subband").agg(F.count(F.lit(1)).alias("coefficients"), F.sum(F.abs("v")).alias("magnitude"))
 
 
-def _preview_sql(levels: int, width: int) -> str:
-    source = f"l{levels - 1}ll" if levels else "planes"
-    shift = 2 if levels else 0
-    at = lambda c: f"max(CASE WHEN channel = {c} THEN v >> {shift} END)"
-    ctes = (O.pyramid(levels) if levels else O.planes()) + f""", lv AS (SELECT image_id, "row", {width - 1} - col AS col, {at(0)} AS g, {at(1)} - 2048 AS rg, {at(2)} - 2048 AS bg FROM {source} WHERE channel < 3 GROUP BY ALL),
-    px3 AS (SELECT image_id, "row", col, least(4095, greatest(0, 2 * rg + g)) AS r, least(4095, greatest(0, g)) AS g, least(4095, greatest(0, 2 * bg + g)) AS b FROM lv)"""
-    s = lambda t: f"least(255, trunc(sqrt({t}.d::DOUBLE)))"
-    return O.out(ctes, "px3 JOIN dec a ON px3.r = a.i JOIN dec c ON px3.g = c.i JOIN dec e ON px3.b = e.i", image_id="image_id", row='"row"', col="col", r=s("a"), g=s("c"), b=s("e"))
+def _preview_sql(levels: int, width: int, bits: int) -> str:
+    source, precision = (f"l{levels - 1}ll", 14) if levels else ("planes", 12)
+    at = lambda c: f"max(CASE WHEN channel = {c} THEN v END)"
+    pin = lambda x: f"least(4095, greatest(0, ({x}) >> {precision - 12}))"
+    ctes = (O.pyramid(levels) if levels else O.planes()) + f""", lv AS (SELECT image_id, "row", {width - 1} - col AS col, {at(0)} AS g, {at(1)} - {1 << (precision - 1)} AS rg, {at(2)} - {1 << (precision - 1)} AS bg FROM {source} WHERE channel < 3 GROUP BY ALL),
+    px3 AS (SELECT image_id, "row", col, {pin('2 * rg + g')} AS r, {pin('g')} AS g, {pin('2 * bg + g')} AS b FROM lv)"""
+    if bits == 16:
+        shown = [f"({t}.d & 255) * 256 + ({t}.d >> 8)" for t in "ace"]
+    else:
+        shown = [f"least(255, trunc(sqrt((({t}.d * {n}) >> {k})::DOUBLE)))" for t, n, k in (("a", 30, 4), ("c", 1, 0), ("e", 7, 2))]
+    return O.out(ctes, "px3 JOIN dec a ON px3.r = a.i JOIN dec c ON px3.g = c.i JOIN dec e ON px3.b = e.i", image_id="image_id", row='"row"', col="col", **dict(zip("rgb", shown, strict=True)))
 
 
 for _name, _levels in {"rgb_preview_2": 0, "rgb_preview_4": 1, "rgb_preview_8": 2, "rgb_preview_16": 3}.items():
+    for _bits in (8, 16):
 
-    @query(_name, _preview_sql(_levels, 32 >> _levels))
-    def _(spark, d, levels=_levels):
-        planes = _planes(spark, d).where("channel < 3")
-        for level in range(levels):  # lower bands are never computed: only LL feeds the next level
-            planes = wavelet.forward(planes, wavelet.PRESCALE[level]).where("band = 0").drop("band")
-        return bayer.preview(planes, 14 if levels else 12, 32 >> levels)
+        @query(_name if _bits == 8 else f"{_name}_16bit", _preview_sql(_levels, 32 >> _levels, _bits))
+        def _(spark, d, levels=_levels, bits=_bits):
+            cells = bayer.wide(_planes(spark, d))
+            for level in range(levels):  # the other bands are never computed: only LL feeds the next level
+                cells = wavelet.lowpass(cells, wavelet.PRESCALE[level], ["gs", "rg", "bg"])
+            return bayer.preview(cells, 14 if levels else 12, 32 >> levels, bits)
+
+
+@query("quantizer_constants", """SELECT q::BIGINT AS q, c::BIGINT AS correction, (CASE WHEN c = 2 THEN greatest(0, q // 2 - 1) WHEN c BETWEEN 3 AND 8 THEN q // c ELSE 0 END)::BIGINT AS mid, (65536 // q)::BIGINT AS mult
+    FROM (SELECT DISTINCT unnest([1, 12, 24, 32, 48, 64, 96, 128, 144, 192, 256, 384, 512, 768]) AS q), range(0, 11) t(c)""")
+def _(spark, d):
+    qs = sorted({q for row in wavelet.QUANTIZERS.values() for q in row})
+    return spark.createDataFrame([(q, c, wavelet.midpoint(q, c), 65536 // q) for q in qs for c in range(11)], "q int, correction int, mid int, mult int")
+
+
+@query("level_dimensions", O.out(O.planes(), '(SELECT image_id, channel, max(col) + 1 AS w, max("row") + 1 AS h FROM planes GROUP BY ALL), range(1, 4) t(n)', image_id="image_id", channel="channel", level="n - 1", width="ceil(w / power(2.0, n))", height="ceil(h / power(2.0, n))"))
+def _(spark, d):
+    sides = _planes(spark, d).groupBy("image_id", "channel").agg((F.max("col") + 1).alias("w"), (F.max("row") + 1).alias("h"))
+    return sides.select("image_id", "channel", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("level"), "w", "h").select("image_id", "channel", "level", *[F.expr(f"({s} + shiftleft(2, level) - 1) div shiftleft(2, level)").alias(n) for s, n in (("w", "width"), ("h", "height"))])
+
+
+@query("reconstruct_ll", O.plain(f"{O.pyramid()}, {O.QUANTIZED}, {O.DEQUANTIZED}, top AS (SELECT image_id, channel, band, \"row\", col, v FROM dq WHERE level = 2), {O.inverse('i', 'top', 2)}", "iout", PLANE))
+def _(spark, d):
+    bands = wavelet.dequantized(wavelet.quantized(wavelet.pyramid(_planes(spark, d))).where("level = 2"))
+    return wavelet.inverse(bands, wavelet.PRESCALE[2])
+
+
+def _rebuilt_sql() -> str:
+    side = lambda n: f'(SELECT ceil((max("row") + 1) / {2 ** n}.0) FROM planes)'
+    ctes, low = f"{O.pyramid()}, {O.QUANTIZED}, {O.DEQUANTIZED}", "SELECT image_id, channel, 0 AS band, \"row\", col, v FROM dq WHERE subband = 0"
+    for level in (2, 1, 0):
+        ctes += f', b{level} AS ({low} UNION ALL SELECT image_id, channel, band, "row", col, v FROM dq WHERE level = {level} AND band > 0), {O.inverse(f"i{level}", f"b{level}", wavelet.PRESCALE[level])}'
+        low = f'SELECT image_id, channel, 0 AS band, "row", col, v FROM i{level}out WHERE "row" < {side(level)}'
+    return O.out(ctes, f"(SELECT * FROM i0out JOIN planes p USING (image_id, channel, \"row\", col))", image_id="image_id", channel="channel", row='"row"', col="col", v="least(4095, greatest(0, v))", w="v_1")
+
+
+@query(
+    "reconstruct_planes",
+    _rebuilt_sql().replace("SELECT * FROM i0out JOIN planes p USING", "SELECT i0out.*, p.v AS v_1 FROM i0out JOIN planes p USING"),
+)
+def _(spark, d):
+    planes = _planes(spark, d)
+    bands = wavelet.dequantized(wavelet.quantized(wavelet.pyramid(planes)))
+    height = planes.agg(F.max("row")).head()[0] + 1
+    low = bands.where("subband = 0").select("image_id", "channel", "band", "row", "col", "v")
+    for level in (2, 1, 0):
+        whole = low.unionByName(bands.where((F.col("level") == level) & (F.col("band") > 0)).select("image_id", "channel", "band", "row", "col", "v"))
+        low = wavelet.inverse(whole, wavelet.PRESCALE[level], height=-(-height // (1 << level))).select("image_id", "channel", F.lit(0).alias("band"), "row", "col", "v")
+    back = low.select("image_id", "channel", "row", "col", curves.clamp12(F.col("v")).alias("back"))
+    return planes.join(back, ["image_id", "channel", "row", "col"]).select("image_id", "channel", "row", "col", F.col("back").alias("v"), F.col("v").alias("w"))
 
 
 # --- entropy -----------------------------------------------------------------------------------
@@ -223,10 +271,6 @@ _RUNS = """zr AS (SELECT image_id, channel, subband, seq, sum(CASE WHEN v = 0 TH
   SELECT *, coalesce(sum(CASE WHEN v <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, channel, subband ORDER BY "row", col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seq
   FROM qz WHERE subband > 0) GROUP BY ALL)"""
 _RUN_KEYS = ["image_id", "channel", "subband"]
-#: Code sizes of the demonstration code: a run codeword per length, and 2 * ceil(log2(m + 1)) + 1 bits for magnitude m.
-_RUN_BITS = {320: 11, 180: 10, 100: 9, 60: 8, 32: 7, 20: 6, 12: 5}
-
-
 def _runs(spark, d):
     return entropy.zero_runs(wavelet.quantized(wavelet.pyramid(_planes(spark, d))).where("subband > 0"), _RUN_KEYS, ["row", "col"])
 
@@ -236,39 +280,86 @@ def _(spark, d):
     return _runs(spark, d)
 
 
-@query("run_expand", O.plain(f"{O.pyramid()}, {O.QUANTIZED}", "(SELECT * FROM qz WHERE subband IN (7, 8, 9))", "image_id channel subband row col v"))
+@query("run_expand", O.plain(f"{O.pyramid()}, {O.QUANTIZED}", "(SELECT * FROM qz WHERE subband > 0)", "image_id channel subband row col v"))
 def _(spark, d):
-    return entropy.expand_runs(_runs(spark, d).where("subband in (7, 8, 9)"), _RUN_KEYS, 16)
+    level = F.element_at(F.array(*[F.lit(at) for at, _ in wavelet.SUBBANDS]), F.col("subband").cast("int") + 1)
+    return entropy.expand_runs(_runs(spark, d), _RUN_KEYS, (F.lit(16) / F.pow(F.lit(2.0), level)).cast("bigint"))
+
+
+# Fixed values of the code again, as the SQL's own tables.
+_CODE_SQL = """zcode AS (SELECT * FROM (VALUES (320, 13), (180, 13), (100, 11), (60, 10), (32, 9), (20, 8), (12, 7), (1, 1)) t(n, bits)),
+  sizes AS (SELECT * FROM (VALUES (1, 2), (2, 3), (3, 5), (4, 6), (6, 7), (9, 8), (11, 9), (14, 10), (19, 11), (23, 12), (30, 13), (36, 14), (41, 15), (48, 16), (54, 17), (62, 18), (69, 19), (77, 20), (85, 21), (94, 22), (101, 23), (108, 24), (116, 26), (117, 25)) t(first, bits)),
+  mcode AS (SELECT m, (SELECT arg_max(bits, first) FROM sizes WHERE first <= m) AS bits FROM range(1, 256) t(m)),
+  slot AS (SELECT m, least(1023, m + trunc(m::DOUBLE * m * m * 768.0::DOUBLE / 16581375.0::DOUBLE)::BIGINT) AS s FROM range(256) t(m)),
+  ccode AS (SELECT i, m, coalesce(bits, 1) AS bits FROM (SELECT i, (SELECT max(m) FROM slot WHERE s <= i) AS m FROM range(1024) t(i)) LEFT JOIN mcode USING (m))"""
 
 
-def _bits_sql() -> str:
-    left, bits = "zeros::BIGINT", "0"
-    for n in entropy.RUN_LENGTHS:
-        bits += f" + ({left} // {n}) * {_RUN_BITS[n]}"
+def _greedy_sql(zeros: str) -> str:
+    left, bits = f"({zeros})::BIGINT", "0"
+    for n, size in ((320, 13), (180, 13), (100, 11), (60, 10), (32, 9), (20, 8), (12, 7)):
+        bits += f" + ({left} // {n}) * {size}"
         left = f"({left} % {n})"
-    return f"{bits} + {left} + CASE WHEN value <> 0 THEN 2 * ceil(log2(least(1023, abs(value)) + 1)) + 2 ELSE 0 END"
+    return f"{bits} + {left}"
+
+
+_BITS = f"""{O.pyramid()}, {O.QUANTIZED}, {_RUNS}, {_CODE_SQL},
+  coded AS (SELECT zr.*, {_greedy_sql('zeros')} + CASE WHEN value <> 0 THEN bits + 1 ELSE 0 END AS b FROM zr JOIN ccode ON i = least(1023, abs(value))),
+  bandbits AS (SELECT image_id, channel, subband, sum(b) + 26 AS bits, count(*) AS runs FROM coded GROUP BY ALL)"""
 
 
 def _coded(spark, d):
-    return entropy.code_bits(_runs(spark, d), lambda m: (2 * F.ceil(F.log2(F.least(F.lit(1023), m) + 1)) + 1).cast("bigint"), _RUN_BITS)
+    bits = entropy.code_bits(_runs(spark, d))
+    return bits.groupBy(*_RUN_KEYS).agg((F.sum("bits") + entropy.END_BITS).alias("bits"), F.count(F.lit(1)).alias("runs"), F.sum(F.col("zeros") + F.when(F.col("value") != 0, 1).otherwise(0)).alias("coefficients"))
 
 
-@query("code_lengths", O.out(f"{O.pyramid()}, {O.QUANTIZED}, {_RUNS}", f"(SELECT image_id, channel, subband, sum({_bits_sql()}) AS bits, count(*) AS n FROM zr GROUP BY ALL)", image_id="image_id", channel="channel", subband="subband", bits="bits", runs="n"))
+@query("code_lengths", O.out(_BITS, "bandbits", image_id="image_id", channel="channel", subband="subband", bits="bits", segments="ceil(bits / 32)", runs="runs"))
 def _(spark, d):
-    return _coded(spark, d).groupBy(*_RUN_KEYS).agg(F.sum("bits").alias("bits"), F.count(F.lit(1)).alias("runs"))
+    return _coded(spark, d).select(*_RUN_KEYS, "bits", F.ceil(F.col("bits") / 32).alias("segments"), "runs")
 
 
 @query(
     "compression_ratio",
-    f"""WITH {O.pyramid()}, {O.QUANTIZED}, {_RUNS}, n AS (SELECT image_id, channel, subband, count(*) AS c FROM qz WHERE subband > 0 GROUP BY ALL),
-    b AS (SELECT image_id, channel, subband, sum({_bits_sql()}) AS bits FROM zr GROUP BY ALL)
+    f"""WITH {_BITS}, n AS (SELECT image_id, channel, subband, count(*) AS c FROM qz WHERE subband > 0 GROUP BY ALL)
     SELECT image_id::BIGINT AS image_id, channel::BIGINT AS channel, subband::BIGINT AS subband, sum(c)::BIGINT AS coefficients, sum(bits)::BIGINT AS bits, (sum(c)::BIGINT * 12000 // sum(bits)::BIGINT)::BIGINT AS permille
-    FROM n JOIN b USING (image_id, channel, subband) GROUP BY ROLLUP (image_id, channel, subband)""",
+    FROM n JOIN bandbits USING (image_id, channel, subband) GROUP BY ROLLUP (image_id, channel, subband)""",
 )
 def _(spark, d):
-    coded = _coded(spark, d).withColumn("c", F.col("zeros") + F.when(F.col("value") != 0, 1).otherwise(0))
-    by = coded.groupBy(*_RUN_KEYS).agg(F.sum("c").alias("c"), F.sum("bits").alias("bits"))
-    return by.rollup(*_RUN_KEYS).agg(F.sum("c").alias("coefficients"), F.sum("bits").alias("bits")).withColumn("permille", F.expr("coefficients * 12000 div bits"))
+    return _coded(spark, d).rollup(*_RUN_KEYS).agg(F.sum("coefficients").alias("coefficients"), F.sum("bits").alias("bits")).withColumn("permille", F.expr("coefficients * 12000 div bits"))
+
+
+@query("codebook_sizes", f"WITH {_CODE_SQL} SELECT bits::BIGINT AS size, 1::BIGINT AS count, m::BIGINT AS value FROM mcode UNION ALL SELECT bits, n, 0 FROM zcode UNION ALL SELECT 26, 0, 1")
+def _(spark, d):
+    return entropy.codebook(spark)
+
+
+@query("codebook_runs_sorted", f"WITH {_CODE_SQL} SELECT row_number() OVER (ORDER BY n DESC)::BIGINT AS place, n::BIGINT AS count, bits::BIGINT AS size FROM zcode")
+def _(spark, d):
+    runs = entropy.codebook(spark).where("value = 0 and count > 0")
+    return runs.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("count"))).alias("place"), "count", "size")  # eight rows
+
+
+@query("codebook_greatest_magnitude", f"WITH {_CODE_SQL} SELECT max(m)::BIGINT AS value, count(*)::BIGINT AS codes FROM mcode")
+def _(spark, d):
+    return entropy.codebook(spark).where("count = 1 and value > 0").agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("codes"))
+
+
+@query("magnitude_codes", f"WITH {_CODE_SQL} SELECT i::BIGINT AS magnitude, m::BIGINT AS value, bits::BIGINT AS size FROM ccode")
+def _(spark, d):
+    table = curves.inverse_companding(spark)
+    return table.select(F.col("i").alias("magnitude"), F.col("m").alias("value"), F.when(F.col("m") == 0, entropy.RUN_BITS[1]).otherwise(entropy.magnitude_size(F.col("m"))).alias("size"))
+
+
+def _run_codes_sql() -> str:
+    source = "SELECT n AS run, n AS rest, 0 AS size, false AS stop FROM range(3072) t(n)"
+    for n, bits in ((320, 13), (180, 13), (100, 11), (60, 10), (32, 9), (20, 8), (12, 7), (1, 1)):
+        use = f"CASE WHEN stop THEN 0 ELSE least(rest // {n}, (31 - size) // {bits}) END"
+        source = f"SELECT run, rest - ({use}) * {n} AS rest, size + ({use}) * {bits} AS size, stop OR rest // {n} > (31 - size) // {bits} AS stop FROM ({source})"
+    return f"SELECT run::BIGINT AS run, size::BIGINT AS size, (run - rest)::BIGINT AS covered FROM ({source})"
+
+
+@query("run_length_codes", _run_codes_sql())
+def _(spark, d):
+    return entropy.run_codes(spark)
 
 
 @query(
@@ -297,12 +388,13 @@ def _(spark, d):
 
 @query(
     "chunk_sizes",
-    f"""WITH {O.pyramid()}, b AS (SELECT image_id, channel, level, band, ceil(count(*) * 16 / 32) + 2 AS s FROM pyr GROUP BY ALL)
-    SELECT image_id::BIGINT AS image_id, channel::BIGINT AS channel, level::BIGINT AS level, band::BIGINT AS band, (sum(s) + 2 * count(*))::BIGINT AS segments, grouping(image_id, channel, level, band)::BIGINT AS depth
-    FROM b GROUP BY ROLLUP (image_id, channel, level, band)""",
+    f"""WITH {_BITS}, b AS (SELECT image_id, channel, subband, ceil(bits / 32) AS s FROM bandbits UNION ALL SELECT image_id, channel, 0, ceil(count(*) * 16 / 32) FROM qz WHERE subband = 0 GROUP BY image_id, channel)
+    SELECT image_id::BIGINT AS image_id, channel::BIGINT AS channel, subband::BIGINT AS subband, sum(s)::BIGINT AS segments, grouping(image_id, channel, subband)::BIGINT AS depth
+    FROM b GROUP BY ROLLUP (image_id, channel, subband)""",
 )
 def _(spark, d):
-    return entropy.chunk_sizes(wavelet.pyramid(_planes(spark, d)))
+    low = wavelet.quantized(wavelet.pyramid(_planes(spark, d))).where("subband = 0").groupBy(*_RUN_KEYS).agg((F.count(F.lit(1)) * 16).alias("bits"))
+    return entropy.chunk_sizes(_coded(spark, d).select(*_RUN_KEYS, "bits").unionByName(low))
 
 
 @query("predictor_apply", O.out(O.PX, '(SELECT *, v - coalesce(lag(v) OVER (PARTITION BY image_id, "row" ORDER BY col), 0) AS dv FROM px)', image_id="image_id", row='"row"', col="col", v="dv"))
@@ -317,6 +409,19 @@ def _(spark, d):
     return sensor(spark, d).withColumn("v", F.sum("v").over(line) % 65536)
 
 
+for _step in (2, 4):
+
+    @query(f"predictor_apply_step{_step}", O.out(O.PX, f'(SELECT *, v - coalesce(lag(v) OVER (PARTITION BY image_id, "row", col % {_step} ORDER BY col), 0) AS dv FROM px)', image_id="image_id", row='"row"', col="col", v="(dv + 65536) % 65536"))
+    def _(spark, d, step=_step):
+        line = Window.partitionBy("image_id", "row", F.col("col") % step).orderBy("col")
+        return sensor(spark, d).withColumn("v", (F.col("v") - F.coalesce(F.lag("v").over(line), F.lit(0)) + 65536) % 65536)
+
+    @query(f"predictor_undo_step{_step}", O.out(O.PX, f'(SELECT *, sum(v) OVER (PARTITION BY image_id, "row", col % {_step} ORDER BY col) % 65536 AS s FROM px)', image_id="image_id", row='"row"', col="col", v="s"))
+    def _(spark, d, step=_step):
+        line = Window.partitionBy("image_id", "row", F.col("col") % step).orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+        return sensor(spark, d).withColumn("v", F.sum("v").over(line) % 65536)
+
+
 # --- image stage -------------------------------------------------------------------------------
 
 _BLACK = [(0, 0, 60), (0, 1, 64), (1, 0, 66), (1, 1, 62)]
@@ -393,15 +498,13 @@ def _(spark, d):
     return sensor(spark, d).join(bad, ["row", "col"], "left_anti").select("image_id", "row", "col", "v")
 
 
-_RECTS = "SELECT p_partkey AS rect_id, p_partkey % 480 AS t, p_size % 60 AS l, p_partkey % 480 + p_size % 7 AS b, p_size % 60 + 3 AS r FROM part WHERE p_partkey % 40 = 0"
+_RECTS = "SELECT p_partkey AS rect_id, p_partkey % 480 AS t, p_size % 60 AS l, p_partkey % 480 + p_size % 7 AS b, p_size % 60 + 3 AS r FROM part"
 
 
 @query("bad_rect_range", O.out(f"{O.PX}, rects AS ({_RECTS})", '(SELECT rect_id, count(*) AS n, sum(v) AS s FROM px JOIN rects ON "row" BETWEEN t AND b AND col BETWEEN l AND r GROUP BY rect_id)', rect_id="rect_id", samples="n", total="s"))
 def _(spark, d):
-    p = _table(spark, d, "part").where("p_partkey % 40 = 0")
-    rects = p.select(F.col("p_partkey").alias("rect_id"), (F.col("p_partkey") % 480).cast("int").alias("t"), (F.col("p_size") % 60).alias("l"), (F.col("p_partkey") % 480 + F.col("p_size") % 7).cast("int").alias("b"), (F.col("p_size") % 60 + 3).alias("r"))
-    lines = rects.withColumn("row", F.explode(F.sequence("t", "b")))  # the range join as an equality on the row
-    return sensor(spark, d).join(lines, "row").where("col between l and r").groupBy("rect_id").agg(F.count(F.lit(1)).alias("samples"), F.sum("v").alias("total"))
+    rects = _table(spark, d, "part").select(F.col("p_partkey").alias("rect_id"), (F.col("p_partkey") % 480).cast("int").alias("t"), (F.col("p_size") % 60).alias("l"), (F.col("p_partkey") % 480 + F.col("p_size") % 7).cast("int").alias("b"), (F.col("p_size") % 60 + 3).alias("r"))
+    return stage.rectangle_sums(sensor(spark, d), rects, 64)
 
 
 _AREA, _PITCH = (10, 4, 200, 60), (2, 3)
@@ -460,19 +563,28 @@ def _(spark, d):
 
 
 def _resample_sql() -> str:
-    def one(name: str, source: str, line: str, size_in: int, size_out: int) -> str:
+    def one(name: str, source: str, line: str, size_in: str, size_out: str) -> str:
         other = "col" if line == "row" else "row"
         d = "abs(a - i)"
         w = f"floor(CASE WHEN {d} < 1 THEN ((1.25::DOUBLE * {d} - 2.25::DOUBLE) * {d}) * {d} + 1.0::DOUBLE WHEN {d} < 2 THEN ((-0.75::DOUBLE * {d} + 3.75::DOUBLE) * {d} - 6.0::DOUBLE) * {d} + 3.0::DOUBLE ELSE 0 END * 1024 + 0.5::DOUBLE)::BIGINT"
-        return f"""{name}w AS (SELECT o, i, {w} AS w FROM (SELECT o, a, floor(a)::BIGINT - 1 + k AS i FROM (SELECT o, (o + 0.5::DOUBLE) * {size_in / size_out}::DOUBLE - 0.5::DOUBLE AS a FROM range({size_out}) t(o)), range(4) u(k)) WHERE i BETWEEN 0 AND {size_in - 1}),
+        return f"""{name}o AS (SELECT unnest(range(0, {size_out})) AS o, ({size_in})::DOUBLE / ({size_out})::DOUBLE AS ratio),
+{name}w AS (SELECT o, i, {w} AS w FROM (SELECT o, a, floor(a)::BIGINT - 1 + k AS i FROM (SELECT o, (o + 0.5::DOUBLE) * ratio - 0.5::DOUBLE AS a FROM {name}o), range(4) u(k)) WHERE i BETWEEN 0 AND {size_in} - 1),
 {name} AS (SELECT image_id, o AS "{line}", "{other}", least(4095, greatest(0, (sum(v * w)::BIGINT * 2 + sum(w)::BIGINT) // (sum(w)::BIGINT * 2))) AS v FROM {source} JOIN {name}w ON i = "{line}" GROUP BY ALL)"""
 
-    return O.plain(f"{O.PX}, src AS (SELECT * FROM px WHERE \"row\" < 500), {one('a', 'src', 'row', 500, 125)}, {one('b', 'a', 'col', 64, 24)}", "b", PIXEL)
+    height = '(SELECT max("row") + 1 FROM px)'
+    return O.plain(f"{O.PX}, {one('a', 'px', 'row', height, f'({height} // 4)')}, {one('b', 'a', 'col', '64', '24')}", "b", PIXEL)
+
+
+def _height(pixels: DataFrame) -> int:
+    """Rows of the images: one aggregate, read before the plan that needs it is made."""
+    return (pixels.agg(F.max("row")).head()[0] or 0) + 1
 
 
 @query("resample_bicubic", _resample_sql())
 def _(spark, d):
-    return stage.resample(stage.resample(sensor(spark, d).where("row < 500"), "row", 500, 125), "col", 64, 24)
+    px = sensor(spark, d)
+    height = _height(px)
+    return stage.resample(stage.resample(px, "row", height, height // 4), "col", 64, 24)
 
 
 @query("histogram", O.out(O.PX, '(SELECT image_id, v, count(*) AS n FROM px WHERE "row" BETWEEN 10 AND 199 GROUP BY ALL)', image_id="image_id", v="v", n="n"))
@@ -610,19 +722,20 @@ def _(spark, d):
 @query(
     "warp_radial",
     O.out(
-        f"""{O.PX}, t AS (SELECT image_id, "row", col, ("row" - 250.0::DOUBLE) / 256.0::DOUBLE AS dr, (col - 32.0::DOUBLE) / 256.0::DOUBLE AS dc FROM px WHERE "row" < 500),
+        f"""{O.PX}, m AS MATERIALIZED (SELECT * FROM px), t AS (SELECT image_id, "row", col, ("row" - 250.0::DOUBLE) / 256.0::DOUBLE AS dr, (col - 32.0::DOUBLE) / 256.0::DOUBLE AS dc FROM m),
         q AS (SELECT *, 0.0625::DOUBLE * (dr * dr + dc * dc) + 0.9375::DOUBLE AS k FROM t),
-        s AS (SELECT *, floor(250.0::DOUBLE + dr * k * 256.0::DOUBLE + 0.5::DOUBLE)::INT AS sr, floor(32.0::DOUBLE + dc * k * 256.0::DOUBLE + 0.5::DOUBLE)::INT AS sc FROM q)""",
-        's JOIN px p ON p.image_id = s.image_id AND p."row" = sr AND p.col = sc AND sr < 500', image_id="s.image_id", row='s."row"', col="s.col", v="p.v",
+        s AS MATERIALIZED (SELECT *, floor(250.0::DOUBLE + dr * k * 256.0::DOUBLE + 0.5::DOUBLE)::INT AS sr, floor(32.0::DOUBLE + dc * k * 256.0::DOUBLE + 0.5::DOUBLE)::INT AS sc FROM q)""",
+        's JOIN m p ON p.image_id = s.image_id AND p."row" = sr AND p.col = sc', image_id="s.image_id", row='s."row"', col="s.col", v="p.v",
     ),
 )
 def _(spark, d):
-    return render.warp_nearest(sensor(spark, d).where("row < 500"), (250.0, 32.0), 256.0, [0.9375, 0.0625], 500, 64)
+    return render.warp_nearest(sensor(spark, d), (250.0, 32.0), 256.0, [0.9375, 0.0625])
 
 
 @query(
     "edge_replicate",
-    O.out(f"{O.PX}, g AS (SELECT r, c FROM range(-2, 502) a(r), range(-2, 66) b(c))", 'g JOIN px ON px."row" = least(499, greatest(0, r)) AND px.col = least(63, greatest(0, c)) AND px."row" < 500', image_id="image_id", row="r", col="c", v="v"),
+    O.out(f'{O.PX}, h AS (SELECT max("row") + 1 AS h FROM px), g AS (SELECT unnest(range(-2, h + 2)) AS r, h FROM h), gc AS (SELECT * FROM g, range(-2, 66) b(c))', 'gc JOIN px ON px."row" = least(h - 1, greatest(0, r)) AND px.col = least(63, greatest(0, c))', image_id="image_id", row="r", col="c", v="v"),
 )
 def _(spark, d):
-    return render.replicated_edges(sensor(spark, d).where("row < 500"), 500, 64, 2)
+    px = sensor(spark, d)
+    return render.replicated_edges(px, _height(px), 64, 2)
