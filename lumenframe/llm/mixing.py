@@ -11,7 +11,8 @@ order key, a running sum over buckets finds the one where the budget ends, and o
 ordered. A leaf with a third of all rows costs no task more than any other.
 
 Defined cases: tokens are UTF-8 bytes / 4 rounded up, at least 1 (a null or empty text: 1), unless
-a token column is given. Null languages and sources form the leaf ''. Rows with equal ids share an
+a token column is given. Very long texts count whole. docs must have the columns lang and source (an
+error otherwise); other columns, whatever their names, pass through. Null languages and sources form the leaf ''. Rows with equal ids share an
 order key and are taken or left together. Null ids share one key. An empty table gives no rows.
 Integer arithmetic only, so results don't depend on the order of sums.
 """
@@ -19,6 +20,7 @@ Integer arithmetic only, so results don't depend on the order of sums.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import lcm
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +37,10 @@ class Targets:
     sources: dict[str, int] = field(default_factory=dict)
     other: int = 1
 
+    def unit(self) -> int:
+        """The least common multiple of all weights."""
+        return lcm(self.other, *self.domains.values(), *self.languages.values(), *self.sources.values())
+
 
 def default_domain(source: Column) -> Column:
     """group0..group3 by the number a source's name ends with; 'other' without one."""
@@ -54,9 +60,9 @@ def _weight(name: Column, weights: dict[str, int], other: int) -> Column:
 
 
 def share_among_siblings(nodes: DataFrame, family: list[str], name: str) -> DataFrame:
-    """Adds alloc: `budget` (equal in a family) shared by `w`, no node above `cap`. Needs columns w, cap, budget."""
+    """Adds alloc: `budget` (equal in a family) shared by `w`, no node above `cap`. Needs columns w, cap, budget and unit (a multiple of every w, so that cap / w compares as whole numbers)."""
     whole = Window.partitionBy(*family)
-    order = whole.orderBy(F.col("cap") / F.col("w"), F.col(name))
+    order = whole.orderBy(F.expr("cast(cap as decimal(38, 0)) * (unit div w)"), F.col(name))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
     ranked = nodes.select(
@@ -78,21 +84,22 @@ def leaf_budgets(leaves: DataFrame, targets: Targets, share: tuple[int, int], ma
     """leaves: domain, lang, source, tokens. Adds budget, whole (epochs) and rest (tokens of the next epoch)."""
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
     num, den = share
+    unit = F.lit(targets.unit()).cast("bigint").alias("unit")
     domains = (
         leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
         .withColumn("root", F.lit(0))
         .withColumn("budget", F.expr(f"sum(tokens) over (partition by root) * {num} div {den}"))
         .withColumn("budget", F.expr("least(budget, sum(cap) over (partition by root))"))
-        .withColumn("w", _weight(F.col("domain"), targets.domains, targets.other))
+        .withColumn("w", _weight(F.col("domain"), targets.domains, targets.other)).select("*", unit)
     )
     domains = share_among_siblings(domains, ["root"], "domain").select("domain", F.col("alloc").alias("budget"))
     langs = (
         leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
         .join(domains, "domain")
-        .withColumn("w", _weight(F.col("lang"), targets.languages, targets.other))
+        .withColumn("w", _weight(F.col("lang"), targets.languages, targets.other)).select("*", unit)
     )
     langs = share_among_siblings(langs, ["domain"], "lang").select("domain", "lang", F.col("alloc").alias("budget"))
-    sources = leaves.join(langs, ["domain", "lang"]).withColumn("w", _weight(F.col("source"), targets.sources, targets.other))
+    sources = leaves.join(langs, ["domain", "lang"]).withColumn("w", _weight(F.col("source"), targets.sources, targets.other)).select("*", unit)
     return share_among_siblings(sources, ["domain", "lang"], "source").select(
         "domain", "lang", "source", "tokens",
         F.col("alloc").alias("budget"),
@@ -126,7 +133,8 @@ def mix(
         (F.col(tokens) if tokens else token_estimate(F.col("text"))).cast("bigint").alias("n"),
     ).withColumn("domain", domain(F.col("source")))
     leaves = narrow.groupBy(*LEAF).agg(F.sum("n").alias("tokens"))
-    budgets = leaf_budgets(leaves, targets, share, max_epochs)
+    # One row a leaf, as written tables: Spark knows their size, broadcasts them while that is small and else joins by sorting.
+    budgets = materialize(leaf_budgets(leaves, targets, share, max_epochs), "leaf-budgets")
 
     def order_key(epoch: Column, ident: Column) -> Column:
         return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(ident.cast("string"), F.lit("null"))).cast("binary"))
@@ -142,6 +150,7 @@ def mix(
         .groupBy(*LEAF)
         .agg(F.min("bucket").alias("cut_bucket"), F.min_by(F.col("upto") - F.col("n"), "bucket").alias("base"))
     )
+    ends = materialize(ends, "leaf-ends")
     in_cut = keyed.join(ends, LEAF).where("bucket = cut_bucket")
     running = Window.partitionBy(*LEAF).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = in_cut.withColumn("upto", F.col("base") + F.sum("n").over(running)).where("upto <= rest").groupBy(*LEAF).agg(F.max("key").alias("cut_key"))
@@ -150,7 +159,6 @@ def mix(
         .join(cuts, LEAF, "left")
         .select(*LEAF, "budget", "whole", "rest", F.coalesce("cut_key", "cut_bucket").alias("cut"))
     )
-    # One row a leaf, as a written table: Spark knows its size, broadcasts it while that is small and else joins by sorting.
     plan = materialize(plan, "leaf-plan")
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
@@ -180,15 +188,15 @@ def _case(column: str, weights: dict[str, int], other: int) -> str:
     return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN {v}" for k, v in weights.items()) + f" ELSE {other} END" if weights else str(other)
 
 
-def _shared(nodes: str, family: str, name: str) -> str:
+def _shared(nodes: str, family: str, name: str, unit: int) -> str:
     return f"""
   SELECT *, CASE WHEN fits THEN cap ELSE (budget - sum(CASE WHEN fits THEN cap ELSE 0 END) OVER (PARTITION BY {family}))::BIGINT * w
       // nullif((sum(CASE WHEN fits THEN 0 ELSE w END) OVER (PARTITION BY {family}))::BIGINT, 0) END AS alloc
   FROM (
     SELECT *, cap * w_from + cap_before * w <= budget * w AS fits
     FROM (
-      SELECT *, coalesce(sum(cap) OVER (PARTITION BY {family} ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cap_before,
-        (sum(w) OVER (PARTITION BY {family}) - coalesce(sum(w) OVER (PARTITION BY {family} ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS w_from
+      SELECT *, coalesce(sum(cap) OVER (PARTITION BY {family} ORDER BY cap::HUGEINT * ({unit} // w), {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cap_before,
+        (sum(w) OVER (PARTITION BY {family}) - coalesce(sum(w) OVER (PARTITION BY {family} ORDER BY cap::HUGEINT * ({unit} // w), {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS w_from
       FROM {nodes}))"""
 
 
@@ -203,12 +211,12 @@ d AS (SELECT *, CASE WHEN digits = '' THEN 'other' ELSE 'group' || (digits::BIGI
 leaves AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens, (sum(n) * {max_epochs})::BIGINT AS cap FROM d GROUP BY ALL),
 dom0 AS (SELECT domain, sum(cap)::BIGINT AS cap, sum(tokens)::BIGINT AS tokens, 0 AS root, {_case('domain', targets.domains, targets.other)}::BIGINT AS w FROM leaves GROUP BY domain),
 dom1 AS (SELECT *, least((sum(tokens) OVER ())::BIGINT * {num} // {den}, (sum(cap) OVER ())::BIGINT) AS budget FROM dom0),
-dom AS ({_shared('dom1', 'root', 'domain')}),
+dom AS ({_shared('dom1', 'root', 'domain', targets.unit())}),
 lang0 AS (SELECT l.domain, l.lang, sum(l.cap)::BIGINT AS cap, any_value(dom.alloc)::BIGINT AS budget, {_case('l.lang', targets.languages, targets.other)}::BIGINT AS w
   FROM leaves l JOIN dom USING (domain) GROUP BY l.domain, l.lang),
-lng AS ({_shared('lang0', 'domain', 'lang')}),
+lng AS ({_shared('lang0', 'domain', 'lang', targets.unit())}),
 src0 AS (SELECT l.*, lng.alloc AS budget, {_case('l.source', targets.sources, targets.other)}::BIGINT AS w FROM leaves l JOIN lng USING (domain, lang)),
-src AS ({_shared('src0', 'domain, lang', 'source')}),
+src AS ({_shared('src0', 'domain, lang', 'source', targets.unit())}),
 budgets AS (SELECT domain, lang, source, alloc AS budget, alloc // tokens AS whole, alloc % tokens AS rest FROM src),
 keyed AS (SELECT d.doc_id, d.domain, d.lang, d.source, d.n, b.budget, b.whole, b.rest,
     md5('{seed}:' || b.whole::VARCHAR || ':' || coalesce(d.doc_id::VARCHAR, 'null')) AS key
