@@ -21,7 +21,8 @@ texts are shuffled once, no range grows with skew, and there is no global sort i
 Defined cases: a null text counts as empty; the empty text's fingerprint is the hash of nothing in
 every bin, like any text without phrases. Equal ids stand in the order of their texts' hashes (a
 null id is the smallest); rows that are equal in both are interchangeable. A single row is its own
-successor. An empty table gives no rows.
+successor. Very long texts are parsed whole; a worker holds about 50 bytes a character of one. ids
+must be integers (an error otherwise). Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -192,12 +193,17 @@ def in_falling_order(docs: DataFrame, ranges: int) -> DataFrame:
     steps = [i / ranges for i in range(1, ranges)] + [1.0]
     bounds = docs.agg(F.percentile_approx("doc_id", steps, 10 * ranges), F.max("doc_id")).head()
     heads = sorted({*(bounds[0] or []), least if bounds[1] is None else bounds[1]})  # a range: from one head down to the next
-    falling = F.array(*[F.lit(h) for h in heads])
+    # which range: first the block of heads by their last ones, then inside it, so a row looks at 2 sqrt(ranges) heads
+    size = max(1, int(len(heads) ** 0.5))
+    blocks = [heads[i : i + size] for i in range(0, len(heads), size)]
+    lasts, nested = F.lit(np.array([b[-1] for b in blocks], np.int64)), F.array(*[F.lit(np.array(b, np.int64)) for b in blocks])
     rows = docs.withColumn("at", F.coalesce("doc_id", F.lit(least)))
-    k = F.size(F.filter(falling, lambda h: h >= F.col("at"))) - 1
+    block = F.size(F.filter(lasts, lambda h: h < F.col("at")))  # there is one: the last head is the greatest id
+    own = F.element_at(nested, block + 1)
+    k = F.lit(len(heads) - 1) - (block * size + F.size(F.filter(own, lambda h: h < F.col("at"))))
     before = F.when(k > 0, k - 1).otherwise(F.lit(len(heads) - 1))
     place = lambda r, ahead: F.struct(r.alias("r"), F.lit(ahead).alias("ahead"))
-    places = F.when(F.array_contains(falling, F.col("at")), F.array(place(k, 0), place(before, 1))).otherwise(F.array(place(k, 0)))
+    places = F.when(F.array_contains(own, F.col("at")), F.array(place(k, 0), place(before, 1))).otherwise(F.array(place(k, 0)))
     placed = rows.withColumn("place", F.explode(places)).select("place.r", "place.ahead", "at", "doc_id", "text")
     return placed.repartition("r").sortWithinPartitions("r", "ahead", F.col("at").desc(), F.xxhash64("text")).select("r", "ahead", "doc_id", "text")
 
@@ -206,7 +212,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Each row's fingerprint and that of its edited text (last third replaced by the start of the next document)."""
     spark = docs.sparkSession
     ship_package(spark)
-    ranges = ranges or min(4096, max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    if docs.schema[id_col].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise ValueError(f"{id_col} must be an integer")
+    ranges = ranges or min(1 << 16, max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
