@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and driver and executors are one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lumenframe-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -34,7 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lumenframe-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    made = spark.read.schema(schema).parquet(path)
+    made._lumenframe_path = path
+    return made
+
+
+def discard(*made: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that no plan needs any more."""
+    for df in made:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._lumenframe_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:

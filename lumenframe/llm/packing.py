@@ -12,7 +12,7 @@ lost task is redone with the same result. sequence_id is the task's number in it
 a counter below them.
 
 Defined cases: a null or empty text is the end-of-document id alone. Ids may be null or repeated;
-each row is a document. An empty table gives no rows; other columns are ignored.
+each row is a document. Very long texts are packed whole. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import materialize, ship_package, text_or_empty
+from lumenframe.llm.common import discard, materialize, ship_package, text_or_empty
 from lumenframe.llm.components import connected
 from lumenframe.llm.similar import _candidates, _common, _prefixes, _sets, _shared, _verified, shingles
 
@@ -310,7 +310,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"), text_key(text_col).alias("key"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     sets = materialize(rows.mapInArrow(_sets(words), f"doc_id {kind}, key binary, node bigint, f0 bigint, size int, sketch binary, shingles array<bigint>"), "shingles")
-    links = materialize(_verified(materialize(_probed(sets, radius), "candidates"), sets, t), "links")
+    pairs = materialize(_probed(sets, radius), "candidates")
+    links = materialize(_verified(pairs, sets, t), "links")
+    discard(pairs)
     labels = connected(links)
     common = spark.sparkContext.broadcast(_common(sets))
     prefixes = sets.select("node", "shingles").mapInArrow(_prefixes(common, t), "token bigint, node bigint")
@@ -320,6 +322,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     for every, mixed in ((False, False), (False, True), (True, False)):
         pairs = materialize(_candidates(shared, nodes, labels, t, every, block, mixed), "candidates")
         links = links.unionByName(materialize(_verified(pairs, sets, t), "links"))
+        discard(pairs)
         labels = connected(links)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     seen = sets.select("doc_id", "key", "node").join(labels, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))

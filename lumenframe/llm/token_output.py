@@ -10,7 +10,8 @@ begin in that list, and the position of every token in its segment (positions re
 segment). write() stores blocks as Parquet; read_segments() gives the documents back.
 
 No shuffle; a task holds one block. Defined cases: a null or empty text is the end-of-document id
-alone; ids may be null or repeated; an empty table gives no blocks; other columns are ignored.
+alone; very long texts are split, never cut; ids may be null or repeated; an empty table gives no
+blocks; other columns are ignored. A vocabulary beyond 16 bits is an error.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import ship_package
-from lumenframe.llm.tokens import document_ids
+from lumenframe.llm.tokens import document_ids, encoder
 
 SCHEMA = "block_id bigint, n_rows bigint, width bigint, n_tokens bigint, ids binary, segment_docs array<{id}>, segment_starts array<bigint>, cu_seqlens binary, row_segments binary, positions binary"
 
@@ -103,6 +104,8 @@ def matrices(docs: DataFrame, width: int = 2048, block_tokens: int = 1 << 20, ra
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if encoder(ranks_file).n_vocab > 1 << 16:
+            raise ValueError(f"{ranks_file} has ids beyond 16 bits")
         block, pieces, held = TaskContext.get().partitionId() << 32, [], 0
         kind = pa.int64()
         for batch in batches:
