@@ -82,3 +82,13 @@ def replicated_edges(pixels: DataFrame, height: int, width: int, border: int) ->
 
     tall = pixels.select("image_id", "col", "v", F.explode(reach("row", height)).alias("row"))
     return tall.select("image_id", "row", "v", F.explode(reach("col", width)).alias("col")).select("image_id", "row", "col", "v")
+
+
+def inverse_table(spark, values: list[int], wanted, one: int = 1024) -> DataFrame:
+    """(y, x): where a rising function given at 0, 1, 2, ... takes the wanted values, in units of 1 / one, between two given points by a line; beyond the last point, that point."""
+    last = len(values) - 1
+    ys = F.lit(values)
+    rows = spark.createDataFrame([(int(y),) for y in wanted], "y bigint")
+    at = rows.withColumn("i", F.size(F.filter(ys, lambda v: v <= F.col("y"))) - 1)
+    low, high = F.element_at(ys, F.col("i") + 1), F.element_at(ys, F.least(F.col("i") + 2, F.lit(last + 1)))
+    return at.where("i >= 0").select("y", low.alias("a"), high.alias("b"), "i").select("y", F.expr(f"i * {one} + case when i < {last} then (y - a) * {one} div (b - a) else 0 end").alias("x"))

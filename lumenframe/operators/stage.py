@@ -50,6 +50,71 @@ def fix_bad_constant(pixels: DataFrame, bad: int) -> DataFrame:
     return near.select("image_id", "row", "col", F.when((F.col("v") == bad) & (count > 0), fixed).otherwise(F.col("v")).alias("v"))
 
 
+def fix_bad_list(pixels: DataFrame, bad: DataFrame) -> DataFrame:
+    """bad: distinct (row, col). Listed samples become the rounded mean of their same-colour neighbours (two away) that aren't listed; without any they stay.
+
+    Only listed samples are gathered for: four equalities a place, not a window over the image.
+    """
+    steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((-2, 0), (2, 0), (0, -2), (0, 2))])
+    near = bad.select("row", "col", F.explode(steps).alias("s")).select(F.col("row").alias("br"), F.col("col").alias("bc"), (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"))
+    good = near.join(bad, ["row", "col"], "left_anti").join(pixels, ["row", "col"])
+    n = F.count("v")
+    means = good.groupBy("image_id", "br", "bc").agg(F.floor((F.sum("v") * 2 + n) / (n * 2)).alias("mean")).select("image_id", F.col("br").alias("row"), F.col("bc").alias("col"), "mean")
+    return pixels.join(means, ["image_id", "row", "col"], "left").select("image_id", "row", "col", F.coalesce("mean", "v").alias("v"))
+
+
+def isolated(bad: DataFrame, reach: int) -> DataFrame:
+    """(row, col, isolated): whether no other listed place is within `reach` rows and columns. Equalities on places, no range join."""
+    steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in range(-reach, reach + 1) for c in range(-reach, reach + 1) if r or c])
+    around = bad.select(F.explode(steps).alias("s"), "row", "col").select((F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col")).distinct()
+    return bad.join(around.withColumn("met", F.lit(True)), ["row", "col"], "left").select("row", "col", F.col("met").isNull().alias("isolated"))
+
+
+def apply_opcodes(pixels: DataFrame, steps: list[tuple]) -> DataFrame:
+    """Operators of this module with their arguments, one after the other."""
+    for operator, arguments in steps:
+        pixels = operator(pixels, *arguments)
+    return pixels
+
+
+def max_black(pattern: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """level: the greatest black of the pattern, and the greatest row and column delta where that is over 0."""
+    parts = pattern.select(F.lit(0).alias("k"), F.col("black").alias("x")).unionByName(rows.select(F.lit(1).alias("k"), F.col("d").alias("x"))).unionByName(columns.select(F.lit(2).alias("k"), F.col("d").alias("x")))
+    most = parts.groupBy("k").agg(F.max("x").alias("x"))
+    return most.agg(F.sum(F.when(F.col("k") == 0, F.col("x")).otherwise(F.greatest(F.lit(0), F.col("x")))).alias("level"))
+
+
+def proxy(pixels: DataFrame, size: int, white: int) -> DataFrame:
+    """A smaller 8-bit stand-in: rounded means of size x size cells, under a square-root curve."""
+    n = F.count(F.lit(1))
+    cells = pixels.groupBy("image_id", F.floor(F.col("row") / size).alias("row"), F.floor(F.col("col") / size).alias("col")).agg(F.floor((F.sum("v") + F.floor(n / 2)) / n).alias("v"))
+    return cells.withColumn("v", F.floor(F.sqrt(F.col("v") / F.lit(float(white))) * 255.0 + 0.5))
+
+
+def get(pixels: DataFrame, area: tuple[int, int, int, int]) -> DataFrame:
+    """The samples of an area, counted from its corner."""
+    return pixels.where(in_area(area)).withColumns({"row": F.col("row") - area[0], "col": F.col("col") - area[1]})
+
+
+def put(pixels: DataFrame, part: DataFrame, row: int, col: int) -> DataFrame:
+    """part laid over pixels with its corner at (row, col); what would fall outside is left out."""
+    moved = part.select("image_id", (F.col("row") + row).alias("row"), (F.col("col") + col).alias("col"), F.col("v").alias("w"))
+    return pixels.join(moved, ["image_id", "row", "col"], "left").select("image_id", "row", "col", F.coalesce("w", "v").alias("v"))
+
+
+def line_digests(pixels: DataFrame) -> DataFrame:
+    """(image_id, row, digest): MD5 of each line's samples, comma-joined."""
+    lines = pixels.groupBy("image_id", "row").agg(F.sort_array(F.collect_list(F.struct("col", "v"))).alias("s"))
+    return lines.select("image_id", "row", F.md5(F.array_join(F.transform("s", lambda x: x["v"].cast("string")), ",").cast("binary")).alias("digest"))
+
+
+def validated(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(image_id, lines, valid, first_bad): digests that agree, and the first line whose digest doesn't."""
+    both = found.join(expected.select("image_id", "row", F.col("digest").alias("wanted")), ["image_id", "row"])
+    same = F.col("digest") == F.col("wanted")
+    return both.groupBy("image_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.when(same, 1).otherwise(0)).alias("valid"), F.min(F.when(~same, F.col("row"))).alias("first_bad"))
+
+
 def demosaic_bilinear(pixels: DataFrame) -> DataFrame:
     """(image_id, row, col, r, g, b) of an RGGB mosaic: the mean of the nearest same-colour samples, rounded; edges use those that exist."""
     taps = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]

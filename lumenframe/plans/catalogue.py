@@ -12,36 +12,21 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import curves, scalars
 from lumenframe.operators import bayer, entropy, render, stage, wavelet
+from lumenframe.plans import metadata  # noqa: F401  (registers its queries)
 from lumenframe.plans import oracle as O
+from lumenframe.plans.registry import FOUND, query, wide
+from lumenframe.plans.registry import table as _table
 from lumenframe.sources.pixels import sensor
 
 FLAGSHIP = "rgb_preview_16"
-_FOUND: dict[str, tuple[Callable, str | None]] = {}
-
-
-def query(name: str, sql: str | None):
-    def keep(f: Callable) -> Callable:
-        _FOUND[name] = (f, sql)
-        return f
-
-    return keep
-
-
-def _wide(df: DataFrame) -> DataFrame:
-    whole = ("int", "smallint", "tinyint", "bigint")
-    return df.select(*[F.col(f"`{c}`").cast("bigint").alias(c) if t in whole else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: _wide(f(spark, sf_dir))) for name, (f, _) in _FOUND.items()}
+    return {name: (lambda spark, sf_dir, f=f: wide(f(spark, sf_dir))) for name, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
-
-
-def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return {name: sql for name, (_, sql) in FOUND.items() if sql}
 
 
 def _planes(spark, sf_dir, cell="rggb"):
@@ -542,6 +527,101 @@ def _(spark, d):
     return stage.per_line(sensor(spark, d), spark.range(50).select(F.col("id").cast("int").alias("col"), (1.0 + (F.col("id") % 5) / 64.0).alias("d")), "col", True)
 
 
+@query("delta_col", O.out(f"{O.PX}, dl AS (SELECT i, (i % 5 - 2) / 512.0::DOUBLE AS d FROM range(0, 50) t(i))", "px LEFT JOIN dl ON dl.i = col", image_id="image_id", row='"row"', col="col", v=f"CASE WHEN d IS NULL THEN v ELSE {_pin(f'{_U} + d')} END"))
+def _(spark, d):
+    return stage.per_line(sensor(spark, d), spark.range(50).select(F.col("id").cast("int").alias("col"), ((F.col("id") % 5 - 2) / 512.0).alias("d")), "col", False)
+
+
+@query("scale_row", O.out(f"{O.PX}, dl AS (SELECT i, 1.0::DOUBLE + (i % 3) / 32.0::DOUBLE AS d FROM range(0, 400) t(i))", 'px LEFT JOIN dl ON dl.i = "row"', image_id="image_id", row='"row"', col="col", v=f"CASE WHEN d IS NULL THEN v ELSE {_pin(f'{_U} * d')} END"))
+def _(spark, d):
+    return stage.per_line(sensor(spark, d), spark.range(400).select(F.col("id").cast("int").alias("row"), (1.0 + (F.col("id") % 3) / 32.0).alias("d")), "row", True)
+
+
+@query(
+    "opcode_list",
+    O.out(
+        f"""{O.PX}, lut AS (SELECT i, (i * 3) // 2 + 7 AS t FROM range(3000) t(i)), a AS (SELECT image_id, "row", col, CASE WHEN {_IN} THEN t ELSE v END AS v FROM px JOIN lut ON lut.i = least(2999, v)),
+        b AS (SELECT image_id, "row", col, CASE WHEN {_IN} THEN {_pin(f'(-0.5::DOUBLE * {_U} + 1.25::DOUBLE) * {_U} + 0.0::DOUBLE')} ELSE v END AS v FROM a)""",
+        '(SELECT * FROM b WHERE "row" BETWEEN 10 AND 199 AND col BETWEEN 4 AND 59)', image_id="image_id", row='"row"', col="col", v="v",
+    ),
+)
+def _(spark, d):
+    table = spark.range(3000).select(F.col("id").cast("int").alias("i"), F.expr("cast(id * 3 div 2 + 7 as int)").alias("to"))
+    steps = [(stage.map_table, (table, _AREA, _PITCH)), (stage.map_polynomial, (_AREA, _PITCH, [0.0, 1.25, -0.5])), (stage.trim_bounds, (_AREA,))]
+    return stage.apply_opcodes(sensor(spark, d), steps)
+
+
+_LIST = "bad AS (SELECT DISTINCT o_orderkey % 500 AS br, o_custkey % 64 AS bc FROM orders WHERE o_orderstatus = 'P')"
+
+
+@query("bad_pixel_isolated", O.out(_LIST, "(SELECT a.br, a.bc, NOT EXISTS (SELECT 1 FROM bad b WHERE abs(a.br - b.br) <= 2 AND abs(a.bc - b.bc) <= 2 AND (a.br <> b.br OR a.bc <> b.bc)) AS i, row_number() OVER (ORDER BY br, bc) AS n FROM bad a)", row="br", col="bc", place="n", isolated=("i", "BOOLEAN")))
+def _(spark, d):
+    return stage.isolated(_bad_list(spark, d), 2).withColumn("place", F.row_number().over(Window.orderBy("row", "col")))  # a bad list is small by nature
+
+
+def _bad_list(spark, d) -> DataFrame:
+    return _table(spark, d, "orders").where("o_orderstatus = 'P'").select((F.col("o_orderkey") % 500).cast("int").alias("row"), (F.col("o_custkey") % 64).cast("int").alias("col")).distinct()
+
+
+@query(
+    "bad_pixel_list",
+    f"""WITH {O.PX}, {_LIST}, n AS (SELECT dr, dc FROM (VALUES (-2, 0), (2, 0), (0, -2), (0, 2)) t(dr, dc)),
+    f AS (SELECT b.br, b.bc, p.image_id, sum(p.v) AS s, count(*) AS c FROM bad b, n JOIN px p ON p."row" = b.br + dr AND p.col = b.bc + dc LEFT JOIN bad o ON o.br = p."row" AND o.bc = p.col WHERE o.br IS NULL GROUP BY ALL)
+    SELECT px.image_id::BIGINT AS image_id, px."row"::BIGINT AS "row", px.col::BIGINT AS col, coalesce((s * 2 + c) // (c * 2), v)::BIGINT AS v FROM px LEFT JOIN f ON f.image_id = px.image_id AND br = px."row" AND bc = px.col""",
+)
+def _(spark, d):
+    return stage.fix_bad_list(sensor(spark, d), _bad_list(spark, d))
+
+
+@query("max_black", O.out(f"{O.PX}, p AS (SELECT \"row\" % 2 AS pr, col % 2 AS pc, min(v) AS b FROM px GROUP BY ALL), r AS (SELECT \"row\", min(v) - 900 AS d FROM px GROUP BY ALL), c AS (SELECT col, min(v) - 900 AS d FROM px GROUP BY ALL)", "(SELECT (SELECT max(b) FROM p) + greatest(0, (SELECT max(d) FROM r)) + greatest(0, (SELECT max(d) FROM c)) AS m)", level="m"))
+def _(spark, d):
+    px = sensor(spark, d)
+    low = F.min("v")
+    return stage.max_black(stage.black_pattern(px, (2, 2)).select(F.col("low").alias("black")), px.groupBy("row").agg((low - 900).alias("d")), px.groupBy("col").agg((low - 900).alias("d")))
+
+
+@query("transparency_mask", O.out(f"{O.PX}", "px", image_id="image_id", row='"row"', col="col", v="CASE WHEN \"row\" BETWEEN 10 AND 199 AND col BETWEEN 4 AND 59 THEN v ELSE 0 END", alpha="CASE WHEN \"row\" BETWEEN 10 AND 199 AND col BETWEEN 4 AND 59 THEN 255 ELSE 0 END"))
+def _(spark, d):
+    inside = stage.in_area(_AREA)
+    return sensor(spark, d).select("image_id", "row", "col", F.when(inside, F.col("v")).otherwise(0).alias("v"), F.when(inside, 255).otherwise(0).alias("alpha"))
+
+
+@query("proxy_8bit", O.out(f"{O.PX}, c AS (SELECT image_id, \"row\" // 2 AS \"row\", col // 2 AS col, sum(v) AS s, count(*) AS n FROM px GROUP BY ALL)", "c", image_id="image_id", row='"row"', col="col", v="floor(sqrt(((s + n // 2) // n) / 4095.0::DOUBLE) * 255.0::DOUBLE + 0.5::DOUBLE)"))
+def _(spark, d):
+    return stage.proxy(sensor(spark, d), 2, 4095)
+
+
+@query("area_put", O.out(f"{O.PX}, s AS (SELECT image_id, \"row\" + 100 AS \"row\", col + 7 AS col, v AS w FROM px WHERE \"row\" < 20 AND col < 30)", 'px LEFT JOIN s USING (image_id, "row", col)', image_id="image_id", row='"row"', col="col", v="coalesce(w, v)"))
+def _(spark, d):
+    return stage.put(sensor(spark, d), stage.get(sensor(spark, d), (0, 0, 20, 30)), 100, 7)
+
+
+@query("sample_conversions", O.out(O.PX, "px", image_id="image_id", row='"row"', col="col", u8="v >> 4", s16="v - 2048", milli="floor(v / 4095.0::DOUBLE * 1000.0::DOUBLE + 0.5::DOUBLE)", filled="CASE WHEN v < 1500 THEN 0 ELSE v END", equal=('v = 2100', "BOOLEAN")))
+def _(spark, d):
+    v = F.col("v")
+    return sensor(spark, d).select("image_id", "row", "col", F.shiftright(v, 4).alias("u8"), (v - 2048).alias("s16"), F.floor(v / F.lit(4095.0) * 1000.0 + 0.5).alias("milli"), F.when(v < 1500, 0).otherwise(v).alias("filled"), (v == 2100).alias("equal"))
+
+
+@query("image_buffer", O.out(O.PX, "(SELECT image_id, \"row\", list(v ORDER BY col) AS l FROM px GROUP BY ALL)", image_id="image_id", row='"row"', samples="len(l)", line=("array_to_string(l, ',')", "VARCHAR")))
+def _(spark, d):
+    lines = sensor(spark, d).groupBy("image_id", "row").agg(F.sort_array(F.collect_list(F.struct("col", "v"))).alias("l"))
+    return lines.select("image_id", "row", F.size("l").alias("samples"), F.array_join(F.transform("l", lambda x: x["v"].cast("string")), ",").alias("line"))
+
+
+@query("digest_check", f"""WITH {O.PX}, t AS (SELECT image_id, "row", md5(string_agg(v::VARCHAR, ',' ORDER BY col)) AS d FROM px GROUP BY ALL), u AS (SELECT image_id, "row", md5(string_agg((CASE WHEN "row" % 50 = 0 AND col = 3 THEN v + 1 ELSE v END)::VARCHAR, ',' ORDER BY col)) AS e FROM px GROUP BY ALL)
+    SELECT image_id::BIGINT AS image_id, count(*)::BIGINT AS lines, sum(CASE WHEN d = e THEN 1 ELSE 0 END)::BIGINT AS valid, min(CASE WHEN d <> e THEN "row" END)::BIGINT AS first_bad FROM t JOIN u USING (image_id, "row") GROUP BY image_id""")
+def _(spark, d):
+    px = sensor(spark, d)
+    changed = px.withColumn("v", F.when((F.col("row") % 50 == 0) & (F.col("col") == 3), F.col("v") + 1).otherwise(F.col("v")))
+    return stage.validated(stage.line_digests(px), stage.line_digests(changed))
+
+
+@query("inverse_function", """WITH g AS (SELECT i, (i * i * 3 + i * 40) // 64 AS y FROM range(0, 257) t(i)), t AS (SELECT o, max(i) AS lo FROM range(0, 3000, 7) u(o) JOIN g ON y <= o GROUP BY o)
+    SELECT o::BIGINT AS y, (CASE WHEN b.y IS NULL THEN a.i * 1024 ELSE a.i * 1024 + (o - a.y) * 1024 // (b.y - a.y) END)::BIGINT AS x FROM t JOIN g a ON a.i = lo LEFT JOIN g b ON b.i = lo + 1""")
+def _(spark, d):
+    return render.inverse_table(spark, [(i * i * 3 + i * 40) // 64 for i in range(257)], range(0, 3000, 7))
+
+
 _GAIN = """grid AS (SELECT r AS gr, c AS gc, 1.0::DOUBLE + (r * 5 + c * 3) % 8 / 16.0::DOUBLE AS gain FROM range(0, 64) a(r), range(0, 5) b(c)),
 g AS (SELECT image_id, "row", col, v, "row" / 32.0::DOUBLE AS fr, col / 16.0::DOUBLE AS fc, least(63, "row" // 32) AS r0, least(4, col // 16) AS c0 FROM px),
 g4 AS (SELECT g.*, fr - r0 AS tr, fc - c0 AS tc, a.gain AS ga, b.gain AS gb, c.gain AS gc_, e.gain AS gd FROM g
