@@ -1,15 +1,22 @@
 """The wavelet codec as an image-to-bytes map: one Arrow row an image, nothing shuffled.
 
-The byte stream is 32-bit big-endian tag-value segments; a subband's payload follows a chunk
-segment that tells its length, so a reader takes the subbands that a resolution needs and steps
-over the rest. Coefficients are coded by a prefix code that a rule gives: one bit for a zero, five
-for a listed run of zeros or the band's end, and a length-prefixed magnitude with a sign.
+The byte stream is 32-bit big-endian tag-value segments. Sections nest (channel, wavelet, subband)
+and repeat the state that they need, so each can be decoded by itself; their segment and the one
+before a subband's payload hold the size in segments, so a reader takes the subbands that a
+resolution needs and steps over the rest. Sizes are made bottom-up: a section is built from its
+finished parts.
+
+Coefficients are coded by a prefix code. Its sizes are the format's (entropy.py), so streams are as
+long as the format's; its words are the canonical ones of these sizes unless `words` gives others:
+rows (size, bits, count, value) of a whole code, as read_codebook() reads them from a text file.
+Streams made with one set of words are read with the same set.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,97 +25,168 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import arrays
 from lumenframe.operators.bayer import CELLS, GAINS
-from lumenframe.operators.entropy import RUN_LENGTHS
-from lumenframe.operators.wavelet import PRESCALE, QUANTIZERS, SUBBANDS
+from lumenframe.operators.entropy import END_BITS, MAGNITUDE_BITS, RUN_BITS
+from lumenframe.operators.wavelet import PRESCALE, QUANTIZERS, SUBBANDS, midpoint
 
-# The stream's start marker and its tags.
+# The stream's start marker, its tags, and the chunks that sections and payloads begin with.
 START = 0x56432D35
-TAGS = {"channels": 12, "subbands": 14, "width": 20, "height": 21, "subband": 48, "quantization": 53, "channel": 62, "pattern": 106}
-PAYLOAD = 0x6000
+TAGS = {
+    "channels": 12, "subbands": 14, "width": 20, "height": 21, "lowpass_precision": 35, "subband": 48, "quantization": 53, "channel": 62, "format": 84, "bits": 101, "max_bits": 102, "pattern_width": 106, "pattern_height": 107, "components": 108, "prescale": 109,
+}
+SECTIONS = {"subband": 0x2000, "wavelet": 0x2100, "channel": 0x2400, "header": 0x2500, "image": 0x2700}
+PAYLOAD, IDENTIFIER, VENDOR = 0x6000, 0x4004, 0x4000
 RESOLUTIONS = {"sixteenth": 1, "eighth": 4, "quarter": 7, "half": 10, "full": 10}
-FULL_CODES = 7  # of the five-bit codes: 0..6 are run lengths, 7 ends a band
+#: Codec state before the first segment.
+DEFAULTS = {"channel": 0, "subband": 0, "quantization": 1, "lowpass_precision": 16}
+Words = tuple[tuple[int, int, int, int], ...]
 
 
-def codebook() -> list[tuple[int, int, str, int]]:
-    """(size, bits, kind, value) without sign bits: kind zero, run, end or magnitude (1..255)."""
-    rows = [(1, 0, "zero", 0)] + [(5, 0b10000 + k, "run" if k < FULL_CODES else "end", RUN_LENGTHS[k] if k < FULL_CODES else 0) for k in range(8)]
+@lru_cache(maxsize=4)
+def codebook(words: Words | None = None) -> Words:
+    """(size, bits, count, value) of each code without sign bits: count 1 a magnitude (0: one zero), more a run of zeros, 0 the band's end. Canonical: by size, then zeros before values, in rising order."""
+    if words is not None:
+        return words
+    rows, size = [(END_BITS, 0, 1)] + [(bits, n, 0) for n, bits in RUN_BITS.items()], 0
     for m in range(1, 256):
-        n = m.bit_length()
-        bits = (0b11 << n) | (((1 << (n - 1)) - 1) << 1)
-        rows.append((2 + n + n - 1, bits << (n - 1) | (m - (1 << (n - 1))), "magnitude", m))
+        size = MAGNITUDE_BITS.get(m, size)
+        rows.append((size, 1, m))
+    code, last, out = 0, 0, []
+    for size, count, value in sorted(rows, key=lambda r: (r[0], r[1] == 0, r[2], r[1])):
+        code <<= size - last
+        out.append((size, code, count, value))
+        code, last = code + 1, size
+    return tuple(out)
+
+
+def read_codebook(lines: Iterator[str]) -> Words:
+    """A code from lines `size bits count value` (bits in any Python notation); checked to be prefix-free, complete and whole."""
+    rows = tuple(tuple(int(x, 0) for x in line.replace(",", " ").split()[:4]) for line in lines if line.strip())
+    names = sorted(f"{bits:0{size}b}" for size, bits, _, _ in rows)
+    if any(b.startswith(a) for a, b in zip(names, names[1:])) or sum(2.0**-size for size, *_ in rows) != 1:
+        raise ValueError("not a complete prefix code")
+    if {v for _, _, count, v in rows if count == 1} != set(range(256)) or not any(count == 0 for _, _, count, _ in rows):
+        raise ValueError("a code needs the magnitudes 0 to 255 and a band end")
     return rows
 
 
-def _codes() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def _encoder(words: Words | None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], tuple[int, int]]:
+    """Sizes and bits of magnitudes, runs (count, size, bits) longest first, and the band's end."""
     sizes, bits = np.zeros(256, np.int64), np.zeros(256, np.int64)
-    sizes[0] = 1
-    for size, code, kind, m in codebook():
-        if kind == "magnitude":
-            sizes[m], bits[m] = size, code
-    return sizes, bits
+    runs, end = [], (0, 0)
+    for size, code, count, value in codebook(words):
+        if count == 1:
+            sizes[value], bits[value] = size, code
+        if count and value == 0:
+            runs.append((count, size, code))
+        if not count:
+            end = (size, code)
+    return sizes, bits, sorted(runs, reverse=True), end
+
+
+FIRST = 13  # bits of the decoder's first table
+
+
+@lru_cache(maxsize=4)
+def _decoder(words: Words | None) -> tuple[list, dict, int]:
+    """A table by the next FIRST bits: (bits used, zeros, value; value -1: the band's end), None where the code is longer; then a dictionary by (size, bits); the longest size.
+
+    Entries of single zeros take as many as stand there.
+    """
+    table: list = [None] * (1 << FIRST)
+    longer, longest = {}, 0
+    for size, code, count, value in codebook(words):
+        entry = (size, count if value == 0 and count else 0, value if count else -1)
+        longest = max(longest, size)
+        if size <= FIRST:
+            for k in range(1 << (FIRST - size)):
+                table[code << (FIRST - size) | k] = entry
+        else:
+            longer[size, code] = entry
+    single = next((size, code) for size, code, count, value in codebook(words) if count == 1 and value == 0)
+    if single == (1, 0):
+        for i in range(1 << (FIRST - 1)):
+            n = FIRST - i.bit_length()
+            table[i] = (n, n, 0)
+    return table, longer, longest
 
 
-def encode_band(v: np.ndarray) -> bytes:
+def encode_band(v: np.ndarray, words: Words | None = None) -> bytes:
     """Companded coefficients (-255..255) in reading order to bytes, padded to 32 bits."""
     v = v.ravel()
-    sizes, codes = _codes()
+    sizes, codes, runs, end = _encoder(words)
     at = np.flatnonzero(v)
-    ends = np.r_[at, len(v)]
-    zeros = np.diff(np.r_[-1, ends]) - 1
+    left = np.diff(np.r_[-1, at, len(v)]) - 1
+    ends = len(left)
     out_size: list[np.ndarray] = []
     out_code: list[np.ndarray] = []
     out_place: list[np.ndarray] = []
-    left = zeros.copy()
-    for k, n in enumerate(RUN_LENGTHS):
+    for k, (n, size, code) in enumerate(runs):
         times, left = left // n, left % n
         many = int(times.sum())
-        out_size.append(np.full(many, 5))
-        out_code.append(np.full(many, 0b10000 + k))
-        out_place.append(np.repeat(np.arange(len(zeros)) * 16 + k, times))
-    many = int(left.sum())
-    out_size.append(np.ones(many, np.int64))
-    out_code.append(np.zeros(many, np.int64))
-    out_place.append(np.repeat(np.arange(len(zeros)) * 16 + 8, left))
+        out_size.append(np.full(many, size))
+        out_code.append(np.full(many, code))
+        out_place.append(np.repeat(np.arange(ends) * 16 + k, times))
     m = np.abs(v[at])
     out_size.append(sizes[m] + 1)
     out_code.append(codes[m] << 1 | (v[at] < 0))
-    out_place.append(np.arange(len(at)) * 16 + 9)
+    out_place.append(np.arange(len(at)) * 16 + 15)
     order = np.argsort(np.concatenate(out_place), kind="stable")
-    size = np.r_[np.concatenate(out_size)[order], 5]
-    code = np.r_[np.concatenate(out_code)[order], 0b10000 + FULL_CODES]
+    size = np.r_[np.concatenate(out_size)[order], end[0]]
+    code = np.r_[np.concatenate(out_code)[order], end[1]]
     owner = np.repeat(np.arange(len(size)), size)
     shift = size[owner] - 1 - (np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size))
     data = np.packbits((code[owner] >> shift & 1).astype(np.uint8)).tobytes()
     return data + bytes(-len(data) % 4)
 
 
-def decode_band(data: bytes, count: int) -> np.ndarray:
-    """The inverse of encode_band; sequential, as prefix codes are."""
-    bits = "".join(f"{b:08b}" for b in data)
-    out, n, i = np.zeros(count, np.int64), 0, 0
-    while True:
-        if bits[i] == "0":
+def decode_band(data: bytes, count: int, words: Words | None = None) -> np.ndarray:
+    """The inverse of encode_band, a table look-up a code; a code is never looked for bit by bit."""
+    table, longer, longest = _decoder(words)
+    padded = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint64)
+    wide = np.zeros(len(data) + 1, np.uint64)  # the 40 bits from each byte on
+    for k in range(5):
+        wide |= padded[k : k + len(wide)] << np.uint64(32 - 8 * k)
+    wide, places, values, n, p, last = wide.tolist(), [], [], 0, 0, 8 * len(data)
+    while p < last:
+        window = wide[p >> 3] >> (40 - FIRST - (p & 7)) & ((1 << FIRST) - 1)
+        entry = table[window]
+        if entry is None:
+            at, off = wide[p >> 3], p & 7
+            for size in range(FIRST + 1, longest + 1):
+                entry = longer.get((size, at >> (40 - size - off) & ((1 << size) - 1)))
+                if entry:
+                    break
+            else:
+                raise ValueError("no code here")
+        used, zeros, value = entry
+        p += used
+        if value > 0:
+            places.append(n)
+            values.append(-value if wide[p >> 3] >> (39 - (p & 7)) & 1 else value)
             n += 1
-            i += 1
-        elif bits[i + 1] == "0":
-            k = int(bits[i + 2 : i + 5], 2)
-            i += 5
-            if k == FULL_CODES:
-                return out
-            n += RUN_LENGTHS[k]
+            p += 1
+        elif value < 0:
+            break
         else:
-            stop = bits.index("0", i + 2)
-            size = stop - i - 1
-            m = 1 << (size - 1) | (int(bits[stop + 1 : stop + size], 2) if size > 1 else 0)
-            out[n] = -m if bits[stop + size] == "1" else m
-            n += 1
-            i = stop + size + 1
+            n += zeros
+    if value >= 0 or n > count:
+        raise ValueError("a band without its end, or longer than its size")
+    out = np.zeros(count, np.int64)
+    out[places] = values
+    return out
 
 
 def segment(tag: int, value: int) -> bytes:
     return struct.pack(">HH", tag & 0xFFFF, value & 0xFFFF)
 
 
+def chunk(tag: int, content: bytes) -> bytes:
+    """An optional segment with the size of what follows, and that; large chunks carry eight more bits of size in the tag."""
+    n = len(content) // 4
+    return segment(-(tag | (n >> 16 & 0xFF)) if tag & 0x2000 else -tag, n) + content
+
+
 def planes_of(samples: np.ndarray, cell: str = "rggb") -> list[np.ndarray]:
     """Bayer samples (12 bit) to the four planes."""
     encode, _ = arrays.log_tables()
@@ -128,58 +206,107 @@ def samples_of(planes: list[np.ndarray], cell: str = "rggb", bits: int = 12) ->
     return out
 
 
-def encode_image(samples: np.ndarray, cell: str = "rggb", quality: str = "fs1") -> bytes:
-    quant, compand = QUANTIZERS[quality], arrays.compand_table()
-    out = [struct.pack(">I", START)]
-    for name, value in {"channels": 4, "subbands": 10, "width": samples.shape[1], "height": samples.shape[0], "pattern": list(CELLS).index(cell)}.items():
-        out.append(segment(TAGS[name], value))
+def header_bytes(width: int, height: int, identifier: bytes = b"") -> bytes:
+    """Start marker, header and extension: sizes, a 2x2 pattern of single components, prescales, and an identifier chunk if given."""
+    values = {"channels": 4, "width": width, "height": height, "format": 4, "pattern_width": 2, "pattern_height": 2, "components": 1, "max_bits": 12, "prescale": prescale_word()}
+    out = struct.pack(">I", START) + b"".join(segment(TAGS[k], v) for k, v in values.items())
+    return out + (chunk(IDENTIFIER, identifier + bytes(-len(identifier) % 4)) if identifier else b"")
+
+
+def prescale_word(shifts: tuple[int, ...] = PRESCALE) -> int:
+    """Two bits a level, the first level in the highest."""
+    return sum(p << (14 - 2 * i) for i, p in enumerate(shifts))
+
+
+def coded_bands(plane: np.ndarray, quality: str, words: Words | None = None) -> list[tuple[int, int, bytes]]:
+    """(subband, quantizer, payload) of a plane's ten subbands."""
+    quant, compand, bands = QUANTIZERS[quality], arrays.compand_table(), {}
+    for level in range(3):
+        found = arrays.forward_2d(plane, PRESCALE[level])
+        bands |= {(level, b): x for b, x in enumerate(found)}
+        plane = found[0]
+    out = []
+    for s, place in enumerate(SUBBANDS):
+        v, q = bands[place], quant[s]
+        if s == 0:
+            data = v.astype(">u2").tobytes()
+            out.append((s, q, data + bytes(-len(data) % 4)))
+            continue
+        level = np.sign(v) * (((np.abs(v) + midpoint(q)) * (65536 // q)) >> 16)
+        out.append((s, q, encode_band(np.sign(level) * compand[np.minimum(1023, np.abs(level))], words)))
+    return out
+
+
+def encode_image(samples: np.ndarray, cell: str = "rggb", quality: str = "fs1", words: Words | None = None) -> bytes:
+    state, out = dict(DEFAULTS), [header_bytes(samples.shape[1], samples.shape[0])]
+    out.append(chunk(VENDOR, cell.encode()))  # the mosaic, for readers of a bare stream
+
+    def repeated(*names: str) -> bytes:
+        return b"".join(segment(TAGS[n], prescale_word() if n == "prescale" else state[n]) for n in names)
+
     for channel, plane in enumerate(planes_of(samples, cell)):
-        bands: dict[tuple[int, int], np.ndarray] = {}
-        for level in range(3):
-            found = arrays.forward_2d(plane, PRESCALE[level])
-            bands |= {(level, b): x for b, x in enumerate(found)}
-            plane = found[0]
-        out.append(segment(TAGS["channel"], channel))
-        for s, place in enumerate(SUBBANDS):
-            v, q = bands[place], quant[s]
-            if s == 0:
-                data = v.astype(">u2").tobytes()
-                data += bytes(-len(data) % 4)
-            else:
-                level = np.sign(v) * (((np.abs(v) + max(0, (q >> 1) - 1)) * (65536 // q)) >> 16)
-                data = encode_band(np.sign(level) * compand[np.minimum(1023, np.abs(level))])
-            n = len(data) // 4
-            out += [segment(TAGS["subband"], s), segment(TAGS["quantization"], q), segment(PAYLOAD | (n >> 16), n), data]
+        state |= {"channel": channel, "subband": 0}
+        head = repeated("channel", "subband", "lowpass_precision", "quantization", "prescale")
+        wavelets: list[bytes] = []
+        bands = coded_bands(plane, quality, words)
+        for level in (2, 1, 0):
+            mine = [x for x in bands if SUBBANDS[x[0]][0] == level]
+            state["subband"] = mine[0][0]
+            before, parts = repeated("channel", "subband", "lowpass_precision"), []
+            for s, q, data in mine:
+                state["subband"] = s
+                known = repeated("channel", "subband", "lowpass_precision", "quantization")
+                inner = b"" if q == state["quantization"] or s == 0 else segment(TAGS["quantization"], q)
+                state["quantization"] = q if s else state["quantization"]
+                parts.append(known + chunk(SECTIONS["subband"], inner + chunk(PAYLOAD, data)))
+                state["subband"] = s + 1
+            wavelets.append(before + chunk(SECTIONS["wavelet"], b"".join(parts)))
+        out.append(head + chunk(SECTIONS["channel"], b"".join(wavelets)))
     return b"".join(out)
 
 
 def segments(data: bytes) -> Iterator[tuple[int, int, int, bool, bytes]]:
-    """(position, tag, value, optional, payload) of each segment; a payload is sliced, never decoded, here."""
-    if struct.unpack_from(">I", data)[0] != START:
+    """(position, tag, value, optional, payload) of each segment, sections entered; a payload is sliced, never decoded, here."""
+    if len(data) < 4 or struct.unpack_from(">I", data)[0] != START:
         raise ValueError("not a coded image: no start marker")
     at = 4
-    while at < len(data):
+    while at + 4 <= len(data):
         tag, value = struct.unpack_from(">hH", data, at)
         optional, tag = tag < 0, abs(tag)
         at += 4
-        if tag & 0x7F00 == PAYLOAD:
-            n = ((tag & 0xFF) << 16 | value) * 4
+        if tag & 0x4000:
+            n = ((tag & 0xFF) << 16 | value) * 4 if tag & 0x2000 else value * 4
+            if at + n > len(data):
+                raise ValueError("a chunk goes beyond the stream")
             yield at // 4 - 1, tag, value, optional, data[at : at + n]
             at += n
         else:
             yield at // 4 - 1, tag, value, optional, b""
 
 
-def decode_planes(data: bytes, resolution: str = "full") -> tuple[list[np.ndarray], dict]:
-    """The planes at a resolution: lowpass planes (14 bit) or, for half and full, whole planes (12 bit)."""
-    limit, head, state, bands = RESOLUTIONS[resolution], {}, {}, {}
+#: Header segments that must stand before the first channel, once each.
+REQUIRED = ("channels", "width", "height", "prescale")
+
+
+def decode_planes(data: bytes, resolution: str = "full", words: Words | None = None) -> tuple[list[np.ndarray], dict]:
+    """The planes at a resolution: lowpass planes (14 bit) or, for half and full, whole planes (12 bit). Bands beyond the resolution are stepped over."""
+    limit, head, state, bands = RESOLUTIONS[resolution], {}, dict(DEFAULTS) | {"cell": "rggb"}, {}
     names = {v: k for k, v in TAGS.items()}
     for _, tag, value, _, payload in segments(data):
         if tag in names:
-            state[names[tag]] = value
-            if names[tag] == "height":
+            name = names[tag]
+            if name in ("channels", "width", "height") and name in state:
+                raise ValueError(f"{name} is given twice")
+            state[name] = value
+        elif tag == VENDOR:
+            state["cell"] = payload.rstrip(b"\0").decode()
+        elif tag & 0xFF00 == PAYLOAD:
+            if not head:
+                if missing := [n for n in REQUIRED if n not in state]:
+                    raise ValueError(f"the header lacks {missing}")
                 head = dict(state)
-        elif state["subband"] < limit:
+            if state["subband"] >= limit:
+                continue
             c, s, q = state["channel"], state["subband"], state["quantization"]
             h, w = head["height"] // 2, head["width"] // 2
             for _ in range(SUBBANDS[s][0] + 1):
@@ -187,9 +314,9 @@ def decode_planes(data: bytes, resolution: str = "full") -> tuple[list[np.ndarra
             if s == 0:
                 bands[c, 0] = np.frombuffer(payload, ">u2")[: h * w].astype(np.int64).reshape(h, w)
             else:
-                bands[c, s] = np.clip(arrays.uncompand(decode_band(payload, h * w)) * q, -32768, 32767).reshape(h, w)
+                bands[c, s] = np.clip(arrays.uncompand(decode_band(payload, h * w, words)) * q, -32768, 32767).reshape(h, w)
     planes = []
-    for c in range(4):
+    for c in range(head["channels"] if head else 0):
         low = bands[c, 0]
         for level in (2, 1, 0)[: {1: 0, 4: 1, 7: 2, 10: 3}[limit]]:
             h, w = head["height"] // 2, head["width"] // 2
@@ -200,14 +327,14 @@ def decode_planes(data: bytes, resolution: str = "full") -> tuple[list[np.ndarra
     return planes, state | head
 
 
-def decode_image(data: bytes, bits: int = 12) -> np.ndarray:
-    planes, head = decode_planes(data)
-    return samples_of(planes, list(CELLS)[head["pattern"]], bits)
+def decode_image(data: bytes, bits: int = 12, words: Words | None = None) -> np.ndarray:
+    planes, head = decode_planes(data, words=words)
+    return samples_of(planes, head["cell"], bits)
 
 
-def preview_image(data: bytes, resolution: str, bits: int = 8, gains: tuple = GAINS) -> np.ndarray:
+def preview_image(data: bytes, resolution: str, bits: int = 8, gains: tuple = GAINS, words: Words | None = None) -> np.ndarray:
     """(height, width, 3) at a reduced resolution, mirrored like the format's previews."""
-    planes, _ = decode_planes(data, resolution)
+    planes, _ = decode_planes(data, resolution, words)
     _, decode = arrays.log_tables()
     precision = 12 if resolution == "half" else 14
     g, rg, bg = planes[:3]
@@ -238,7 +365,7 @@ def _mapped(images: DataFrame, column: str, out: str, f) -> DataFrame:
     return images.mapInArrow(run, f"{fields}, `{out}` binary" if kept else f"`{out}` binary")
 
 
-def encode(images: DataFrame, quality: str = "fs1") -> DataFrame:
+def encode(images: DataFrame, quality: str = "fs1", words: Words | None = None) -> DataFrame:
     """images: width, height, pixel_format (rggb12, rggb14, gbrg12, rggb12p, gbrg12p) and raw bytes; raw becomes vc5."""
 
     def one(r):
@@ -247,21 +374,21 @@ def encode(images: DataFrame, quality: str = "fs1") -> DataFrame:
         kind = r["pixel_format"]
         x = arrays.unpack_bits(r["raw"]) if kind.endswith("p") else np.frombuffer(r["raw"], "<u2").astype(np.int64)
         x = x.reshape(r["height"], r["width"])
-        return encode_image(x >> 2 if "14" in kind else x, kind[:4], quality)
+        return encode_image(x >> 2 if "14" in kind else x, kind[:4], quality, words)
 
     return _mapped(images, "raw", "vc5", one)
 
 
-def decode(images: DataFrame, bits: int = 12) -> DataFrame:
+def decode(images: DataFrame, bits: int = 12, words: Words | None = None) -> DataFrame:
     """vc5 back to little-endian 16-bit raw samples."""
-    return _mapped(images, "vc5", "raw", lambda r: None if r["vc5"] is None else decode_image(r["vc5"], bits).astype("<u2").tobytes())
+    return _mapped(images, "vc5", "raw", lambda r: None if r["vc5"] is None else decode_image(r["vc5"], bits, words).astype("<u2").tobytes())
 
 
-def render(images: DataFrame, resolution: str, bits: int = 8) -> DataFrame:
+def render(images: DataFrame, resolution: str, bits: int = 8, gains: tuple = GAINS, words: Words | None = None) -> DataFrame:
     """vc5 to PPM bytes at half, quarter, eighth or sixteenth; only the subbands needed are decoded."""
     if resolution not in ("half", "quarter", "eighth", "sixteenth"):
         raise ValueError(f"no {resolution} preview: half, quarter, eighth or sixteenth")
-    return _mapped(images, "vc5", "ppm", lambda r: None if r["vc5"] is None else ppm(preview_image(r["vc5"], resolution, bits), bits))
+    return _mapped(images, "vc5", "ppm", lambda r: None if r["vc5"] is None else ppm(preview_image(r["vc5"], resolution, bits, gains, words), bits))
 
 
 def segment_rows(images: DataFrame, id_col: str = "image_id") -> DataFrame:
@@ -281,7 +408,7 @@ def segment_rows(images: DataFrame, id_col: str = "image_id") -> DataFrame:
 #: What turns one kind of image into another: the columns that a conversion reads and makes.
 CONVERSIONS = {
     ("RAW", "VC5"): encode, ("VC5", "RAW"): decode,
-    **{("VC5", f"PPM-{k}"): (lambda df, k=k: render(df, k)) for k in ("half", "quarter", "eighth", "sixteenth")},
+    **{("VC5", f"PPM-{k}"): (lambda df, k=k, **how: render(df, k, **how)) for k in ("half", "quarter", "eighth", "sixteenth")},
     ("VC5", "SEGMENTS"): segment_rows,
 }
 

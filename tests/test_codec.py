@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lumenframe.functions import arrays
-from lumenframe.operators import bayer, codec, wavelet
+from lumenframe.operators import bayer, codec, entropy, wavelet
 from lumenframe.sources.container import file_tags, tiff_bytes
 
 
@@ -22,6 +22,55 @@ def test_codebook_is_prefix_free_and_complete_enough():
     assert all(not b.startswith(a) for a, b in zip(words, words[1:]))
 
 
+def test_code_sizes_are_the_tables():
+    """Sizes of the words equal the long form's tables, and the code is complete."""
+    assert sum(2.0**-s for s, *_ in codec.codebook()) == 1
+    assert {(n, s) for s, _, n, v in codec.codebook() if v == 0 and n} == set(entropy.RUN_BITS.items())
+    sizes = {v: s for s, _, n, v in codec.codebook() if n == 1}
+    assert sizes[1] == 2 and sizes[3] == 5 and sizes[115] == 24 and sizes[116] == 26 and sizes[255] == 25
+
+
+def test_a_band_by_hand():
+    """Words of sizes 1 and 2 are 0 and 10: one value of 1 after three zeros, a -1, then the band's end."""
+    sizes, codes, runs, end = codec._encoder(None)
+    assert (sizes[1], codes[1]) == (2, 0b10) and runs[-1] == (1, 1, 0)
+    bits = "000" + "10" + "0" + "10" + "1" + f"{end[1]:026b}"
+    bits += "0" * (-len(bits) % 32)
+    assert codec.encode_band(np.array([0, 0, 0, 1, -1])) == int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def test_other_words():
+    """A code given as text is used for writing and reading; a broken one is refused."""
+    flipped = [(s, (1 << s) - 1 - b, n, v) for s, b, n, v in codec.codebook()]
+    words = codec.read_codebook(f"{s} {b:#x} {n} {v}" for s, b, n, v in flipped)
+    v = np.random.default_rng(3).integers(-3, 4, 500) * (np.arange(500) % 5 == 0)
+    made = codec.encode_band(v, words)
+    assert made != codec.encode_band(v) and (codec.decode_band(made, 500, words) == v).all()
+    x = image(96, 96)
+    assert (codec.decode_image(codec.encode_image(x, words=words), words=words) == codec.decode_image(codec.encode_image(x))).all()
+    for broken in (flipped[1:], [(1, 0, 1, 0), (1, 1, 0, 1)]):
+        with pytest.raises(ValueError):
+            codec.read_codebook(f"{s} {b} {n} {v}" for s, b, n, v in broken)
+
+
+def test_sections_hold_their_sizes():
+    """Every section's and chunk's size leads to the next segment, and bad streams are errors."""
+    import struct
+
+    data = codec.encode_image(image(96, 112))
+    at, channels = 4, 0
+    while at < len(data):
+        tag, value = struct.unpack_from(">hH", data, at)
+        tag, at = abs(tag), at + 4
+        if tag & 0xFF00 == codec.SECTIONS["channel"] or tag & 0x4000:
+            at += ((tag & 0xFF) << 16 | value) * 4 if tag & 0x2000 else value * 4
+            channels += tag & 0xFF00 == codec.SECTIONS["channel"]
+    assert at == len(data) and channels == 4
+    for bad in (b"", b"none" + data[4:], data[:200], codec.segment(20, 1).join([data[:4], data[4:]])):
+        with pytest.raises((ValueError, KeyError)):
+            codec.decode_image(bad)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.just(0), st.integers(-255, 255)), min_size=0, max_size=300), st.integers(0, 900))
 def test_bands_round_trip(values, zeros):
@@ -64,7 +113,8 @@ def test_conversions_over_a_table(spark):
     made = {r.image_id: r.ppm for r in codec.convert(coded, "VC5", "PPM-quarter").collect()}
     assert made[1].startswith(b"P6\n28 24\n255\n") and len(made[1]) == 13 + 28 * 24 * 3
     tags = codec.segment_rows(coded).where("image_id = 1").collect()
-    assert sum(r.payload_bytes > 0 for r in tags) == 40
+    assert sum(r.payload_bytes > 0 and r.tag & 0xFF00 == codec.PAYLOAD for r in tags) == 40
+    assert sum(r.tag & 0xFF00 == codec.SECTIONS["subband"] for r in tags) == 40 and sum(r.tag & 0xFF00 == codec.SECTIONS["channel"] for r in tags) == 4
     with pytest.raises(ValueError):
         codec.convert(images, "RAW", "JPG")
     with pytest.raises(ValueError):
