@@ -58,6 +58,8 @@ def apply_patch(tree, operations: list[dict]):
             holder = holder[int(step)] if isinstance(holder, list) else holder[step]
         if isinstance(holder, list):
             i = len(holder) if last == "-" else int(last)
+            if not (last == "-" or last.isdigit()) or i > len(holder) or (i == len(holder) and kind not in ("add", "move", "copy")):
+                raise IndexError(path)
             if kind in ("add", "move", "copy"):
                 holder.insert(i, value)
             elif kind == "remove":
@@ -117,9 +119,45 @@ def sorted_keys(text: pd.Series) -> pd.Series:
 
 
 def pointer(text: Column, path: str) -> Column:
-    """The value at a JSON pointer, as text."""
-    steps = "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in _steps(path))
-    return F.get_json_object(text, "$" + steps)
+    """The value at a JSON pointer, as text. A step of digits is an array's place or an object's key, whichever stands there."""
+    ways = [""]
+    for s in _steps(path):
+        ways = [w + x for w in ways for x in ([f"[{s}]", f"['{s}']"] if s.isdigit() else [f"['{s}']"])]
+    return F.coalesce(*[F.get_json_object(text, "$" + w) for w in ways])
+
+
+def differences(before, after, path: str = "") -> list[dict]:
+    """RFC 6902 operations that turn one tree into the other."""
+    if isinstance(before, dict) and isinstance(after, dict):
+        out = []
+        for k in sorted({*before, *after}):
+            at = f"{path}/{k.replace('~', '~0').replace('/', '~1')}"
+            if k not in after:
+                out.append({"op": "remove", "path": at})
+            elif k not in before:
+                out.append({"op": "add", "path": at, "value": after[k]})
+            else:
+                out += differences(before[k], after[k], at)
+        return out
+    if isinstance(before, list) and isinstance(after, list):
+        out = [op for i, (a, b) in enumerate(zip(before, after, strict=False)) for op in differences(a, b, f"{path}/{i}")]
+        out += [{"op": "remove", "path": f"{path}/{i}"} for i in range(len(before) - 1, len(after) - 1, -1)]
+        return out + [{"op": "add", "path": f"{path}/-", "value": x} for x in after[len(before) :]]
+    same = type(before) is type(after) and before == after
+    return [] if same else [{"op": "replace", "path": path, "value": after}]
+
+
+@F.pandas_udf(StringType())
+def made_patch(before: pd.Series, after: pd.Series) -> pd.Series:
+    """The patch that turns one JSON text into the other; null where either is null or not JSON."""
+
+    def one(a, b):
+        try:
+            return _dump(differences(json.loads(a), json.loads(b)))
+        except (TypeError, ValueError):
+            return None
+
+    return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)], dtype=object)
 
 
 def sort_map(m: Column) -> Column:

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # TIFF field types as (code, bytes a value, struct format).
-TYPES = {"byte": (1, 1, "B"), "ascii": (2, 1, "B"), "short": (3, 2, "H"), "long": (4, 4, "I"), "rational": (5, 8, "II"), "undefined": (7, 1, "B"), "slong": (9, 4, "i"), "srational": (10, 8, "ii"), "float": (11, 4, "f"), "double": (12, 8, "d")}
+TYPES = {"byte": (1, 1, "B"), "ascii": (2, 1, "B"), "short": (3, 2, "H"), "long": (4, 4, "I"), "rational": (5, 8, "II"), "sbyte": (6, 1, "b"), "undefined": (7, 1, "B"), "sshort": (8, 2, "h"), "ifd": (13, 4, "I"), "slong": (9, 4, "i"), "srational": (10, 8, "ii"), "float": (11, 4, "f"), "double": (12, 8, "d")}
 _BY_CODE = {code: (name, size, form) for name, (code, size, form) in TYPES.items()}
 #: Tags whose values are offsets of further directories.
 BELOW = (330, 34665, 34853)
-SCHEMA = "ifd int, parent int, tag int, type string, count bigint, ints array<bigint>, reals array<double>, rationals array<struct<num:bigint,den:bigint>>, text string"
+SCHEMA = "ifd int, parent int, tag int, type string, count bigint, ints array<bigint>, reals array<double>, rationals array<struct<num:bigint,den:bigint>>, text string, raw binary"
 
 
 def directories(data: bytes, longest: int = 1 << 16) -> Iterator[tuple]:
-    """Rows as in SCHEMA, depth-first; a value list beyond `longest` entries is left out (its count stays)."""
+    """Rows as in SCHEMA, depth-first; a value list beyond `longest` entries comes as its bytes alone (raw, else null), in the file's byte order."""
     if data[:4] not in (b"II*\0", b"MM\0*"):
         return
     e = "<" if data[:2] == b"II" else ">"
@@ -40,8 +40,10 @@ def directories(data: bytes, longest: int = 1 << 16) -> Iterator[tuple]:
             place = at + 2 + 12 * k + 8
             if size * count > 4:
                 place = struct.unpack_from(e + "I", data, place)[0]
-            ints = reals = rationals = text = None
-            if place + size * count <= len(data) and count <= longest:
+            ints = reals = rationals = text = raw = None
+            if place + size * count <= len(data) and count > longest:
+                raw = bytes(data[place : place + size * count])
+            elif place + size * count <= len(data):
                 values = struct.unpack_from(e + form * count, data, place)
                 if name == "ascii":
                     text = bytes(values).split(b"\0")[0].decode("utf-8", "replace")
@@ -53,13 +55,13 @@ def directories(data: bytes, longest: int = 1 << 16) -> Iterator[tuple]:
                     ints = list(values)
                     if tag in BELOW:
                         waiting.extend((v, mine) for v in values)
-            yield mine, parent, tag, name, count, ints, reals, rationals, text
+            yield mine, parent, tag, name, count, ints, reals, rationals, text, raw
         waiting.insert(0, (struct.unpack_from(e + "I", data, at + 2 + 12 * entries)[0], parent))
 
 
 def tags_of(files: DataFrame) -> DataFrame:
     """(path, ...SCHEMA) of a binaryFile scan; files that aren't such containers give no rows."""
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.struct([("num", pa.int64()), ("den", pa.int64())])), pa.string()]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.struct([("num", pa.int64()), ("den", pa.int64())])), pa.string(), pa.binary()]
     names = [x.split()[0] for x in SCHEMA.replace("num:bigint,den:bigint", "").split(", ")]
 
     def run(batches):

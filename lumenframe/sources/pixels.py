@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions import arrays
+
 
 def matrix_pixels(rows: DataFrame, row_col: str, values_col: str, image_id: int = 0) -> DataFrame:
     """A table of value arrays as a 12-bit image: row_col is the row, the array position the column; values -1..1."""
@@ -26,17 +32,33 @@ def packed_bytes(content, width: int):
     return F.slice(F.flatten(both), 1, width)
 
 
-def raw_frames(files: DataFrame, width: int, skip_rows: int = 0) -> DataFrame:
-    """Rows of a binaryFile scan (path, content) holding little-endian 16-bit samples, as (path, row, col, v).
+def raw_frames(files: DataFrame, width: int, skip_rows: int = 0, pixel_format: str = "rggb16") -> DataFrame:
+    """Rows of a binaryFile scan (path, content) holding little-endian 16-bit samples, or 12-bit packed ones (formats that end in p), as (path, row, col, v).
 
-    Only the bytes after skip_rows are read from the content; the file's rows are exploded, not collected.
+    A file's bytes are read in place, a band of lines at a time; a trailing part of a line is left out. Null content gives no rows.
     """
-    pitch = 2 * width
-    body = F.substring(F.col("content"), skip_rows * pitch + 1, F.octet_length("content"))
-    rows = files.select("path", body.alias("b")).select("path", "b", F.explode(F.sequence(F.lit(0), (F.octet_length("b") / pitch).cast("int") - 1)).alias("row"))
-    line = rows.select("path", "row", F.substring(F.col("b"), F.col("row") * pitch + 1, F.lit(pitch)).alias("line"))
-    sample = lambda i: F.conv(F.hex(F.concat(F.substring(F.col("line"), 2 * i + 2, F.lit(1)), F.substring(F.col("line"), 2 * i + 1, F.lit(1)))), 16, 10).cast("int")
-    return line.select("path", "row", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), sample)).alias("col", "v"))
+    packed = pixel_format.endswith("p")
+    pitch = width * 3 // 2 if packed else 2 * width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_buffer() if content.is_valid else b""
+                lines = len(data) // pitch
+                step = max(1, (1 << 20) // width)
+                for first in range(skip_rows, lines, step):
+                    n = min(step, lines - first)
+                    part = data[first * pitch : (first + n) * pitch]
+                    v = arrays.unpack_bits(part) if packed else np.frombuffer(part, "<u2")
+                    rows = np.repeat(np.arange(first - skip_rows, first - skip_rows + n, dtype=np.int32), width)
+                    yield pa.RecordBatch.from_arrays([pa.array([path]).take(pa.array(np.zeros(n * width, np.int32))), pa.array(rows), pa.array(np.tile(np.arange(width, dtype=np.int32), n)), pa.array(v.astype(np.int32))], ["path", "row", "col", "v"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, row int, col int, v int")
+
+
+def tiles(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """pixels with the tile that holds each sample and its place there: (tile_row, tile_col, row_in, col_in)."""
+    return pixels.withColumns({"tile_row": F.floor(F.col("row") / height), "tile_col": F.floor(F.col("col") / width), "row_in": F.col("row") % height, "col_in": F.col("col") % width})
 
 
 def file_kind(path, kinds: tuple[str, ...] = ("raw", "dng", "ppm", "jpg", "vc5")):

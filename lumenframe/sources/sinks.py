@@ -13,7 +13,13 @@ from lumenframe.functions import curves
 
 
 def write_files(rows: DataFrame, folder: str, name: str, content: str) -> None:
-    """One file a row in a folder that every executor shares (a mounted file system); rows with null content are left out."""
+    """One file a row, under its relative name, in a folder that every executor shares (a mounted file system).
+
+    Rows with null content are left out; names that lead out of the folder, and names given twice, are errors.
+    """
+    whole = rows.where(F.col(content).isNotNull())
+    if not whole.groupBy(F.col(name).cast("string").alias("n")).count().where("count > 1").isEmpty():
+        raise ValueError("several rows have one name")
 
     def put(part) -> None:
         import os
@@ -21,13 +27,16 @@ def write_files(rows: DataFrame, folder: str, name: str, content: str) -> None:
 
         os.makedirs(folder, exist_ok=True)
         for row in part:
-            target = os.path.join(folder, os.path.basename(row[0]))
+            target = os.path.normpath(os.path.join(folder, row[0]))
+            if not target.startswith(os.path.normpath(folder) + os.sep):
+                raise ValueError(f"{row[0]} leads out of the folder")
+            os.makedirs(os.path.dirname(target), exist_ok=True)
             made = f"{target}.{uuid.uuid4().hex}.part"
             with open(made, "wb") as f:
                 f.write(row[1])
             os.replace(made, target)
 
-    rows.select(F.col(name).cast("string"), content).where(F.col(content).isNotNull()).foreachPartition(put)
+    whole.select(F.col(name).cast("string"), content).foreachPartition(put)
 
 
 def parameters_json(rows: DataFrame, columns: list[str], out: str = "json") -> DataFrame:
