@@ -6,9 +6,14 @@ along, so a pass costs one shuffle by line and lines never exceed an image side.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions import arrays
 from lumenframe.functions.curves import clamp, clamp16s, pairs, quantize, sar, uncompand
 
 PRESCALE = (0, 2, 2)
@@ -73,16 +78,54 @@ def lowpass(cells: DataFrame, prescale: int, values: list[str]) -> DataFrame:
     return found.select("image_id", F.col("r0").alias("row"), F.col("c0").alias("col"), *[low(v) for v in values])
 
 
+def _whole_planes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Rows sorted by (image_id, channel, row, col) to image, channel and plane, one plane at a time."""
+    held: list[np.ndarray] = []
+
+    def plane() -> tuple[int, int, np.ndarray]:
+        rows = np.concatenate(held)
+        held.clear()
+        h, w = int(rows[-1, 2]) + 1, int(rows[:, 3].max()) + 1
+        if len(rows) != h * w:
+            raise ValueError(f"channel {rows[0, 1]} of image {rows[0, 0]} has {len(rows)} samples, not {h} x {w}")
+        return int(rows[0, 0]), int(rows[0, 1]), rows[:, 4].reshape(h, w)
+
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+        while len(rows):
+            if held and (held[-1][-1, :2] != rows[0, :2]).any():
+                yield plane()
+            own = int(((rows[:, :2] == rows[0, :2]).all(axis=1)).sum())  # sorted: a prefix
+            held.append(rows[:own])
+            rows = rows[own:]
+    if held:
+        yield plane()
+
+
+def _transformed(levels: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for image, channel, plane in _whole_planes(batches):
+            for level in range(levels):
+                bands = arrays.forward_2d(plane, PRESCALE[level])
+                plane = bands[0]
+                for band in range(0 if level == levels - 1 else 1, 4):
+                    v = bands[band]
+                    row, col = (x.ravel().astype(np.int32) for x in np.indices(v.shape))
+                    same = lambda x, n=v.size: pa.array(np.full(n, x, np.int32))
+                    yield pa.RecordBatch.from_arrays([same(image), same(channel), same(level), same(band), pa.array(row), pa.array(col), pa.array(v.ravel().astype(np.int32))], ["image_id", "channel", "level", "band", "row", "col", "v"])
+
+    return run
+
+
 def pyramid(planes: DataFrame, levels: int = 3) -> DataFrame:
-    """(image_id, channel, level, band, row, col, v): all bands of `levels` levels; the lowest level's LL only."""
-    out, current = None, planes
-    for level in range(levels):
-        bands = forward(current, PRESCALE[level])
-        kept = bands if level == levels - 1 else bands.where("band > 0")
-        kept = kept.select("image_id", "channel", F.lit(level).alias("level"), "band", "row", "col", "v")
-        out = kept if out is None else out.unionByName(kept)
-        current = bands.where("band = 0").drop("band")
-    return out
+    """(image_id, channel, level, band, row, col, v): all bands of `levels` levels; the lowest level's LL only.
+
+    One exchange by image and channel, then all levels of a plane in one Arrow function: as windows
+    (forward()), every level would cost two exchanges more and be computed again for each band above it.
+    A task holds one plane; images of whole rectangles of at least six samples a side at every level.
+    """
+    rows = planes.select("image_id", "channel", "row", "col", "v").repartition("image_id", "channel").sortWithinPartitions("image_id", "channel", "row", "col")
+    return rows.mapInArrow(_transformed(levels), "image_id int, channel int, level int, band int, row int, col int, v int")
 
 
 def midpoint(q: int, correction: int = 2) -> int:
