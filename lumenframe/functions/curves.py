@@ -36,6 +36,11 @@ def log_decode(v: Column) -> Column:
     return F.least(F.lit(65535), (65535.0 * (F.pow(F.lit(113.0), v / F.lit(4095.0)) - 1.0) / 112.0).cast("float").cast("int"))
 
 
+def unpacked12(b0: Column, b1: Column, b2: Column) -> tuple[Column, Column]:
+    """The two 12-bit samples of three bytes."""
+    return b0 + F.shiftleft(b1.bitwiseAND(F.lit(15)), 8), F.shiftleft(b2, 4) + F.shiftright(b1, 4)
+
+
 def uncompand(v: Column) -> Column:
     m = F.abs(v)
     return F.signum(v).cast("int") * (m + (m.cast("double") * m * m * 768.0 / 16581375.0).cast("int"))

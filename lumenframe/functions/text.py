@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -111,3 +111,32 @@ def separated(x: Column, quote: str) -> Column:
     found = F.regexp_extract_all(x, F.lit(rf'({quote}(?:[^{quote}]|{quote}{quote})*{quote}|[^,;\s{quote}][^,;]*)'), F.lit(1))
     bare = lambda t: F.when(F.startswith(t, F.lit(quote)), F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit(quote * 2), F.lit(quote))).otherwise(t)
     return F.transform(F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != ""), bare)
+
+
+def segment_word(tag: Column, value: Column) -> Column:
+    """A tag (negative: optional) and a value as one unsigned 32-bit word."""
+    return F.shiftleft(tag.cast("bigint").bitwiseAND(F.lit(0xFFFF).cast("bigint")), 16) + value
+
+
+def segment_parts(word: Column) -> dict[str, Column]:
+    """tag, value and whether the segment is optional."""
+    high = F.shiftright(word, 16)
+    signed = F.when(high >= 0x8000, high - 0x10000).otherwise(high)
+    return {"tag": F.abs(signed), "value": word.bitwiseAND(F.lit(0xFFFF).cast("bigint")), "optional": signed < 0}
+
+
+def chunk_word(segments: Column, tag: int) -> tuple[Column, Column]:
+    """Tag and value of a large chunk's segment: 24 bits of size, eight of them in the tag."""
+    low = lambda x, bits: x.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    return F.lit(tag) + low(F.shiftright(segments, 16), 8), low(segments, 16)
+
+
+def chunk_size(tag: Column, value: Column) -> Column:
+    return F.shiftleft(tag.bitwiseAND(F.lit(255).cast("bigint")), 16) + value
+
+
+def header_rules(rows: DataFrame, key: str, tag: str, required: tuple[str, ...]) -> DataFrame:
+    """(key, repeated, missing, complete): tags given more than once, required ones that lack."""
+    counts = rows.groupBy(key, tag).agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.sum(F.when(F.col(tag).isin(*required), 1).otherwise(0))
+    return counts.groupBy(key).agg(F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("repeated"), (F.lit(len(required)) - wanted).alias("missing"), (wanted == len(required)).alias("complete"))

@@ -11,9 +11,10 @@ from lumenframe.functions.curves import MIDPOINT, clamp12, log_decode, log_encod
 CELLS = {"rggb": {"r": (0, 0), "g1": (0, 1), "g2": (1, 0), "b": (1, 1)}, "gbrg": {"g1": (0, 0), "b": (0, 1), "r": (1, 0), "g2": (1, 1)}}
 
 
-def unpack(pixels: DataFrame, cell: str = "rggb", curve: bool = True) -> DataFrame:
-    """(image_id, channel, row, col, v): channels 0=GS 1=RG 2=BG 3=GD of half size. A trailing odd row or column is left out."""
-    value = log_encode(F.col("v")) if curve else F.col("v")
+def unpack(pixels: DataFrame, cell: str = "rggb", curve: bool = True, bits: int = 12) -> DataFrame:
+    """(image_id, channel, row, col, v): channels 0=GS 1=RG 2=BG 3=GD of half size. A trailing odd row or column is left out; samples of more than 12 bits lose the lowest."""
+    level = sar(F.col("v"), bits - 12)
+    value = log_encode(level) if curve else level
     at = lambda place: F.max(F.when((F.col("row") % 2 == place[0]) & (F.col("col") % 2 == place[1]), F.col("lv")))
     cells = (
         pixels.select("image_id", "row", "col", value.alias("lv"))

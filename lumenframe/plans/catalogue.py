@@ -63,6 +63,28 @@ for _cell in ("rggb", "gbrg"):
         return _planes(spark, d, cell)
 
 
+@query("bayer_unpack_14", O.plain(O.planes("gbrg"), "planes", PLANE))
+def _(spark, d):
+    return bayer.unpack(sensor(spark, d).withColumn("v", F.col("v") * 4 + F.col("col") % 4), "gbrg", bits=14)
+
+
+@query("bayer_unpack_12p", O.plain(O.planes(), "planes", PLANE))
+def _(spark, d):
+    px = sensor(spark, d)
+    pair = px.groupBy("image_id", "row", F.shiftright("col", 1).alias("k")).agg(F.max(F.when(F.col("col") % 2 == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("col") % 2 == 1, F.col("v"))).alias("b"))
+    b0, b1, b2 = F.col("a") % 256, F.shiftright("a", 8) + (F.col("b") % 16) * 16, F.shiftright("b", 4)
+    three = pair.select("image_id", "row", "k", b0.alias("b0"), b1.alias("b1"), b2.alias("b2"))
+    taps = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("v")) for i, x in enumerate(curves.unpacked12(F.col("b0"), F.col("b1"), F.col("b2")))])
+    flat = three.select("image_id", "row", "k", F.explode(taps).alias("t")).select("image_id", "row", (F.col("k") * 2 + F.col("t.i")).alias("col"), "t.v")
+    return bayer.unpack(flat)
+
+
+@query("curve_dump", f"WITH {O.LUT} SELECT format('{{:04d}}: {{:04d}}', enc.i, e) AS enc, format('{{:04d}}: {{:05d}}', dec.i, d) AS dec FROM enc JOIN dec ON enc.i = dec.i")
+def _(spark, d):
+    both = curves.curve_table(spark, curves.log_encode, "e").withColumn("d", curves.log_decode(F.col("i")))
+    return both.select(F.format_string("%04d: %04d", "i", "e").alias("enc"), F.format_string("%04d: %05d", "i", "d").alias("dec"))
+
+
 _PACKED = """cell4 AS (SELECT image_id, "row", col, max(CASE WHEN channel = 0 THEN v END) AS gs, max(CASE WHEN channel = 1 THEN v END) - 2048 AS rg,
   max(CASE WHEN channel = 2 THEN v END) - 2048 AS bg, max(CASE WHEN channel = 3 THEN v END) - 2048 AS gd FROM planes GROUP BY ALL),
 taps AS (SELECT image_id, 2 * "row" AS "row", 2 * col AS col, 2 * rg + gs AS x FROM cell4 UNION ALL SELECT image_id, 2 * "row", 2 * col + 1, gs + gd FROM cell4

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import parameters, scalars, text, trees
 from lumenframe.plans.registry import query, table
+from lumenframe.sources import sinks
+from lumenframe.sources.pixels import file_kind
 
 _MESSY = "'  ' || c_name || E'\\r\\n' || c_mktsegment || E'\\t\\x01' || E'\\n\\r' || 'end' || E'\\r'"
 
@@ -203,3 +205,79 @@ def _(spark, d):
 def _(spark, d):
     a, b = F.col("l_partkey"), F.col("l_suppkey")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.abs(a - b).alias("gap"), F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), text.swap32(a).alias("swapped"), parameters.rational(a, b).alias("ratio"))
+
+
+# --- segments and state --------------------------------------------------------------------------
+
+
+@query(
+    "segment_words",
+    """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (CASE WHEN t < 0 THEN t + 65536 ELSE t END) * 65536 + v AS word, abs(t) AS tag, v AS value, t < 0 AS optional
+    FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN -(l_partkey % 32768) ELSE l_partkey % 32768 END AS t, (l_suppkey * 7919) % 65536 AS v FROM lineitem)""",
+)
+def _(spark, d):
+    tag = F.when(F.col("l_linenumber") % 2 == 0, -(F.col("l_partkey") % 32768)).otherwise(F.col("l_partkey") % 32768)
+    words = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.segment_word(tag, (F.col("l_suppkey") * 7919) % 65536).alias("word"))
+    found = text.segment_parts(F.col("word"))
+    return words.select("l_orderkey", "l_linenumber", "word", *[c.alias(n) for n, c in found.items()])
+
+
+@query(
+    "chunk_words",
+    """SELECT o_orderkey, n AS segments, 24576 + (n >> 16 & 255) AS tag, n & 65535 AS value, (n >> 16 & 255) * 65536 + (n & 65535) AS size FROM (SELECT o_orderkey, (o_custkey * 104729 + o_orderkey) % 16777216 AS n FROM orders)""",
+)
+def _(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", ((F.col("o_custkey") * 104729 + F.col("o_orderkey")) % 16777216).alias("n"))
+    tag, value = text.chunk_word(F.col("n"), 0x6000)
+    made = rows.select("o_orderkey", F.col("n").alias("segments"), tag.alias("tag"), value.alias("value"))
+    return made.withColumn("size", text.chunk_size(F.col("tag"), F.col("value")))
+
+
+@query("prescale_words", "SELECT i::BIGINT AS i, (a * 16384 + b * 4096 + c * 1024)::BIGINT AS word, [a, b, c]::BIGINT[] AS shifts FROM (SELECT i, i % 4 AS a, i // 4 % 4 AS b, i // 16 AS c FROM range(64) t(i))")
+def _(spark, d):
+    i = F.col("id")
+    word = (i % 4) * 16384 + (F.floor(i / 4) % 4) * 4096 + F.floor(i / 16) * 1024
+    return spark.range(64).select(i.alias("i"), word.alias("word"), F.array(*[F.shiftright(word, s).bitwiseAND(F.lit(3).cast("bigint")) for s in (14, 12, 10)]).alias("shifts"))
+
+
+@query("enabled_parts", "SELECT s_suppkey, n::BIGINT AS part, (s_suppkey >> (n - 1)) & 1 = 1 AS enabled FROM supplier, range(1, 8) t(n)")
+def _(spark, d):
+    rows = table(spark, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("part"))
+    return rows.withColumn("enabled", F.expr("(shiftright(s_suppkey, part - 1) & 1) = 1"))
+
+
+_REQUIRED = ("click", "purchase", "view")
+
+
+@query(
+    "header_rules",
+    """SELECT user_id, coalesce(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END), 0)::BIGINT AS repeated, (3 - sum(CASE WHEN event_type IN ('click', 'purchase', 'view') THEN 1 ELSE 0 END))::BIGINT AS missing,
+      sum(CASE WHEN event_type IN ('click', 'purchase', 'view') THEN 1 ELSE 0 END) = 3 AS complete FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""",
+)
+def _(spark, d):
+    return text.header_rules(table(spark, d, "events"), "user_id", "event_type", _REQUIRED)
+
+
+@query(
+    "file_kinds",
+    """SELECT c_custkey, path, CASE c_custkey % 6 WHEN 0 THEN 'RAW' WHEN 1 THEN 'DNG' WHEN 2 THEN 'VC5' WHEN 3 THEN 'JPG' WHEN 4 THEN 'PPM' END AS kind
+    FROM (SELECT c_custkey, 'in.put/' || c_name || CASE c_custkey % 6 WHEN 0 THEN '.raw' WHEN 1 THEN '.Dng' WHEN 2 THEN '.VC5' WHEN 3 THEN '.jpg' WHEN 4 THEN '.ppm' ELSE '.txt' END AS path FROM customer)""",
+)
+def _(spark, d):
+    key = F.col("c_custkey") % 6
+    ends = F.when(key == 0, ".raw").when(key == 1, ".Dng").when(key == 2, ".VC5").when(key == 3, ".jpg").when(key == 4, ".ppm").otherwise(".txt")
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("in.put/"), F.col("c_name"), ends).alias("path"))
+    return rows.withColumn("kind", file_kind(F.col("path")))
+
+
+@query(
+    "parameter_dump",
+    """SELECT s_suppkey, '{"input_width":' || 4000 + s_suppkey || ',"input_height":3000,"fast_encoding":' || CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"exposure_time":[1,' || 60 + s_suppkey || '],"note":null}' AS dump,
+      (4000 + s_suppkey)::BIGINT AS width, (60 + s_suppkey)::BIGINT AS den, s_suppkey % 2 = 0 AS fast FROM supplier""",
+)
+def _(spark, d):
+    key = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select("s_suppkey", (key + 4000).alias("input_width"), F.lit(3000).alias("input_height"), (key % 2 == 0).alias("fast_encoding"), F.array(F.lit(1).cast("bigint"), key + 60).alias("exposure_time"), F.lit(None).cast("string").alias("note"))
+    dumped = sinks.parameters_json(rows, ["input_width", "input_height", "fast_encoding", "exposure_time", "note"], "dump")
+    back = F.from_json("dump", "input_width bigint, fast_encoding boolean, exposure_time array<bigint>")
+    return dumped.select("s_suppkey", "dump", back.alias("p")).select("s_suppkey", "dump", F.col("p.input_width").alias("width"), F.col("p.exposure_time")[1].alias("den"), F.col("p.fast_encoding").alias("fast"))
