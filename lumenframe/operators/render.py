@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.curves import horner
+from lumenframe.operators.stage import cubic_weight
 
 
 def pin(x: Column) -> Column:
@@ -74,6 +75,49 @@ def warp_nearest(pixels: DataFrame, center: tuple[float, float], radius: float,
     return at.join(source, ["image_id", "sr", "sc"]).select("image_id", "row", "col", "v")
 
 
+PARTS = 128  # places between two samples that a warp can take from
+
+
+def warp_places(pixels: DataFrame, center: tuple[float, float], radius: float, radial: list[float], tangential: tuple[float, float] = (0.0, 0.0), fisheye: bool = False) -> DataFrame:
+    """(image_id, row, col, sr, sc): for each sample of the result its source place in 1 / PARTS samples.
+
+    Rectilinear: the distance times k0 + k1 r2 + k2 r2^2 + k3 r2^3, and tangential terms. Fisheye: k0 t + k1 t^3 + k2 t^5 + k3 t^7 for the angle t = atan(r).
+    """
+    y, x = (F.col("row") - F.lit(center[0])) / F.lit(radius), (F.col("col") - F.lit(center[1])) / F.lit(radius)
+    r2 = x * x + y * y
+    if fisheye:
+        r = F.sqrt(r2)
+        t = F.atan(r)
+        ratio = F.when(r > 0, t * horner(t * t, radial) / r).otherwise(F.lit(radial[0]))
+    else:
+        ratio = horner(r2, radial)
+    k0, k1 = tangential
+    dy = ratio * y + F.lit(k0) * (r2 + 2.0 * y * y) + F.lit(2.0 * k1) * (x * y)
+    dx = ratio * x + F.lit(2.0 * k0) * (x * y) + F.lit(k1) * (r2 + 2.0 * x * x)
+    place = lambda c, d: F.floor((F.lit(c) + d * F.lit(radius)) * F.lit(float(PARTS)) + 0.5).cast("int")
+    return pixels.select("image_id", "row", "col", place(center[0], dy).alias("sr"), place(center[1], dx).alias("sc"))
+
+
+def gather_bicubic(pixels: DataFrame, places: DataFrame, height: int, width: int) -> DataFrame:
+    """The samples at places of warp_places(), bicubic over 4 x 4 neighbours with weights of 1/1024; beyond an edge its nearest sample counts.
+
+    Sixteen equalities a place; weights come from a table of PARTS rows by definition.
+    """
+    spark = pixels.sparkSession
+    part = F.col("id") / F.lit(float(PARTS))
+    weights = F.broadcast(spark.range(PARTS).select(F.col("id").cast("int").alias("part"), *[F.floor(cubic_weight(part - F.lit(float(k))) * 1024.0 + 0.5).cast("bigint").alias(f"w{k + 1}") for k in range(-1, 3)]))
+    taps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 3) for j in range(-1, 3)])
+    at = places.select("image_id", "row", "col", F.floor(F.col("sr") / PARTS).cast("int").alias("r"), F.floor(F.col("sc") / PARTS).cast("int").alias("c"), F.pmod("sr", F.lit(PARTS)).alias("pr"), F.pmod("sc", F.lit(PARTS)).alias("pc"))
+    named = lambda p: weights.select(F.col("part").alias(p), F.array("w0", "w1", "w2", "w3").alias(f"{p}w"))
+    spread = at.join(named("pr"), "pr").join(named("pc"), "pc").select("image_id", "row", "col", "r", "c", "prw", "pcw", F.explode(taps).alias("t"))
+    edge = lambda x, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), x))
+    wanted = spread.select("image_id", "row", "col", edge(F.col("r") + F.col("t.i"), height).alias("gr"), edge(F.col("c") + F.col("t.j"), width).alias("gc"), (F.element_at("prw", F.col("t.i") + 2) * F.element_at("pcw", F.col("t.j") + 2)).alias("w"))
+    source = pixels.select("image_id", F.col("row").alias("gr"), F.col("col").alias("gc"), "v")
+    sums = wanted.join(source, ["image_id", "gr", "gc"]).groupBy("image_id", "row", "col").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("w"))
+    value = F.floor((F.col("s") * 2 + F.col("w")) / (F.col("w") * 2))
+    return sums.select("image_id", "row", "col", F.least(F.lit(4095), F.greatest(F.lit(0), value)).alias("v"))
+
+
 def replicated_edges(pixels: DataFrame, height: int, width: int, border: int) -> DataFrame:
     """Images of one size: the image with `border` more samples on every side, each a copy of the nearest inside: only edge samples are multiplied."""
     def reach(x: str, n: int) -> Column:

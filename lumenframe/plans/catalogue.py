@@ -841,3 +841,44 @@ def _(spark, d):
 def _(spark, d):
     px = sensor(spark, d)
     return render.replicated_edges(px, _height(px), 64, 2)
+
+
+def _warp_sql(places: str) -> str:
+    cubic = lambda d: f"floor(CASE WHEN {d} < 1 THEN ((1.25::DOUBLE * {d} - 2.25::DOUBLE) * {d}) * {d} + 1.0::DOUBLE WHEN {d} < 2 THEN ((-0.75::DOUBLE * {d} + 3.75::DOUBLE) * {d} - 6.0::DOUBLE) * {d} + 3.0::DOUBLE ELSE 0.0 END * 1024.0::DOUBLE + 0.5::DOUBLE)::BIGINT"
+    return O.out(
+        f"""{O.PX}, m AS MATERIALIZED (SELECT * FROM px), h AS (SELECT max("row") + 1 AS h FROM m), t AS (SELECT image_id, "row", col, ("row" - 250.0::DOUBLE) / 256.0::DOUBLE AS y, (col - 32.0::DOUBLE) / 256.0::DOUBLE AS x FROM m),
+        q AS (SELECT *, x * x + y * y AS r2 FROM t), {places},
+        w AS (SELECT p, k, {cubic('abs(p / 128.0::DOUBLE - k)')} AS w FROM range(128) a(p), range(-1, 3) b(k)),
+        g AS (SELECT image_id, "row", col, a.w * b.w AS w, least(h - 1, greatest(0, r + a.k)) AS gr, least(63, greatest(0, c + b.k)) AS gc
+          FROM (SELECT *, floor(sr / 128.0) AS r, floor(sc / 128.0) AS c, sr - floor(sr / 128.0) * 128 AS pr, sc - floor(sc / 128.0) * 128 AS pc FROM s) JOIN w a ON a.p = pr JOIN w b ON b.p = pc, h),
+        d AS (SELECT g.image_id, g."row", g.col, sum(v * w)::BIGINT AS s, sum(w)::BIGINT AS w FROM g JOIN m ON m.image_id = g.image_id AND m."row" = gr AND m.col = gc GROUP BY ALL)""",
+        "d", image_id="image_id", row='"row"', col="col", v="least(4095, greatest(0, floor((s * 2 + w)::DOUBLE / (w * 2)::DOUBLE)))",
+    )
+
+
+_PLACE = "floor(({c}::DOUBLE + ({d}) * 256.0::DOUBLE) * 128.0::DOUBLE + 0.5::DOUBLE)::BIGINT"
+
+
+@query(
+    "warp_rectilinear",
+    _warp_sql(
+        f"""u AS (SELECT *, ((0.015625::DOUBLE * r2 + -0.03125::DOUBLE) * r2 + 0.0625::DOUBLE) * r2 + 0.9375::DOUBLE AS k FROM q),
+        s AS (SELECT image_id, "row", col, {_PLACE.format(c='250.0', d='k * y + 0.0078125::DOUBLE * (r2 + 2.0::DOUBLE * y * y) + -0.0078125::DOUBLE * (x * y)')} AS sr,
+          {_PLACE.format(c='32.0', d='k * x + 0.015625::DOUBLE * (x * y) + -0.00390625::DOUBLE * (r2 + 2.0::DOUBLE * x * x)')} AS sc FROM u)"""
+    ),
+)
+def _(spark, d):
+    px = sensor(spark, d)
+    return render.gather_bicubic(px, render.warp_places(px, (250.0, 32.0), 256.0, [0.9375, 0.0625, -0.03125, 0.015625], (0.0078125, -0.00390625)), _height(px), 64)
+
+
+@query(
+    "warp_fisheye",
+    _warp_sql(
+        f"""u0 AS (SELECT *, sqrt(r2) AS r, atan(sqrt(r2)) AS t FROM q), u AS (SELECT *, CASE WHEN r > 0 THEN t * (((0.0::DOUBLE * (t * t) + 0.03125::DOUBLE) * (t * t) + 0.125::DOUBLE) * (t * t) + 0.9375::DOUBLE) / r ELSE 0.9375::DOUBLE END AS k FROM u0),
+        s AS (SELECT image_id, "row", col, {_PLACE.format(c='250.0', d='k * y')} AS sr, {_PLACE.format(c='32.0', d='k * x')} AS sc FROM u)"""
+    ),
+)
+def _(spark, d):
+    px = sensor(spark, d)
+    return render.gather_bicubic(px, render.warp_places(px, (250.0, 32.0), 256.0, [0.9375, 0.125, 0.03125, 0.0], fisheye=True), _height(px), 64)
