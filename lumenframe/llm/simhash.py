@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -310,21 +311,25 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"), text_key(text_col).alias("key"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     sets = materialize(rows.mapInArrow(_sets(words), f"doc_id {kind}, key binary, node bigint, f0 bigint, size int, sketch binary, shingles array<bigint>"), "shingles")
-    pairs = materialize(_probed(sets, radius), "candidates")
-    links = materialize(_verified(pairs, sets, t), "links")
-    discard(pairs)
-    labels = connected(links)
+    found, labels = [], None
+
+    def joined(candidates: DataFrame) -> DataFrame:
+        pairs = materialize(candidates, "candidates")
+        found.append(materialize(_verified(pairs, sets, t), "links"))
+        discard(pairs)
+        return connected(reduce(DataFrame.unionByName, found))
+
+    labels = joined(_probed(sets, radius))
     common = spark.sparkContext.broadcast(_common(sets))
     prefixes = sets.select("node", "shingles").mapInArrow(_prefixes(common, t), "token bigint, node bigint")
     shared = materialize(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token bigint, node bigint"), "buckets")
     met = shared.select("node").distinct()
     nodes = materialize(sets.select("node", "size", "sketch").join(met, "node", "left_semi").dropDuplicates(["node"]), "sketches")
-    for every, mixed in ((False, False), (False, True), (True, False)):
-        pairs = materialize(_candidates(shared, nodes, labels, t, every, block, mixed), "candidates")
-        links = links.unionByName(materialize(_verified(pairs, sets, t), "links"))
-        discard(pairs)
-        labels = connected(links)
+    for every in (False, True):
+        labels = joined(_candidates(shared, nodes, labels, t, every, block, not every))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     seen = sets.select("doc_id", "key", "node").join(labels, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     whole = seen.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("first"))
-    return seen.join(whole, "root").select("doc_id", "key", "component_id", place.eqNullSafe(F.col("first")).alias("kept"))
+    done = materialize(seen.join(whole, "root").select("doc_id", "key", "component_id", place.eqNullSafe(F.col("first")).alias("kept")), "similar")
+    discard(sets, shared, nodes, *found)
+    return done

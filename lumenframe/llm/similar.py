@@ -8,11 +8,12 @@ sample changes the cost only.
 
 A candidate pair is dropped early by sizes, and by parity sketches (about a bit a shingle): they differ
 in at most as many bits as the sets differ in shingles. What is left is verified on the sets. At first
-neighbours in a bucket only are tried, in two orders, so that most of a large group of near copies falls
-together in proportion to its size; then every pair that is still in different components.
+neighbours in a bucket only are tried, so that most of a large group of near copies falls together in
+proportion to its size; then every pair that is still in different components. Shingles of one passage
+share their bucket: of buckets with the same nodes one is looked at.
 
 Scale: equal sets collapse to one node; prefix rows are shuffled once, without texts, and those that
-stand alone are dropped there. A bucket of more than `block` rows is cut into cells as in simhash.link().
+stand alone are dropped there. Sets are shuffled only for candidates, picked out by a bitmap of bounded size. A bucket of more than `block` rows is cut into cells as in simhash.link().
 
 Defined cases: null text counts as empty; fewer words than a shingle: the whole sequence is one; none:
 the empty set, equal to itself only. Null ids are returned with the smallest id of their component
@@ -221,7 +222,10 @@ def _pairs(similarity: Fraction, every: bool, small: int = 48):
 def _candidates(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, similarity: Fraction, every: bool, block: int, mixed: bool = False) -> DataFrame:
     """u, v: pairs of different components that meet in a bucket and that sizes and sketches allow."""
     rows = shared.withColumn("label", F.col("node")) if labels is None else shared.join(labels, "node", "left").select("token", "node", F.coalesce("root", "node").alias("label"))
-    buckets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    same = {f"x{k}": F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (0, 1)}
+    buckets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), *[x.alias(k) for k, x in same.items()]).where("low <> high")
+    # tokens of one passage mostly have the same nodes (128 bits of them agree): one such bucket is enough
+    buckets = buckets.groupBy("n", *same).agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     cut = rows.join(buckets, "token").join(nodes, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(others, lambda b: F.least(b, F.col("own")) * F.col("blocks") + F.greatest(b, F.col("own"))))
@@ -230,10 +234,27 @@ def _candidates(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, s
     return placed.mapInArrow(_pairs(similarity, every), "u bigint, v bigint").distinct()
 
 
+def _perhaps(sets: DataFrame, needed: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """(node, shingles) of the needed nodes and few others, without a shuffle: a bitmap of node hashes, of that many bits at most, goes to all tasks."""
+    place = F.pmod(F.xxhash64("node"), F.lit(bits))
+    words = needed.select(place.alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b"))
+    bitmap = np.zeros(bits // 64, np.int64)
+    found = words.toPandas()  # bits / 64 rows at most
+    bitmap[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)).select(["node", "shingles"])
+
+    return sets.select("node", "shingles", place.alias("at")).mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
     """The pairs whose sets have the similarity."""
     needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    own = sets.join(needed, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"])
+    own = _perhaps(sets.select("node", "shingles"), needed).join(needed, "node", "left_semi").dropDuplicates(["node"])
     both = pairs.join(own.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b")).cast("bigint")
     counted = both.select("u", "v", shared.alias("both"), (F.size("a") + F.size("b")).cast("bigint").alias("total"))
