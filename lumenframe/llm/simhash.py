@@ -311,24 +311,29 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"), text_key(text_col).alias("key"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     sets = materialize(rows.mapInArrow(_sets(words), f"doc_id {kind}, key binary, node bigint, f0 bigint, size int, sketch binary, shingles array<bigint>"), "shingles")
-    found, labels = [], None
+    found: list[DataFrame] = []
 
-    def joined(candidates: DataFrame) -> DataFrame:
+    def joined(candidates: DataFrame, labels: DataFrame | None) -> DataFrame | None:
         pairs = materialize(candidates, "candidates")
-        found.append(materialize(_verified(pairs, sets, t), "links"))
+        links = None if pairs.isEmpty() else materialize(_verified(pairs, sets, t), "links")
         discard(pairs)
+        if links is None or links.isEmpty():
+            return labels
+        found.append(links)
         return connected(reduce(DataFrame.unionByName, found))
 
-    labels = joined(_probed(sets, radius))
+    labels = joined(_probed(sets, radius), None)
     common = spark.sparkContext.broadcast(_common(sets))
     prefixes = sets.select("node", "shingles").mapInArrow(_prefixes(common, t), "token bigint, node bigint")
     shared = materialize(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token bigint, node bigint"), "buckets")
     met = shared.select("node").distinct()
     nodes = materialize(sets.select("node", "size", "sketch").join(met, "node", "left_semi").dropDuplicates(["node"]), "sketches")
     for every in (False, True):
-        labels = joined(_candidates(shared, nodes, labels, t, every, block, not every))
+        labels = joined(_candidates(shared, nodes, labels, t, every, block, not every), labels)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    seen = sets.select("doc_id", "key", "node").join(labels, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    seen = sets.select("doc_id", "key", F.col("node").alias("root"))
+    if labels is not None:
+        seen = sets.select("doc_id", "key", "node").join(labels, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     whole = seen.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("first"))
     done = materialize(seen.join(whole, "root").select("doc_id", "key", "component_id", place.eqNullSafe(F.col("first")).alias("kept")), "similar")
     discard(sets, shared, nodes, *found)
