@@ -328,8 +328,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     shared = materialize(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token bigint, node bigint"), "buckets")
     met = shared.select("node").distinct()
     nodes = materialize(sets.select("node", "size", "sketch").join(met, "node", "left_semi").dropDuplicates(["node"]), "sketches")
-    for every in (False, True):
-        labels = joined(_candidates(shared, nodes, labels, t, every, block, not every), labels)
+    for every, mixed in ((False, False), (False, True), (True, False)):
+        labels = joined(_candidates(shared, nodes, labels, t, every, block, mixed), labels)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     seen = sets.select("doc_id", "key", F.col("node").alias("root"))
     if labels is not None:

@@ -8,8 +8,8 @@ sample changes the cost only.
 
 A candidate pair is dropped early by sizes, and by parity sketches (about a bit a shingle): they differ
 in at most as many bits as the sets differ in shingles. What is left is verified on the sets. At first
-neighbours in a bucket only are tried, so that most of a large group of near copies falls together in
-proportion to its size; then every pair that is still in different components. Shingles of one passage
+neighbours in a bucket only are tried, in two orders, so that most of a large group of near copies falls
+together in proportion to its size; then every pair that is still in different components. Shingles of one passage
 share their bucket: of buckets with the same nodes one is looked at.
 
 Scale: equal sets collapse to one node; prefix rows are shuffled once, without texts, and those that
