@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import discard, materialize, ship_package, text_or_empty
 from lumenframe.llm.components import connected
-from lumenframe.llm.similar import _candidates, _common, _prefixes, _sets, _shared, _verified, shingles
+from lumenframe.llm.similar import _candidates, _common, _prefixes, _shared, _shingled, _verified, shingles
 
 SEED = 42
 
@@ -309,8 +309,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     spark, t = docs.sparkSession, Fraction(str(similarity))
     ship_package(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"), text_key(text_col).alias("key"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    sets = materialize(rows.mapInArrow(_sets(words), f"doc_id {kind}, key binary, node bigint, f0 bigint, size int, sketch binary, shingles array<bigint>"), "shingles")
+    common = spark.sparkContext.broadcast(_common(rows, words))
+    sets = materialize(_shingled(rows, words, common), "shingles")
+    common.destroy()
     found: list[DataFrame] = []
 
     def joined(candidates: DataFrame, labels: DataFrame | None) -> DataFrame | None:
@@ -323,9 +324,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         return connected(reduce(DataFrame.unionByName, found))
 
     labels = joined(_probed(sets, radius), None)
-    common = spark.sparkContext.broadcast(_common(sets))
-    prefixes = sets.select("node", "shingles").mapInArrow(_prefixes(common, t), "token bigint, node bigint")
-    shared = materialize(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token bigint, node bigint"), "buckets")
+    prefixes = _prefixes(sets, t).repartition("token").sortWithinPartitions("token", "node")
+    shared = materialize(prefixes.mapInArrow(_shared, "token bigint, node bigint, place int"), "buckets")
     met = shared.select("node").distinct()
     nodes = materialize(sets.select("node", "size", "sketch").join(met, "node", "left_semi").dropDuplicates(["node"]), "sketches")
     for every, mixed in ((False, False), (False, True), (True, False)):

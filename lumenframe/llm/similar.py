@@ -6,8 +6,10 @@ or more must share one of the first n - ceil(t n) + 1 shingles in any order that
 order is by how often a bounded sample of sets has the shingle, rare ones first, then by hash; the
 sample changes the cost only.
 
-A candidate pair is dropped early by sizes, and by parity sketches (about a bit a shingle): they differ
-in at most as many bits as the sets differ in shingles. What is left is verified on the sets. At first
+A candidate pair is dropped early by sizes, by places, and by parity sketches (about a bit a shingle): they
+differ in at most as many bits as the sets differ in shingles. Places: two sets share nothing before the
+first shingle in the order that they share, so there a pair whose rests are too short is none, and at later
+shingles it need not be found again. What is left is verified on the sets. At first
 neighbours in a bucket only are tried, in two orders, so that most of a large group of near copies falls
 together in proportion to its size; then every pair that is still in different components. Shingles of one passage
 share their bucket: of buckets with the same nodes one is looked at.
@@ -58,75 +60,70 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
 
 
-def _sets(words: int):
-    """(doc_id, bytes, key) to (doc_id, key, node, f0, size, sketch, shingles); node: a hash of the set; f0: its SimHash."""
+def _sets(words: int, common=None):
+    """(doc_id, bytes, key) to (doc_id, key, node, f0, size, first, sketch, shingles); node: a hash of the set; f0: its SimHash; first: not met before in the batch; shingles: in the common order, so that each prefix is a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
+        listed, times = ((), ()) if common is None else common.value
         for batch in batches:
+            met: set[int] = set()
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets, sketches, nodes, prints = [], [], [], []
+                sets, sketches, nodes, prints, first = [], [], [], [], []
                 for t in part.column(1):
                     h = np.unique(np.array([digest(p) for p in shingles(t.as_py(), words)], np.uint64).view(np.int64))
                     sets.append(h)
                     nodes.append(digest(h.tobytes()))
                     sketches.append(sketch(h))
                     prints.append(majority(h))
+                    first.append(nodes[-1] not in met)
+                    met.add(nodes[-1])
                 sizes = np.array([len(h) for h in sets], np.int32)
-                offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+                offsets, flat = np.r_[0, np.cumsum(sizes)].astype(np.int32), np.concatenate(sets)
+                if len(listed):
+                    i = np.minimum(np.searchsorted(listed, flat), len(listed) - 1)
+                    flat = flat[np.lexsort((flat, np.where(listed[i] == flat, times[i], 0), np.repeat(np.arange(len(sizes)), sizes)))]
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(prints, np.int64)), pa.array(sizes), pa.array(sketches, pa.binary()), lists],
-                    ["doc_id", "key", "node", "f0", "size", "sketch", "shingles"],
+                    [part.column(0), part.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(prints, np.int64)), pa.array(sizes), pa.array(first), pa.array(sketches, pa.binary()), lists],
+                    ["doc_id", "key", "node", "f0", "size", "first", "sketch", "shingles"],
                 )
 
     return run
 
 
-def _common(sets: DataFrame, sample: int = 8000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several sets of a bounded sample have, sorted, and how many have them."""
-    m = max(1, sets.count() // sample)
-    counts = sets.where(F.pmod(F.xxhash64("node"), F.lit(m)) == 0).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = sorted((r["s"], r["n"]) for r in counts.orderBy(F.desc("n"), "s").limit(most).collect())
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+def _shingled(rows: DataFrame, words: int, common=None) -> DataFrame:
+    """The set of every row (doc_id, t, key)."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_sets(words, common), f"doc_id {kind}, key binary, node bigint, f0 bigint, size int, first boolean, sketch binary, shingles array<bigint>")
 
 
-def _prefixes(common, similarity: Fraction):
-    """(node, shingles) to (token, node): each set's prefix."""
+def _common(rows: DataFrame, words: int, sample: int = 8000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample have, sorted, and how many have them."""
+    m = max(1, rows.count() // sample)
+    drawn = _shingled(rows.where(F.pmod(F.xxhash64("t"), F.lit(m)) == 0), words)
+    counts = drawn.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = sorted((r["s"], r["n"]) for r in counts.orderBy(F.desc("n"), "s").limit(most).collect())
+    return np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, times = common.value
-        for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            first = np.sort(np.unique(nodes, return_index=True)[1])
-            for at in range(0, len(first), 500):
-                part = batch.take(pa.array(first[at : at + 500]))
-                sizes = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                rank = np.zeros(len(flat), np.int64)
-                if len(listed):
-                    i = np.minimum(np.searchsorted(listed, flat), len(listed) - 1)
-                    rank = np.where(listed[i] == flat, times[i], 0)
-                order = np.lexsort((flat, rank, owner))
-                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                length = sizes + 1 + (-sizes * similarity.numerator) // similarity.denominator  # n - ceil(t n) + 1
-                kept = order[place < np.repeat(length, sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), pa.array(part.column(0).to_numpy(zero_copy_only=False)[owner[kept]])], ["token", "node"])
 
-    return run
+def _prefixes(sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """token, node, place: each set's prefix of n - ceil(t n) + 1 shingles and their places in the set's order, from 0."""
+    num, den = similarity.numerator, similarity.denominator
+    length = F.expr(f"cast(size + 1 - (cast(size as bigint) * {num} + {den - 1}) div {den} as int)")
+    return sets.where("first and size > 0").select(F.posexplode(F.slice("shingles", 1, length)).alias("place", "token"), "node").select("token", "node", "place")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, node): once each, without tokens of one node."""
+    """Rows (token, node, place) sorted by token and node: once each, without tokens of one node."""
     last, met = None, False  # the row before, and whether its token has another node
 
     def made(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], ["token", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(rows[:, 2].astype(np.int32))], ["token", "node", "place"])
 
     for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
         if last is not None:
             rows = np.concatenate([last, rows])
         if not len(rows):
@@ -142,7 +139,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(similarity: Fraction, every: bool, small: int = 48):
-    """Rows (token, cell, size, node, label, sketch) in order to pairs u < v of unlike labels that may be similar; not every: neighbours and the first."""
+    """Rows (token, cell, size, place, node, label, sketch) in order to pairs u < v of unlike labels that may be similar; not every: neighbours and the first."""
     num, den = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +147,9 @@ def _pairs(similarity: Fraction, every: bool, small: int = 48):
 
         def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(parts).combine_chunks()
-            token, cell, size, node, label = (whole.column(i).to_numpy().astype(np.int64) for i in range(5))
-            texts = whole.column(5).to_pylist()
+            token, cell, size, place_of, node, label = (whole.column(i).to_numpy().astype(np.int64) for i in range(6))
+            left = size - place_of  # the most that a set shares if this is the first shingle it shares
+            texts = whole.column(6).to_pylist()
             width = np.fromiter(map(len, texts), np.int64, len(texts))
             place, of_width = np.zeros(len(texts), np.int64), {}
             for w in np.unique(width).tolist():
@@ -171,6 +169,7 @@ def _pairs(similarity: Fraction, every: bool, small: int = 48):
 
             def likely(i, j):
                 near = (label[i] != label[j]) & (np.minimum(size[i], size[j]) * den >= np.maximum(size[i], size[j]) * num)
+                near &= np.minimum(left[i], left[j]) * (num + den) >= (size[i] + size[j]) * num
                 i, j = i[near], j[near]
                 near, least = np.zeros(len(i), bool), np.minimum(width[i], width[j])
                 for w in np.unique(least).tolist():
@@ -221,34 +220,25 @@ def _pairs(similarity: Fraction, every: bool, small: int = 48):
 
 def _candidates(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, similarity: Fraction, every: bool, block: int, mixed: bool = False) -> DataFrame:
     """u, v: pairs of different components that meet in a bucket and that sizes and sketches allow."""
-    rows = shared.withColumn("label", F.col("node")) if labels is None else shared.join(labels, "node", "left").select("token", "node", F.coalesce("root", "node").alias("label"))
+    rows = shared.withColumn("label", F.col("node")) if labels is None else shared.join(labels, "node", "left").select("token", "node", "place", F.coalesce("root", "node").alias("label"))
     same = {f"x{k}": F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (0, 1)}
-    buckets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), *[x.alias(k) for k, x in same.items()]).where("low <> high")
-    # tokens of one passage mostly have the same nodes (128 bits of them agree): one such bucket is enough
-    buckets = buckets.groupBy("n", *same).agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    buckets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("place", "node").alias("at"), *[x.alias(k) for k, x in same.items()]).where("low <> high")
+    # tokens of one passage mostly have the same nodes (128 bits of them agree): the first such bucket in the common order is enough
+    buckets = buckets.groupBy("n", *same).agg(F.min_by("token", "at").alias("token")).select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     cut = rows.join(buckets, "token").join(nodes, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(others, lambda b: F.least(b, F.col("own")) * F.col("blocks") + F.greatest(b, F.col("own"))))
-    dealt = cut.select("token", F.explode(cells).alias("cell"), "size", "node", "label", "sketch")
+    dealt = cut.select("token", F.explode(cells).alias("cell"), "size", "place", "node", "label", "sketch")
     placed = dealt.repartition("token", "cell").sortWithinPartitions("token", "cell", F.xxhash64("node") if mixed else F.col("size"), "node")
     return placed.mapInArrow(_pairs(similarity, every), "u bigint, v bigint").distinct()
 
 
 def _perhaps(sets: DataFrame, needed: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """(node, shingles) of the needed nodes and few others, without a shuffle: a bitmap of node hashes, of that many bits at most, goes to all tasks."""
+    """(node, shingles) of the needed nodes and few others, without a shuffle or Python: a bitmap of node hashes, bits / 64 rows at most, goes to all tasks."""
     place = F.pmod(F.xxhash64("node"), F.lit(bits))
-    words = needed.select(place.alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b"))
-    bitmap = np.zeros(bits // 64, np.int64)
-    found = words.toPandas()  # bits / 64 rows at most
-    bitmap[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
-    shared = sets.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)).select(["node", "shingles"])
-
-    return sets.select("node", "shingles", place.alias("at")).mapInArrow(run, "node bigint, shingles array<bigint>")
+    words = needed.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b"))
+    marked = sets.select("node", "shingles", place.alias("p")).withColumn("w", F.expr("p div 64")).join(F.broadcast(words), "w")
+    return marked.where("shiftright(b, cast(p % 64 as int)) & 1 = 1").select("node", "shingles")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:

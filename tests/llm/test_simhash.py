@@ -127,3 +127,34 @@ def test_similar_documents_are_those_of_brute_force(make):
     assert len(pairs) > 2000
     for block in (4096, 30):
         assert {r.doc_id: r.component_id for r in simhash.similar_documents(make(rows), block=block).collect()} == expected
+
+
+def written(monkeypatch):
+    """What similar_documents() writes: (name, plan, rows)."""
+    seen, write = [], simhash.materialize
+
+    def spy(df, name):
+        made = write(df, name)
+        seen.append((name, df._jdf.queryExecution().toString(), made.count()))
+        return made
+
+    monkeypatch.setattr(simhash, "materialize", spy)
+    return seen
+
+
+def test_pairs_that_their_places_rule_out_are_no_candidates(make, monkeypatch):
+    """Twenty own shingles of 146 stand first in each text: no pair of the group reaches 0.8 (126 of 166), whatever its sketches say."""
+    words = [f"w{i}" for i in range(150)]
+    rows = [(k, " ".join(f"own{k}_{i}" if i in (20, 50, 80, 110) else w for i, w in enumerate(words))) for k in range(60)]
+    seen = written(monkeypatch)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(make(rows)).collect()} == {k: k for k in range(60)}
+    assert [n for name, _, n in seen if name == "candidates"][1:] == [0, 0, 0]
+
+
+def test_whole_sets_are_not_sent_to_python(make, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(120))
+    seen = written(monkeypatch)
+    found = simhash.similar_documents(make([(1, base), (2, base + " tail"), (3, "another text")])).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 3}
+    assert {"shingles", "candidates", "links", "buckets"} <= {name for name, _, _ in seen}
+    assert not [name for name, plan, _ in seen if re.search(r"MapInArrow \w+\([^)]*shingles", plan)]
