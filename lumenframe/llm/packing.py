@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import ship_package
+from lumenframe.llm.common import released, ship_package
 from lumenframe.llm.tokens import document_ids
 
 CAPACITY = 1024
@@ -125,4 +125,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = 256, block: int
             yield taken()
 
     kind_name = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind_name}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return rows.mapInArrow(released(run), f"doc_id {kind_name}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")

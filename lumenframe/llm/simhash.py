@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import discard, materialize, ship_package, text_or_empty
+from lumenframe.llm.common import discard, materialize, released, ship_package, text_or_empty
 from lumenframe.llm.components import connected
 from lumenframe.llm.similar import _candidates, _common, _prefixes, _shared, _shingled, _verified, shingles
 
@@ -325,7 +325,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     labels = joined(_probed(sets, radius), None)
     prefixes = _prefixes(sets, t).repartition("token").sortWithinPartitions("token", "node")
-    shared = materialize(prefixes.mapInArrow(_shared, "token bigint, node bigint, place int"), "buckets")
+    shared = materialize(prefixes.mapInArrow(released(_shared), "token bigint, node bigint, place int"), "buckets")
     met = shared.select("node").distinct()
     nodes = materialize(sets.select("node", "size", "sketch").join(met, "node", "left_semi").dropDuplicates(["node"]), "sketches")
     for every, mixed in ((False, False), (False, True), (True, False)):

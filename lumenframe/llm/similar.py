@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import released
+
 
 def sketch(h: np.ndarray) -> bytes:
     """Bit i: whether an odd number of shingles fall on it. 256 to 8192 bits; a half's width is the exclusive or of both halves."""
@@ -96,7 +98,7 @@ def _sets(words: int, common=None):
 def _shingled(rows: DataFrame, words: int, common=None) -> DataFrame:
     """The set of every row (doc_id, t, key)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_sets(words, common), f"doc_id {kind}, key binary, node bigint, f0 bigint, size int, first boolean, sketch binary, shingles array<bigint>")
+    return rows.mapInArrow(released(_sets(words, common)), f"doc_id {kind}, key binary, node bigint, f0 bigint, size int, first boolean, sketch binary, shingles array<bigint>")
 
 
 def _common(rows: DataFrame, words: int, sample: int = 8000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +232,7 @@ def _candidates(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, s
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(others, lambda b: F.least(b, F.col("own")) * F.col("blocks") + F.greatest(b, F.col("own"))))
     dealt = cut.select("token", F.explode(cells).alias("cell"), "size", "place", "node", "label", "sketch")
     placed = dealt.repartition("token", "cell").sortWithinPartitions("token", "cell", F.xxhash64("node") if mixed else F.col("size"), "node")
-    return placed.mapInArrow(_pairs(similarity, every), "u bigint, v bigint").distinct()
+    return placed.mapInArrow(released(_pairs(similarity, every)), "u bigint, v bigint").distinct()
 
 
 def _perhaps(sets: DataFrame, needed: DataFrame, bits: int = 1 << 24) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lumenframe.llm.common import materialize, ship_package
+from lumenframe.llm.common import materialize, released, ship_package
 
 # Insults and threats, by family.
 LEXICONS = {
@@ -313,7 +313,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out: str = "_
             values = [scorer(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), pa.array(values, pa.float64())], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

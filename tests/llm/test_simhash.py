@@ -158,3 +158,27 @@ def test_whole_sets_are_not_sent_to_python(make, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 3}
     assert {"shingles", "candidates", "links", "buckets"} <= {name for name, _, _ in seen}
     assert not [name for name, plan, _ in seen if re.search(r"MapInArrow \w+\([^)]*shingles", plan)]
+
+
+def test_a_worker_keeps_no_memory_of_a_pass():
+    """Arrow's pool keeps what a pass over whole texts took until it is told to give it back."""
+    import pyarrow as pa
+
+    from lumenframe.llm.common import released
+
+    given = []
+
+    def run(batches):
+        for batch in batches:
+            yield batch
+
+    class Pool:
+        def release_unused(self):
+            given.append(True)
+
+    batches, pool = [pa.RecordBatch.from_pydict({"a": [1, 2]})] * 2, pa.default_memory_pool
+    try:
+        pa.default_memory_pool = Pool
+        assert list(released(run)(iter(batches))) == batches and given == [True]
+    finally:
+        pa.default_memory_pool = pool
