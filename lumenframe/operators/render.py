@@ -67,19 +67,19 @@ def warp_nearest(pixels: DataFrame, center: tuple[float, float], radius: float,
     target = pixels.select("image_id", "row", "col")
     dr, dc = (F.col("row") - F.lit(center[0])) / F.lit(radius), (F.col("col") - F.lit(center[1])) / F.lit(radius)
     ratio = horner(dr * dr + dc * dc, k)
-    at = target.select(
-        "image_id", "row", "col",
-        F.floor(F.lit(center[0]) + dr * ratio * radius + 0.5).cast("int").alias("sr"), F.floor(F.lit(center[1]) + dc * ratio * radius + 0.5).cast("int").alias("sc"),
-    )
+    exact = target.select("image_id", "row", "col", (F.lit(center[0]) + dr * ratio * radius + 0.5).alias("sr"), (F.lit(center[1]) + dc * ratio * radius + 0.5).alias("sc"))
+    inside = lambda x: (F.col(x) >= 0.0) & (F.col(x) < 2.0**31)  # noqa: E731 (far places have no INT)
+    at = exact.where(inside("sr") & inside("sc")).select("image_id", "row", "col", *[F.when(inside(x), F.floor(x)).cast("int").alias(x) for x in ("sr", "sc")])
     source = pixels.select("image_id", F.col("row").alias("sr"), F.col("col").alias("sc"), "v")
     return at.join(source, ["image_id", "sr", "sc"]).select("image_id", "row", "col", "v")
 
 
 PARTS = 128  # places between two samples that a warp can take from
+FAR = 2.0**40  # in 1 / PARTS samples, beyond the edges of any image: rows are INT
 
 
 def warp_places(pixels: DataFrame, center: tuple[float, float], radius: float, radial: list[float], tangential: tuple[float, float] = (0.0, 0.0), fisheye: bool = False) -> DataFrame:
-    """(image_id, row, col, sr, sc): for each sample of the result its source place in 1 / PARTS samples.
+    """(image_id, row, col, sr, sc): for each sample of the result its source place in 1 / PARTS samples, BIGINT, pinned to -FAR..FAR.
 
     Rectilinear: the distance times k0 + k1 r2 + k2 r2^2 + k3 r2^3, and tangential terms. Fisheye: k0 t + k1 t^3 + k2 t^5 + k3 t^7 for the angle t = atan(r).
     """
@@ -94,10 +94,15 @@ def warp_places(pixels: DataFrame, center: tuple[float, float], radius: float, r
     k0, k1 = tangential
     dy = ratio * y + F.lit(k0) * (r2 + 2.0 * y * y) + F.lit(2.0 * k1) * (x * y)
     dx = ratio * x + F.lit(2.0 * k0) * (x * y) + F.lit(k1) * (r2 + 2.0 * x * x)
-    place = lambda c, d: F.floor((F.lit(c) + d * F.lit(radius)) * F.lit(float(PARTS)) + 0.5).cast("int")
+    place = lambda c, d: F.floor(F.least(F.lit(FAR), F.greatest(F.lit(-FAR), (F.lit(c) + d * F.lit(radius)) * F.lit(float(PARTS)) + 0.5)))
     return pixels.select("image_id", "row", "col", place(center[0], dy).alias("sr"), place(center[1], dx).alias("sc"))
 
 
+def _near(place: str, n: int) -> Column:
+    """The sample before a place along a side of n; beyond the edges -2 or n, where all four taps are the edge's sample already."""
+    return F.least(F.lit(n), F.greatest(F.lit(-2), F.floor(F.col(place) / PARTS))).cast("int")
+
+
 def gather_bicubic(pixels: DataFrame, places: DataFrame, height: int, width: int) -> DataFrame:
     """The samples at places of warp_places(), bicubic over 4 x 4 neighbours with weights of 1/1024; beyond an edge its nearest sample counts.
 
@@ -107,7 +112,7 @@ def gather_bicubic(pixels: DataFrame, places: DataFrame, height: int, width: int
     part = F.col("id") / F.lit(float(PARTS))
     weights = F.broadcast(spark.range(PARTS).select(F.col("id").cast("int").alias("part"), *[F.floor(cubic_weight(part - F.lit(float(k))) * 1024.0 + 0.5).cast("bigint").alias(f"w{k + 1}") for k in range(-1, 3)]))
     taps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 3) for j in range(-1, 3)])
-    at = places.select("image_id", "row", "col", F.floor(F.col("sr") / PARTS).cast("int").alias("r"), F.floor(F.col("sc") / PARTS).cast("int").alias("c"), F.pmod("sr", F.lit(PARTS)).alias("pr"), F.pmod("sc", F.lit(PARTS)).alias("pc"))
+    at = places.select("image_id", "row", "col", _near("sr", height).alias("r"), _near("sc", width).alias("c"), F.pmod("sr", F.lit(PARTS)).cast("int").alias("pr"), F.pmod("sc", F.lit(PARTS)).cast("int").alias("pc"))
     named = lambda p: weights.select(F.col("part").alias(p), F.array("w0", "w1", "w2", "w3").alias(f"{p}w"))
     spread = at.join(named("pr"), "pr").join(named("pc"), "pc").select("image_id", "row", "col", "r", "c", "prw", "pcw", F.explode(taps).alias("t"))
     edge = lambda x, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), x))
