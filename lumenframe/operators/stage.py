@@ -139,12 +139,13 @@ def rectangle_sums(pixels: DataFrame, rects: DataFrame, width: int) -> DataFrame
     """(rect_id, samples, total) of rectangles (rect_id, t, l, b, r, all inclusive) over images of that width, without a range join.
 
     Running sums along the rows make a rectangle's row the difference of two samples: equalities on (row, col).
+    Both sides are dealt out: the lines of the rectangles are many times what Spark takes them for, so neither may be broadcast.
     """
     so_far = Window.partitionBy("image_id", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
     sums = pixels.select("image_id", "row", "col", F.sum("v").over(so_far).alias("s"), F.count("v").over(so_far).alias("n"))
     ends = F.array(F.struct(F.least(F.col("r"), F.lit(width - 1)).alias("col"), F.lit(1).alias("sign")), F.struct((F.col("l") - 1).alias("col"), F.lit(-1).alias("sign")))
     lines = rects.select("rect_id", F.explode(F.sequence("t", "b")).alias("row"), ends.alias("e")).select("rect_id", "row", F.explode("e").alias("e")).select("rect_id", "row", "e.col", "e.sign")
-    met = sums.join(lines, ["row", "col"]).groupBy("rect_id").agg(F.sum(F.col("n") * F.col("sign")).alias("samples"), F.sum(F.col("s") * F.col("sign")).alias("total"))
+    met = lines.join(sums.hint("merge"), ["row", "col"]).groupBy("rect_id").agg(F.sum(F.col("n") * F.col("sign")).alias("samples"), F.sum(F.col("s") * F.col("sign")).alias("total"))
     return met.where("samples > 0")
 
 
