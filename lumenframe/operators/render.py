@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.curves import horner
-from lumenframe.operators.stage import cubic_weight
 
 
 def pin(x: Column) -> Column:
@@ -75,6 +79,7 @@ def warp_nearest(pixels: DataFrame, center: tuple[float, float], radius: float,
 
 
 PARTS = 128  # places between two samples that a warp can take from
+TILE = 256  # lines and columns of a result that are gathered together
 FAR = 2.0**40  # in 1 / PARTS samples, beyond the edges of any image: rows are INT
 
 
@@ -103,22 +108,87 @@ def _near(place: str, n: int) -> Column:
     return F.least(F.lit(n), F.greatest(F.lit(-2), F.floor(F.col(place) / PARTS))).cast("int")
 
 
+def _tap_weights() -> np.ndarray:
+    """(PARTS, 4): weights of 1/1024 of the four samples around each place between two; stage.cubic_weight in numpy."""
+    d = np.abs(np.arange(PARTS)[:, None] / float(PARTS) - np.arange(-1, 3))
+    near, far = ((1.25 * d - 2.25) * d) * d + 1.0, ((-0.75 * d + 3.75) * d - 6.0) * d + 3.0
+    return np.floor(np.where(d < 1, near, np.where(d < 2, far, 0.0)) * 1024.0 + 0.5).astype(np.int64)
+
+
+def _columns(rows) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in rows.columns] if isinstance(rows, pa.RecordBatch) else [c.to_numpy().astype(np.int64) for c in rows.columns]
+
+
+def _asked(height: int, width: int):
+    """Rows (image_id, tile_row, tile_col, r, c) to the samples (gr, gc) that their taps need: each once a tile and batch, asked being the batch's own number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taps = np.arange(-1, 3)
+        for number, batch in enumerate(batches):
+            if not batch.num_rows:
+                continue
+            image, tile_row, tile_col, r, c = _columns(batch)
+            order = np.lexsort((tile_col, tile_row, image))
+            image, tile_row, tile_col, r, c = (x[order] for x in (image, tile_row, tile_col, r, c))
+            starts = np.flatnonzero(np.r_[True, (image[1:] != image[:-1]) | (tile_row[1:] != tile_row[:-1]) | (tile_col[1:] != tile_col[:-1])])
+            for first, end in zip(starts, [*starts[1:], len(r)], strict=True):
+                at = np.unique((r[first:end] + 2) * (width + 3) + c[first:end] + 2)
+                gr = np.clip((at // (width + 3) - 2)[:, None] + taps, 0, height - 1)
+                gc = np.clip((at % (width + 3) - 2)[:, None] + taps, 0, width - 1)
+                need = np.unique(gr[:, :, None] * width + gc[:, None, :])
+                same = lambda x, kind, n=len(need): pa.array(np.full(n, x, kind))
+                yield pa.RecordBatch.from_arrays(
+                    [same(image[first], np.int32), same(tile_row[first], np.int32), same(tile_col[first], np.int32), pa.array((need // width).astype(np.int32)), pa.array((need % width).astype(np.int32)), same((TaskContext.get().partitionId() << 32) + number, np.int64)],
+                    ["image_id", "tile_row", "tile_col", "gr", "gc", "asked"],
+                )
+
+    return run
+
+
+def _gathered(height: int, width: int):
+    """Places of a tile (image_id, tile_row, tile_col, row, col, r, c, pr, pc) and samples that it asked for (.., gr, gc, asked, v) to weighted sums."""
+
+    def run(places: pa.Table, samples: pa.Table) -> pa.Table:
+        weights = _tap_weights()
+        _, _, _, row, col, r, c, pr, pc = _columns(places)
+        _, _, _, gr, gc, asked, v = _columns(samples)
+        once = np.unique(row * (1 << 31) + col, return_index=True)[1]
+        row, col, r, c, pr, pc = (x[once] for x in (row, col, r, c, pr, pc))
+        key = gr * width + gc
+        order = np.lexsort((asked, key))
+        key, asked, v = key[order], asked[order], v[order]
+        have, first, at = np.unique(key, return_index=True, return_inverse=True)
+        own = asked == asked[first][at] if len(key) else np.zeros(0, bool)  # several batches may have asked for a sample
+        total, count = (np.bincount(at[own], weights=x, minlength=len(have)).astype(np.int64) for x in (v[own], None))
+        s, w, met = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), bool)
+        for i in range(4) if len(have) else ():
+            line = np.clip(r + (i - 1), 0, height - 1) * width
+            for j in range(4):
+                need = line + np.clip(c + (j - 1), 0, width - 1)
+                k = np.minimum(np.searchsorted(have, need), len(have) - 1)
+                there, weight = have[k] == need, weights[pr, i] * weights[pc, j]
+                s += np.where(there, weight * total[k], 0)
+                w += np.where(there, weight * count[k], 0)
+                met |= there
+        image = np.full(int(met.sum()), places.column(0)[0].as_py() if len(row) else 0, np.int32)
+        return pa.table({"image_id": image, "row": row[met].astype(np.int32), "col": col[met].astype(np.int32), "s": s[met], "w": w[met]})
+
+    return run
+
+
 def gather_bicubic(pixels: DataFrame, places: DataFrame, height: int, width: int) -> DataFrame:
     """The samples at places of warp_places(), bicubic over 4 x 4 neighbours with weights of 1/1024; beyond an edge its nearest sample counts.
 
-    Sixteen equalities a place; weights come from a table of PARTS rows by definition.
+    The result is made in tiles of TILE x TILE. A tile asks for each sample that it needs once, however many of its places
+    share it: where a warp takes most of its places from a few samples, a sample is sent to tiles, not to places. A task holds one tile.
     """
-    spark = pixels.sparkSession
-    part = F.col("id") / F.lit(float(PARTS))
-    weights = F.broadcast(spark.range(PARTS).select(F.col("id").cast("int").alias("part"), *[F.floor(cubic_weight(part - F.lit(float(k))) * 1024.0 + 0.5).cast("bigint").alias(f"w{k + 1}") for k in range(-1, 3)]))
-    taps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 3) for j in range(-1, 3)])
-    at = places.select("image_id", "row", "col", _near("sr", height).alias("r"), _near("sc", width).alias("c"), F.pmod("sr", F.lit(PARTS)).cast("int").alias("pr"), F.pmod("sc", F.lit(PARTS)).cast("int").alias("pc"))
-    named = lambda p: weights.select(F.col("part").alias(p), F.array("w0", "w1", "w2", "w3").alias(f"{p}w"))
-    spread = at.join(named("pr"), "pr").join(named("pc"), "pc").select("image_id", "row", "col", "r", "c", "prw", "pcw", F.explode(taps).alias("t"))
-    edge = lambda x, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), x))
-    wanted = spread.select("image_id", "row", "col", edge(F.col("r") + F.col("t.i"), height).alias("gr"), edge(F.col("c") + F.col("t.j"), width).alias("gc"), (F.element_at("prw", F.col("t.i") + 2) * F.element_at("pcw", F.col("t.j") + 2)).alias("w"))
+    tile = lambda x: F.floor(F.col(x) / TILE).cast("int")
+    at = places.select("image_id", tile("row").alias("tile_row"), tile("col").alias("tile_col"), "row", "col", _near("sr", height).alias("r"), _near("sc", width).alias("c"), F.pmod("sr", F.lit(PARTS)).cast("int").alias("pr"), F.pmod("sc", F.lit(PARTS)).cast("int").alias("pc"))
+    asked = at.select("image_id", "tile_row", "tile_col", "r", "c").mapInArrow(_asked(height, width), "image_id int, tile_row int, tile_col int, gr int, gc int, asked bigint")
     source = pixels.select("image_id", F.col("row").alias("gr"), F.col("col").alias("gc"), "v")
-    sums = wanted.join(source, ["image_id", "gr", "gc"]).groupBy("image_id", "row", "col").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("w"))
+    samples = asked.join(source.hint("merge"), ["image_id", "gr", "gc"]).select("image_id", "tile_row", "tile_col", "gr", "gc", "asked", "v")
+    keys = ["image_id", "tile_row", "tile_col"]
+    sums = at.groupBy(*keys).cogroup(samples.groupBy(*keys)).applyInArrow(_gathered(height, width), "image_id int, row int, col int, s bigint, w bigint")
     value = F.floor((F.col("s") * 2 + F.col("w")) / (F.col("w") * 2))
     return sums.select("image_id", "row", "col", F.least(F.lit(4095), F.greatest(F.lit(0), value)).alias("v"))
 
