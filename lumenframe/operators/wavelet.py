@@ -78,41 +78,54 @@ def lowpass(cells: DataFrame, prescale: int, values: list[str]) -> DataFrame:
     return found.select("image_id", F.col("r0").alias("row"), F.col("c0").alias("col"), *[low(v) for v in values])
 
 
-def _whole_planes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Rows sorted by (image_id, channel, row, col) to image, channel and plane, one plane at a time."""
+LINES = 512  # of a plane that are transformed together: a multiple of what one line of the lowest level stands for
+
+
+def _margin(levels: int) -> int:
+    """Lines above and below a part that its coefficients can reach: four lines of the lowest level's input at an edge, and as many again."""
+    return 8 << (levels - 1)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], margin: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """Rows sorted by (image_id, channel, part, row, col) to image, channel, first line of the part, first line held and samples, one part with its margins at a time."""
     held: list[np.ndarray] = []
 
-    def plane() -> tuple[int, int, np.ndarray]:
+    def part() -> Iterator[tuple[int, int, int, int, np.ndarray]]:
         rows = np.concatenate(held)
         held.clear()
-        h, w = int(rows[-1, 2]) + 1, int(rows[:, 3].max()) + 1
-        if len(rows) != h * w:
-            raise ValueError(f"channel {rows[0, 1]} of image {rows[0, 0]} has {len(rows)} samples, not {h} x {w}")
-        return int(rows[0, 0]), int(rows[0, 1]), rows[:, 4].reshape(h, w)
+        start, last = int(rows[0, 2]) * LINES, int(rows[-1, 3])
+        if last < start:  # the image ends in the part before
+            return
+        first = max(0, start - margin)
+        h, w = last + 1 - first, int(rows[:, 4].max()) + 1
+        if len(rows) != h * w or rows[0, 3] != first:
+            raise ValueError(f"channel {rows[0, 1]} of image {rows[0, 0]} has {len(rows)} samples, not {h} x {w}, from line {first}")
+        yield int(rows[0, 0]), int(rows[0, 1]), start, first, rows[:, 5].reshape(h, w)
 
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-        while len(rows):
-            if held and (held[-1][-1, :2] != rows[0, :2]).any():
-                yield plane()
-            own = int(((rows[:, :2] == rows[0, :2]).all(axis=1)).sum())  # sorted: a prefix
-            held.append(rows[:own])
-            rows = rows[own:]
+        if not len(rows):
+            continue
+        for own in np.split(rows, np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1):
+            if held and (held[-1][-1, :3] != own[0, :3]).any():
+                yield from part()
+            held.append(own)
     if held:
-        yield plane()
+        yield from part()
 
 
 def _transformed(levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for image, channel, plane in _whole_planes(batches):
+        for image, channel, start, first, plane in _parts(batches, _margin(levels)):
             for level in range(levels):
                 bands = arrays.forward_2d(plane, PRESCALE[level])
                 plane = bands[0]
+                top, own = start >> (level + 1), (start - first) >> (level + 1)
                 for band in range(0 if level == levels - 1 else 1, 4):
-                    v = bands[band]
+                    v = bands[band][own : own + (LINES >> (level + 1))]  # a margin's coefficients are its own part's
                     row, col = (x.ravel().astype(np.int32) for x in np.indices(v.shape))
                     same = lambda x, n=v.size: pa.array(np.full(n, x, np.int32))
-                    yield pa.RecordBatch.from_arrays([same(image), same(channel), same(level), same(band), pa.array(row), pa.array(col), pa.array(v.ravel().astype(np.int32))], ["image_id", "channel", "level", "band", "row", "col", "v"])
+                    yield pa.RecordBatch.from_arrays([same(image), same(channel), same(level), same(band), pa.array(row + np.int32(top)), pa.array(col), pa.array(v.ravel().astype(np.int32))], ["image_id", "channel", "level", "band", "row", "col", "v"])
 
     return run
 
@@ -120,12 +133,15 @@ def _transformed(levels: int):
 def pyramid(planes: DataFrame, levels: int = 3) -> DataFrame:
     """(image_id, channel, level, band, row, col, v): all bands of `levels` levels; the lowest level's LL only.
 
-    One exchange by image and channel, then all levels of a plane in one Arrow function: as windows
+    One exchange by image, channel and part of LINES lines, then all levels of a part in one Arrow function: as windows
     (forward()), every level would cost two exchanges more and be computed again for each band above it.
-    A task holds one plane; images of whole rectangles of at least six samples a side at every level.
+    A coefficient reaches a few lines up and down, so a part is sent with the margins that it needs of its neighbours.
+    A task holds one part, whatever the height; images of whole rectangles of at least six samples a side at every level.
     """
-    rows = planes.select("image_id", "channel", "row", "col", "v").repartition("image_id", "channel").sortWithinPartitions("image_id", "channel", "row", "col")
-    return rows.mapInArrow(_transformed(levels), "image_id int, channel int, level int, band int, row int, col int, v int")
+    part, at, margin = F.floor(F.col("row") / LINES).cast("int"), F.col("row") % LINES, _margin(levels)
+    near = F.when((at < margin) & (part > 0), F.array(part - 1, part)).when(at >= LINES - margin, F.array(part, part + 1)).otherwise(F.array(part))
+    rows = planes.select("image_id", "channel", F.explode(near).alias("part"), "row", "col", "v").repartition("image_id", "channel", "part")
+    return rows.sortWithinPartitions("image_id", "channel", "part", "row", "col").mapInArrow(_transformed(levels), "image_id int, channel int, level int, band int, row int, col int, v int")
 
 
 def midpoint(q: int, correction: int = 2) -> int:
